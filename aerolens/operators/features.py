@@ -47,7 +47,11 @@ def feature_columns(layout: frames.FlightLayout, window: int = DEFAULT_FEATURE_W
     dt = F.col("_dt_raw")
     gps_speed = g / F.nullif(dt, F.lit(0.0))
     out["speed_vs_gps"] = r(F.abs(F.col("speed") - gps_speed), "mean")
-    out["dt_mean"] = r(dt, "mean")
+    # mean of whole microseconds: exact integer sum, one rounding
+    dtu = F.col("_dt_us")
+    fw = w.rowsBetween(-(n - 1), 0)
+    cnt = F.count(dtu).over(fw)
+    out["dt_mean"] = F.when(cnt >= F.lit(m), F.sum(dtu).over(fw) / cnt / F.lit(1e6))
     out["dt_std"] = r(dt, "std")
     out["dt_max"] = r(dt, "max")
     out["dt_min"] = r(dt, "min")

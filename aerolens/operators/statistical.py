@@ -19,26 +19,29 @@ from aerolens.functions.text import any_true, join_reasons, null_to_false
 from aerolens.operators import frames
 from aerolens.schema import DEFAULT_FLIGHT_KEYS, DEFAULT_STAT_CONFIG, FREEZE_REASON, L2_CHANNELS
 
-BASE_COLUMNS = ("_d_altitude", "_d_speed", "_d_heading", "_gps_step", "_dt_raw")
+BASE_COLUMNS = ("_d_altitude", "_d_speed", "_d_heading", "_gps_step", "_dt_us", "_dt_raw")
 
 
 def with_base_deltas(df: DataFrame, layout: frames.FlightLayout) -> DataFrame:
     """Per-flight first differences, haversine step and time step.
 
-    ``_dt_raw`` is in seconds (zeros kept); all lags in one projection.
+    ``_dt_us`` is the exact step in microseconds, ``_dt_raw`` the same in
+    seconds (zeros kept); all lags in one projection.
     """
     if "_gps_step" in df.columns:
         return df
     w = layout.window()
     lag = lambda c: F.lag(F.col(c)).over(w)
     t_us = F.unix_micros(F.col("timestamp"))
+    dt_us = t_us - F.lag(t_us).over(w)
     return df.withColumns({
         "_d_altitude": F.col("altitude") - lag("altitude"),
         "_d_speed": F.col("speed") - lag("speed"),
         "_d_heading": circular_diff(F.col("heading"), lag("heading")),
         "_gps_step": haversine_m(lag("latitude"), lag("longitude"),
                                  F.col("latitude"), F.col("longitude")),
-        "_dt_raw": (t_us - F.lag(t_us).over(w)) / F.lit(1e6),
+        "_dt_us": dt_us,
+        "_dt_raw": dt_us / F.lit(1e6),
     })
 
 

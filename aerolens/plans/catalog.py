@@ -32,7 +32,12 @@ def register(name: str, sql: str | None = None):
 
 
 def r6(c) -> F.Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+    """Half-up rounding to 6 decimals: floor(x * 1e6 + 0.5) / 1e6.
+
+    Written with plain IEEE steps so Spark and DuckDB give identical bits
+    (their built-in ``round`` break ties differently)."""
+    x = F.col(c) if isinstance(c, str) else c
+    return F.floor(x * F.lit(1e6) + F.lit(0.5)).cast("double") / F.lit(1e6)
 
 
 def tele(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,10 +102,10 @@ l2 as (
             fg=q.roll("std", "gps", "w6", 3), w30=_W30, w6=_W6)
 
 
-@register("w7_zscore", q.with_view("""
+@register("w7_zscore", q.with_view(f"""
 select event_id, case_id, row_idx,
-  round(z_altitude, 6) as z_altitude, round(z_speed, 6) as z_speed,
-  round(z_heading, 6) as z_heading, round(z_gps_step, 6) as z_gps_step,
+  {q.r6("z_altitude")} as z_altitude, {q.r6("z_speed")} as z_speed,
+  {q.r6("z_heading")} as z_heading, {q.r6("z_gps_step")} as z_gps_step,
   alert_change, change_reasons
 from l2""", L2_CTE))
 def w7_zscore(spark, sf_dir):
@@ -135,3 +140,67 @@ def a6_alert_counts(spark, sf_dir):
 
 def flagship(spark, sf_dir):
     return a6_alert_counts(spark, sf_dir)
+
+
+# --------------------------------------------------------------- features
+_W8 = "(partition by replicate, case_id order by row_idx, _ord rows between 7 preceding and current row)"
+_WD = ("(partition by replicate, case_id order by row_idx desc, _ord desc "
+       "rows between unbounded preceding and current row)")
+
+
+def _feat_raw_sql() -> str:
+    r = lambda op, x: q.roll(op, x, "w8", 4)
+    parts = []
+    for src, p in (("altitude", "alt"), ("speed", "spd")):
+        parts += [f"{r('mean', src)} as {p}_mean", f"{r('std', src)} as {p}_std",
+                  f"{r('max', src)} - {r('min', src)} as {p}_range",
+                  f"({src} - lag({src}, 7) over w) / cast(8.0 as double) as {p}_slope"]
+    parts += [f"{r('mean', 'd_hdg')} as hdg_diff_mean", f"{r('std', 'd_hdg')} as hdg_diff_std",
+              f"{r('max', 'abs(d_hdg)')} as hdg_diff_abs_max",
+              f"{r('mean', 'gps')} as gps_step_mean", f"{r('std', 'gps')} as gps_step_std",
+              f"{r('max', 'gps')} as gps_step_max",
+              f"{r('mean', 'abs(speed - gps / nullif(dt_raw, cast(0.0 as double)))')} as speed_vs_gps",
+              "(case when count(dt_us) over w8 >= 4 then cast(sum(dt_us) over w8 as double)"
+              " / count(dt_us) over w8 / 1000000.0 end) as dt_mean",
+              f"{r('std', 'dt_raw')} as dt_std",
+              f"{r('max', 'dt_raw')} as dt_max", f"{r('min', 'dt_raw')} as dt_min"]
+    return ",\n    ".join(parts)
+
+
+FEATURE_CTE = q.BASE_CTE + """,
+fr as (
+  select *, {raw}
+  from b window w as (partition by replicate, case_id order by row_idx, _ord), w8 as {w8}
+),
+fv as (
+  select *, coalesce(alt_std, 0.0) + coalesce(spd_std, 0.0) + coalesce(hdg_diff_std, 0.0)
+    + coalesce(gps_step_std, 0.0) as sample_var_score
+  from fr
+)""".format(raw=_feat_raw_sql(), w8=_W8)
+
+
+def _bfill_select(names) -> str:
+    return ",\n  ".join(
+        f"{q.r6(f'coalesce(last_value({c} ignore nulls) over wd, 0.0)')} as {c}" for c in names)
+
+
+from aerolens.operators.features import compute_features  # noqa: E402
+from aerolens.schema import FEATURE_NAMES  # noqa: E402
+
+
+@register("w16_features", q.with_view(f"""
+select event_id, case_id, row_idx,
+  {_bfill_select(FEATURE_NAMES)}
+from fv window wd as {_WD}""", FEATURE_CTE))
+def w16_features(spark, sf_dir):
+    out = tele(spark, sf_dir).transform(compute_features)
+    return out.select("event_id", "case_id", "row_idx", *[r6(c).alias(c) for c in FEATURE_NAMES])
+
+
+@register("w16_features_causal", q.with_view(f"""
+select event_id, case_id, row_idx,
+  {", ".join(f"{q.r6(f'coalesce({c}, 0.0)')} as {c}" for c in FEATURE_NAMES)}
+from fv""", FEATURE_CTE))
+def w16_features_causal(spark, sf_dir):
+    out = compute_features(tele(spark, sf_dir), fill="causal")
+    return out.select("event_id", "case_id", "row_idx", *[r6(c).alias(c) for c in FEATURE_NAMES])

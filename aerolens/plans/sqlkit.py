@@ -38,7 +38,8 @@ def roll(op: str, x: str, w: str, m: int) -> str:
 
 
 def r6(x: str) -> str:
-    return f"round({x}, 6)"
+    """Half-up rounding to 6 decimals with plain IEEE steps (same in both engines)."""
+    return f"(floor(({x}) * 1000000.0 + 0.5) / 1000000.0)"
 
 
 BASE_CTE = """b as (
@@ -47,6 +48,7 @@ BASE_CTE = """b as (
     speed - lag(speed) over w as d_spd,
     {dh} as d_hdg,
     {gps} as gps,
+    t_us - lag(t_us) over w as dt_us,
     (t_us - lag(t_us) over w) / cast(1000000.0 as double) as dt_raw
   from t window w as (partition by replicate, case_id order by row_idx, _ord)
 )""".format(

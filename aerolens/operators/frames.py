@@ -43,17 +43,22 @@ class FlightLayout:
     keys: tuple[str, ...] = DEFAULT_FLIGHT_KEYS
     split: bool = False
     added_ord: bool = False
+    order: tuple[str, ...] = ORDER_COLUMNS
 
     @property
     def partition_cols(self) -> list[str]:
         return list(self.keys) + ([CHUNK] if self.split else [])
 
     def window(self) -> WindowSpec:
-        return Window.partitionBy(*self.partition_cols).orderBy(*ORDER_COLUMNS)
+        return Window.partitionBy(*self.partition_cols).orderBy(*self.order)
 
     def window_desc(self) -> WindowSpec:
         return Window.partitionBy(*self.partition_cols).orderBy(
-            *[F.col(c).desc() for c in ORDER_COLUMNS])
+            *[F.col(c).desc() for c in self.order])
+
+    def real(self) -> F.Column:
+        """True on rows that belong to the chunk (not halo copies)."""
+        return ~F.col(HALO) if self.split else F.lit(True)
 
 
 def ensure_ord(df: DataFrame) -> DataFrame:
@@ -65,26 +70,31 @@ def ensure_ord(df: DataFrame) -> DataFrame:
 
 def stage(df: DataFrame, flight_keys=DEFAULT_FLIGHT_KEYS, halo: int = 31,
           hot_rows: int | None = HOT_ROWS, chunk_rows: int = CHUNK_ROWS,
-          bucket_span: int = BUCKET_SPAN) -> tuple[DataFrame, FlightLayout]:
+          bucket_span: float = BUCKET_SPAN, order=ORDER_COLUMNS,
+          halo_after: int = 0) -> tuple[DataFrame, FlightLayout]:
     """Prepare ``df`` for flight windows; returns the frame and its layout.
 
+    ``order`` is the in-flight order; its first column must be numeric (it
+    is bucketed by ``bucket_span`` to number rows of hot flights).  ``halo``
+    rows before and ``halo_after`` rows after each chunk are copied in.
     With ``hot_rows=None`` no split is attempted (one partition per flight).
     Otherwise one small aggregate (rows per flight) decides whether any
     flight is hot; when none is, the plan is the plain one.
     """
     keys = tuple(flight_keys)
+    order = tuple(order)
     added = "_ord" not in df.columns
     df = ensure_ord(df)
     if hot_rows is None:
-        return df, FlightLayout(keys, False, added)
-    if halo >= chunk_rows:
-        raise ValueError("halo must be smaller than chunk_rows")
+        return df, FlightLayout(keys, False, added, order)
+    if halo + halo_after >= chunk_rows:
+        raise ValueError("halos must be smaller than chunk_rows")
 
     hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
            .filter(F.col("_n") > F.lit(int(hot_rows))).select(*keys))
     n_hot = hot.count()
     if n_hot == 0:
-        return df, FlightLayout(keys, False, added)
+        return df, FlightLayout(keys, False, added, order)
     hot = hot.select(*[F.col(k).alias("_h_" + k) for k in keys])
     hot_side = F.broadcast(hot) if n_hot <= BROADCAST_MAX_KEYS else hot
     # a NULL key never equals in a join; null-safe join keys keep such flights
@@ -94,16 +104,18 @@ def stage(df: DataFrame, flight_keys=DEFAULT_FLIGHT_KEYS, halo: int = 31,
               .withColumn(CHUNK, F.lit(0).cast("bigint"))
               .withColumn(HALO, F.lit(False)))
     hot_rows_df = df.join(hot_side, cond, "left_semi")
-    split = _split_hot(hot_rows_df, keys, halo, chunk_rows, bucket_span)
+    split = _split_hot(hot_rows_df, keys, halo, chunk_rows, bucket_span, order, halo_after)
     cols = list(df.columns) + [CHUNK, HALO]
-    return normal.select(cols).unionByName(split.select(cols)), FlightLayout(keys, True, added)
+    return (normal.select(cols).unionByName(split.select(cols)),
+            FlightLayout(keys, True, added, order))
 
 
 def _split_hot(df: DataFrame, keys, halo: int, chunk_rows: int,
-               bucket_span: int) -> DataFrame:
-    bucket = F.coalesce(F.floor(F.col("row_idx") / F.lit(int(bucket_span))), F.lit(-1))
+               bucket_span: float, order, halo_after: int) -> DataFrame:
+    # buckets are monotone in the order (NULLs first, like an ascending sort)
+    bucket = F.coalesce(F.floor(F.col(order[0]) / F.lit(bucket_span)), F.lit(-(2 ** 62)))
     df = df.withColumn("_b", bucket.cast("bigint"))
-    wb = Window.partitionBy(*keys, "_b").orderBy(*ORDER_COLUMNS)
+    wb = Window.partitionBy(*keys, "_b").orderBy(*order)
     df = df.withColumn("_rn", F.row_number().over(wb))
     counts = df.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
     wk = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -114,14 +126,41 @@ def _split_hot(df: DataFrame, keys, halo: int, chunk_rows: int,
     df = df.join(offsets, cond, "inner").drop(*["_o_" + k for k in keys], "_o_b")
     pos0 = F.col("_off") + F.col("_rn") - F.lit(1)          # 0-based position
     base = F.floor(pos0 / F.lit(int(chunk_rows))).cast("bigint")
-    tail = (pos0 % F.lit(int(chunk_rows))) >= F.lit(int(chunk_rows - halo))
-    dup = F.explode(F.when(tail, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
-    df = df.withColumn("_dup", dup)
+    within = pos0 % F.lit(int(chunk_rows))
+    tail = within >= F.lit(int(chunk_rows - halo))           # copy to next chunk
+    head = (within < F.lit(int(halo_after))) & (base > 0)    # copy to previous chunk
+    dups = F.array_compact(F.array(F.lit(0), F.when(tail, F.lit(1)), F.when(head, F.lit(-1))))
+    df = df.withColumn("_dup", F.explode(dups))
     return (df.withColumn(CHUNK, base + F.col("_dup"))
-              .withColumn(HALO, F.col("_dup") == F.lit(1))
+              .withColumn(HALO, F.col("_dup") != F.lit(0))
               .drop("_b", "_rn", "_off", "_dup"))
 
 
+def with_running_sum(df: DataFrame, layout: FlightLayout, value: F.Column,
+                     out: str) -> DataFrame:
+    """``out`` = running sum of ``value`` over the flight order (real rows).
+
+    Split flights add the totals of earlier chunks (a prefix over the small
+    per-chunk table), so the sum is exact across chunk borders.
+    """
+    real = layout.real()
+    v = F.when(real, value).otherwise(F.lit(0))
+    w = layout.window().rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn(out, F.sum(v).over(w))
+    if not layout.split:
+        return df
+    keys = list(layout.keys)
+    tot = df.groupBy(*keys, CHUNK).agg(F.sum(v).alias("_tot"))
+    wc = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select(*[F.col(k).alias("_s_" + k) for k in keys], F.col(CHUNK).alias("_s_chunk"),
+                     F.coalesce(F.sum("_tot").over(wc), F.lit(0)).alias("_s_off"))
+    cond = [F.col(k).eqNullSafe(F.col("_s_" + k)) for k in keys] + \
+        [F.col(CHUNK) == F.col("_s_chunk")]
+    df = df.join(off, cond, "left")
+    return (df.withColumn(out, F.col(out) + F.coalesce(F.col("_s_off"), F.lit(0)))
+              .drop(*["_s_" + k for k in keys], "_s_chunk", "_s_off"))
+
+
 def unstage(df: DataFrame, layout: FlightLayout) -> DataFrame:
     if layout.split:
         df = df.filter(~F.col(HALO)).drop(CHUNK, HALO)

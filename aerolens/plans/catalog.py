@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from aerolens.plans import q_layers, q_eval, q_segments, q_curves, q_ingest  # noqa: F401
+from aerolens.plans import q_layers, q_eval, q_segments, q_curves, q_ingest, q_models  # noqa: F401
 from aerolens.plans.registry import ORACLE, QUERIES
 
 

@@ -13,6 +13,18 @@ from aerolens.schema import FEATURE_NAMES
 
 
 # --------------------------------------------------------------------- L1
+L1_REASONS_SQL = """concat_ws('|',
+    case when altitude < -5.0 then 'altitude_below_min' end,
+    case when altitude > 500.0 then 'altitude_above_max' end,
+    case when speed < 0.0 then 'speed_negative' end,
+    case when speed > 30.0 then 'speed_above_max' end,
+    case when heading < 0.0 then 'heading_below_min' end,
+    case when heading >= 360.0 then 'heading_above_max' end,
+    case when latitude < -90.0 then 'latitude_below_min' end,
+    case when latitude > 90.0 then 'latitude_above_max' end,
+    case when longitude < -180.0 then 'longitude_below_min' end,
+    case when longitude > 180.0 then 'longitude_above_max' end)"""
+
 @register("f9_rules", q.with_view("""
 select event_id, case_id, row_idx,
   coalesce(altitude < -5.0, false) or coalesce(altitude > 500.0, false)
@@ -131,7 +143,7 @@ def _feat_raw_sql() -> str:
     return ",\n    ".join(parts)
 
 
-FEATURE_CTE = q.BASE_CTE + """,
+FEATURE_TAIL = """,
 fr as (
   select *, {raw}
   from b window w as (partition by replicate, case_id order by row_idx, _ord), w8 as {w8}
@@ -141,6 +153,7 @@ fv as (
     + coalesce(gps_step_std, 0.0) as sample_var_score
   from fr
 )""".format(raw=_feat_raw_sql(), w8=_W8)
+FEATURE_CTE = q.BASE_CTE + FEATURE_TAIL
 
 
 def _bfill_select(names) -> str:

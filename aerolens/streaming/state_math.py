@@ -1,0 +1,134 @@
+"""Per-flight window math for the stateful stream step (numpy, per group).
+
+Structured Streaming has no row-count windows, so the stream keeps the last
+rows of each flight in state and evaluates the same definitions as the
+batch operators on (buffer + new rows).  Rolling aggregates repeat Spark's
+own arithmetic (sum then divide for the mean; the running central-moment
+update for the standard deviation, frame rows in order), so the stream
+matches the batch columns; features use the causal fill (0), since a
+stream cannot look ahead.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+
+from aerolens.schema import (DEFAULT_STAT_CONFIG, EARTH_RADIUS_M, FEATURE_NAMES, FREEZE_REASON,
+                             L2_CHANNELS)
+
+
+def _frames(x: np.ndarray, n: int):
+    """Yield (offset j, values x[i - j], valid mask) for j = n-1 .. 0 (frame order)."""
+    m = len(x)
+    for j in range(n - 1, -1, -1):
+        v = np.full(m, np.nan)
+        if j < m:
+            v[j:] = x[:m - j]
+        yield v
+
+
+def rolling(x: np.ndarray, n: int, op: str, min_periods: int) -> np.ndarray:
+    x = np.asarray(x, dtype=float)
+    m = len(x)
+    cnt = np.zeros(m)
+    if op == "mean":
+        s = np.zeros(m)
+        for v in _frames(x, n):
+            ok = ~np.isnan(v)
+            s[ok] += v[ok]
+            cnt[ok] += 1
+        with np.errstate(invalid="ignore", divide="ignore"):
+            out = s / cnt
+    elif op == "std":
+        avg = np.zeros(m)
+        m2 = np.zeros(m)
+        for v in _frames(x, n):
+            ok = ~np.isnan(v)
+            cnt[ok] += 1.0
+            delta = v[ok] - avg[ok]
+            dn = delta / cnt[ok]
+            avg[ok] = avg[ok] + dn
+            m2[ok] = m2[ok] + delta * (delta - dn)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            out = np.sqrt(m2 / (cnt - 1.0))
+        out[cnt < 2] = np.nan
+    elif op in ("max", "min"):
+        out = np.full(m, np.nan)
+        for v in _frames(x, n):
+            ok = ~np.isnan(v)
+            cnt[ok] += 1
+            cur = out[ok]
+            out[ok] = np.where(np.isnan(cur), v[ok], np.fmax(cur, v[ok]) if op == "max"
+                               else np.fmin(cur, v[ok]))
+    else:
+        raise ValueError(f"Unknown rolling operation: {op}")
+    out[cnt < min_periods] = np.nan
+    return out
+
+
+def _lag(x: np.ndarray, k: int = 1) -> np.ndarray:
+    out = np.full(len(x), np.nan)
+    if k < len(x):
+        out[k:] = x[:len(x) - k]
+    return out
+
+
+def window_columns(cols: dict[str, np.ndarray], cfg: dict | None = None,
+                   feature_window: int | None = 8, with_l2: bool = True) -> dict[str, np.ndarray]:
+    """L2 columns and causal features for rows in flight order."""
+    cfg = DEFAULT_STAT_CONFIG if cfg is None else cfg
+    alt, spd, hdg = cols["altitude"], cols["speed"], cols["heading"]
+    lat, lon, t_us = cols["latitude"], cols["longitude"], cols["t_us"]
+    d = {"altitude": alt - _lag(alt), "speed": spd - _lag(spd)}
+    raw = hdg - _lag(hdg) + 180.0
+    d["heading"] = np.where(np.isnan(raw), np.nan, np.mod(raw, 360.0)) - 180.0
+    p1, p2 = np.radians(_lag(lat)), np.radians(lat)
+    a = np.sin((p2 - p1) / 2.0) ** 2 + np.cos(p1) * np.cos(p2) * np.sin(np.radians(lon - _lag(lon)) / 2.0) ** 2
+    d["gps_step"] = 2.0 * EARTH_RADIUS_M * np.arcsin(np.sqrt(a))
+    dt_us = t_us - _lag(t_us)
+    dt = dt_us / 1e6
+    out: dict[str, np.ndarray] = {}
+    if with_l2:
+        n, th, floor = int(cfg["window"]), float(cfg["z_threshold"]), float(cfg["min_std"])
+        mp = max(1, n // 2)
+        flags = []
+        for ch in L2_CHANNELS:
+            mean = rolling(d[ch], n, "mean", mp)
+            std = rolling(d[ch], n, "std", mp)
+            with np.errstate(invalid="ignore"):
+                z = np.where(np.isnan(std), np.nan, (d[ch] - mean) / np.maximum(std, floor))
+                flags.append((np.abs(z) > th, f"sudden_{ch}"))
+            out[f"z_{ch}"] = z
+        fw = int(cfg["freeze_window"])
+        fm = max(1, fw // 2)
+        with np.errstate(invalid="ignore"):
+            fr = ((rolling(spd, fw, "std", fm) < cfg["freeze_speed_std"])
+                  & (rolling(hdg, fw, "std", fm) < cfg["freeze_heading_std"])
+                  & (rolling(d["gps_step"], fw, "std", fm) < cfg["freeze_gps_std"]))
+        flags.append((fr, FREEZE_REASON))
+        out["alert_change"] = np.logical_or.reduce([f for f, _ in flags])
+        out["change_reasons"] = np.array(
+            ["|".join(name for f, name in flags if f[i]) for i in range(len(alt))], dtype=object)
+    if feature_window:
+        n = int(feature_window)
+        m = max(2, n // 2)
+        r = lambda x, op: rolling(x, n, op, m)
+        f = {}
+        for src, p in ((alt, "alt"), (spd, "spd")):
+            f[f"{p}_mean"], f[f"{p}_std"] = r(src, "mean"), r(src, "std")
+            f[f"{p}_range"] = r(src, "max") - r(src, "min")
+            f[f"{p}_slope"] = (src - _lag(src, n - 1)) / float(n)
+        f["hdg_diff_mean"], f["hdg_diff_std"] = r(d["heading"], "mean"), r(d["heading"], "std")
+        f["hdg_diff_abs_max"] = r(np.abs(d["heading"]), "max")
+        g = d["gps_step"]
+        f["gps_step_mean"], f["gps_step_std"], f["gps_step_max"] = r(g, "mean"), r(g, "std"), r(g, "max")
+        with np.errstate(invalid="ignore", divide="ignore"):
+            gs = g / np.where(dt == 0, np.nan, dt)
+        f["speed_vs_gps"] = r(np.abs(spd - gs), "mean")
+        f["dt_mean"] = r(dt_us, "mean") / 1e6
+        f["dt_std"], f["dt_max"], f["dt_min"] = r(dt, "std"), r(dt, "max"), r(dt, "min")
+        f["sample_var_score"] = (np.nan_to_num(f["alt_std"]) + np.nan_to_num(f["spd_std"])
+                                 + np.nan_to_num(f["hdg_diff_std"]) + np.nan_to_num(f["gps_step_std"]))
+        for k in FEATURE_NAMES:
+            out[k] = np.nan_to_num(f[k], nan=0.0)
+    return out

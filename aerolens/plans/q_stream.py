@@ -77,3 +77,35 @@ def t2_stream_scored(spark, sf_dir):
                       *[r6(f"z_{c}").alias(f"z_{c}") for c in ("altitude", "speed", "heading", "gps_step")],
                       "alert_change", "change_reasons", "alert", "reasons",
                       *[r6(c).alias(c) for c in FEATURE_NAMES])
+
+
+@register("t3_stream_alerts", q.with_view("""
+select strftime(make_timestamp(t_us), '%Y-%m-%d %H:%M:%S.%f') || '+00:00' as timestamp,
+  case_id, row_idx,
+  concat_ws('+', case when alert_threshold then 'rules' end, case when alert_change then 'statistical' end) as layers,
+  reasons, label
+from comb where alert""", _STREAM_CTE))
+def t3_stream_alerts(spark, sf_dir):
+    """T3 + S4 + S11: alert records appended to a JSON-lines sink, read back."""
+    sink = _scratch(spark, "alerts")
+    stream = job.alerts(_scored_stream(spark, sf_dir))
+    _run(stream.writeStream.format("json").outputMode("append")
+         .option("checkpointLocation", sink + "_ckpt").option("path", sink))
+    out = spark.read.schema(job.ALERT_READ_SCHEMA).json(sink)
+    return out.select("timestamp", "case_id", "row_idx", F.array_join("layers", "+").alias("layers"),
+                      "reasons", "label")
+
+
+@register("t4_stream_metrics", q.with_view(f"""
+select cast(count(*) as bigint) as n_samples, cast(count(*) filter (where alert) as bigint) as n_alerts,
+  cast(count(*) filter (where alert and label = 1) as bigint) as tp,
+  cast(count(*) filter (where alert and label = 0) as bigint) as fp,
+  cast(count(*) filter (where not alert and label = 1) as bigint) as fn,
+  cast(count(*) filter (where not alert and label = 0) as bigint) as tn
+from comb""", _STREAM_CTE))
+def t4_stream_metrics(spark, sf_dir):
+    """T4: online counters, per micro-batch, summed when read."""
+    sink = _scratch(spark, "metrics")
+    _run(_scored_stream(spark, sf_dir).writeStream.foreachBatch(job.metrics_writer(sink))
+         .option("checkpointLocation", sink + "_ckpt"))
+    return job.read_metrics(spark, sink).select(*job.COUNTERS)

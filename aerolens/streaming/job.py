@@ -39,6 +39,13 @@ STATE_SCHEMA = T.StructType(
     + [T.StructField("late", T.LongType()), T.StructField("max_ts_ms", T.LongType())])
 
 
+ALERT_READ_SCHEMA = T.StructType([
+    T.StructField("timestamp", T.StringType()), T.StructField("case_id", T.LongType()),
+    T.StructField("row_idx", T.LongType()), T.StructField("layers", T.ArrayType(T.StringType())),
+    T.StructField("reasons", T.StringType()), T.StructField("ml_score", T.DoubleType()),
+    T.StructField("label", T.IntegerType())])
+
+
 def buffer_size_for(layers, stat_config=None, feature_window=None) -> int:
     """max(1, L2 window if statistical, feature window if ml) + 10."""
     cfg = DEFAULT_STAT_CONFIG if stat_config is None else stat_config
@@ -163,17 +170,41 @@ def format_alert(alerts_df: DataFrame) -> DataFrame:
         F.lit(" score="), score, F.lit(" reasons="), reasons, tag).alias("line"))
 
 
-def online_metrics(scored: DataFrame) -> DataFrame:
-    """T4: counters and P/R/F1 over the stream (complete-mode aggregate).
+COUNTERS = ("n_samples", "n_alerts", "tp", "fp", "fn", "tn")
 
-    A row with a missing label is counted as a sample but not in TP..TN.
-    """
+
+def counters(scored: DataFrame) -> DataFrame:
+    """T4 counters of a (micro-)batch; a missing label counts only as a sample."""
     a = F.size("layers") > 0
     lab = F.col("label")
-    agg = scored.agg(
+    return scored.agg(
         F.count(F.lit(1)).alias("n_samples"), F.count_if(a).alias("n_alerts"),
         F.count_if(a & (lab == 1)).alias("tp"), F.count_if(a & (lab == 0)).alias("fp"),
         F.count_if(~a & (lab == 1)).alias("fn"), F.count_if(~a & (lab == 0)).alias("tn"))
+
+
+def metrics_writer(path: str):
+    """T4 on a stream: ``foreachBatch`` writing each batch's counters under
+    ``batch_id=<id>`` (overwrite: a replayed batch is counted once).  No
+    stateful operator follows the stateful step, so no row can be dropped
+    as late downstream."""
+    def write(batch: DataFrame, batch_id: int):
+        counters(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    return write
+
+
+def read_metrics(spark, path: str) -> DataFrame:
+    """Running totals over all batches + precision / recall / F1."""
+    tot = spark.read.parquet(path).agg(*[F.sum(c).cast("bigint").alias(c) for c in COUNTERS])
+    return with_ratios(tot)
+
+
+def online_metrics(scored: DataFrame) -> DataFrame:
+    """T4 over a batch DataFrame (counters + ratios)."""
+    return with_ratios(counters(scored))
+
+
+def with_ratios(agg: DataFrame) -> DataFrame:
     p = F.when((F.col("tp") + F.col("fp")) > 0, F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(0.0)
     r = F.when((F.col("tp") + F.col("fn")) > 0, F.col("tp") / (F.col("tp") + F.col("fn"))).otherwise(0.0)
     return agg.select("*", p.alias("precision"), r.alias("recall"),

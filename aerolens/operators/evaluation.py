@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from aerolens.schema import DEFAULT_FLIGHT_KEYS, LAYER_COLUMNS, PROFILES, ORDER_COLUMNS
 
@@ -186,11 +186,13 @@ def sample_rate_per_case(df: DataFrame, flight_keys=DEFAULT_FLIGHT_KEYS) -> Data
     The aggregate runs on the lag's partitioning (no second Exchange); the
     exact median buffers distinct values per flight, not rows.
     """
+    from aerolens.operators import frames
     keys = list(flight_keys)
-    order = [c for c in ORDER_COLUMNS if c in df.columns]
-    w = Window.partitionBy(*keys).orderBy(*order)
+    staged, lay = frames.stage(df.select(*keys, *[c for c in ORDER_COLUMNS if c in df.columns],
+                                         "timestamp"), keys, halo=1)
     t = F.unix_micros(F.col("timestamp"))
-    d = df.select(*keys, ((t - F.lag(t).over(w)) / F.lit(1e6)).alias("dt"))
+    d = staged.withColumn("dt", (t - F.lag(t).over(lay.window())) / F.lit(1e6))
+    d = frames.unstage(d, lay)
     return d.groupBy(*keys).agg(F.median("dt").alias("median_dt"))
 
 

@@ -144,11 +144,12 @@ def with_running_sum(df: DataFrame, layout: FlightLayout, value: F.Column,
     per-chunk table), so the sum is exact across chunk borders.
     """
     real = layout.real()
-    v = F.when(real, value).otherwise(F.lit(0))
+    df = df.withColumn("_rs_v", F.when(real, value).otherwise(F.lit(0)))
+    v = F.col("_rs_v")
     w = layout.window().rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn(out, F.sum(v).over(w))
     if not layout.split:
-        return df
+        return df.drop("_rs_v")
     keys = list(layout.keys)
     tot = df.groupBy(*keys, CHUNK).agg(F.sum(v).alias("_tot"))
     wc = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
@@ -158,7 +159,7 @@ def with_running_sum(df: DataFrame, layout: FlightLayout, value: F.Column,
         [F.col(CHUNK) == F.col("_s_chunk")]
     df = df.join(off, cond, "left")
     return (df.withColumn(out, F.col(out) + F.coalesce(F.col("_s_off"), F.lit(0)))
-              .drop(*["_s_" + k for k in keys], "_s_chunk", "_s_off"))
+              .drop(*["_s_" + k for k in keys], "_s_chunk", "_s_off", "_rs_v"))
 
 
 def unstage(df: DataFrame, layout: FlightLayout) -> DataFrame:

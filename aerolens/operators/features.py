@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from aerolens.functions.rolling import rolling
+from aerolens.functions.rolling import RollingSet, rolling
 from aerolens.operators import frames
 from aerolens.operators.statistical import BASE_COLUMNS, required_halo, with_base_deltas
 from aerolens.schema import DEFAULT_FEATURE_WINDOW, DEFAULT_FLIGHT_KEYS, FEATURE_NAMES, ORDER_COLUMNS
@@ -23,8 +23,48 @@ from aerolens.schema import DEFAULT_FEATURE_WINDOW, DEFAULT_FLIGHT_KEYS, FEATURE
 FILL_MODES = ("backfill", "causal", "none")
 
 
+def add_feature_columns(df: DataFrame, layout: frames.FlightLayout,
+                        window: int = DEFAULT_FEATURE_WINDOW) -> DataFrame:
+    """Raw (unfilled) features over a frame with base deltas.
+
+    Derived inputs are materialised first so every rolling aggregate is a
+    shared, named window column (one count per input column).
+    """
+    w = layout.window()
+    n = int(window)
+    m = max(2, n // 2)
+    df = df.withColumns({
+        "_abs_d_heading": F.abs(F.col("_d_heading")),
+        "_spd_gps": F.abs(F.col("speed") - F.col("_gps_step") / F.nullif(F.col("_dt_raw"), F.lit(0.0))),
+    })
+    rs = RollingSet(w, "_f")
+    r = lambda c, op: rs.rolling(c, n, op, m)
+    out = {}
+    for src, p in (("altitude", "alt"), ("speed", "spd")):
+        out[f"{p}_mean"] = r(src, "mean")
+        out[f"{p}_std"] = r(src, "std")
+        out[f"{p}_range"] = r(src, "max") - r(src, "min")
+    out["hdg_diff_mean"] = r("_d_heading", "mean")
+    out["hdg_diff_std"] = r("_d_heading", "std")
+    out["hdg_diff_abs_max"] = r("_abs_d_heading", "max")
+    out["gps_step_mean"] = r("_gps_step", "mean")
+    out["gps_step_std"] = r("_gps_step", "std")
+    out["gps_step_max"] = r("_gps_step", "max")
+    out["speed_vs_gps"] = r("_spd_gps", "mean")
+    # mean of whole microseconds: exact integer sum, one rounding
+    cnt = rs.agg("_dt_us", n, "count")
+    out["dt_mean"] = F.when(cnt >= F.lit(m), rs.agg("_dt_us", n, "sum") / cnt / F.lit(1e6))
+    out["dt_std"] = r("_dt_raw", "std")
+    out["dt_max"] = r("_dt_raw", "max")
+    out["dt_min"] = r("_dt_raw", "min")
+    lags = {f"{p}_slope": (F.col(src) - F.lag(F.col(src), n - 1).over(w)) / F.lit(float(n))
+            for src, p in (("altitude", "alt"), ("speed", "spd"))}
+    df = df.withColumns({**rs.columns(), **lags})
+    return df.withColumns(out).drop(*rs.names(), "_abs_d_heading", "_spd_gps")
+
+
 def feature_columns(layout: frames.FlightLayout, window: int = DEFAULT_FEATURE_WINDOW) -> dict:
-    """Raw (unfilled) feature expressions over a frame with base deltas."""
+    """Raw (unfilled) feature expressions as self-contained window columns."""
     w = layout.window()
     n = int(window)
     m = max(2, n // 2)
@@ -47,7 +87,6 @@ def feature_columns(layout: frames.FlightLayout, window: int = DEFAULT_FEATURE_W
     dt = F.col("_dt_raw")
     gps_speed = g / F.nullif(dt, F.lit(0.0))
     out["speed_vs_gps"] = r(F.abs(F.col("speed") - gps_speed), "mean")
-    # mean of whole microseconds: exact integer sum, one rounding
     dtu = F.col("_dt_us")
     fw = w.rowsBetween(-(n - 1), 0)
     cnt = F.count(dtu).over(fw)
@@ -101,7 +140,7 @@ def fill_features(df: DataFrame, layout: frames.FlightLayout, fill: str,
 
 def add_features(staged: DataFrame, layout: frames.FlightLayout,
                  window: int = DEFAULT_FEATURE_WINDOW, fill: str = "backfill") -> DataFrame:
-    df = with_base_deltas(staged, layout).withColumns(feature_columns(layout, window))
+    df = add_feature_columns(with_base_deltas(staged, layout), layout, window)
     df = _with_sample_var(df)
     return fill_features(df, layout, fill)
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from aerolens.functions.geo import circular_diff, haversine_m
-from aerolens.functions.rolling import default_min_periods, rolling
+from aerolens.functions.rolling import RollingSet, default_min_periods, rolling
 from aerolens.functions.text import any_true, join_reasons, null_to_false
 from aerolens.operators import frames
 from aerolens.schema import DEFAULT_FLIGHT_KEYS, DEFAULT_STAT_CONFIG, FREEZE_REASON, L2_CHANNELS
@@ -45,8 +45,43 @@ def with_base_deltas(df: DataFrame, layout: frames.FlightLayout) -> DataFrame:
     })
 
 
+def add_change_columns(df: DataFrame, layout: frames.FlightLayout,
+                       config: dict | None = None) -> DataFrame:
+    """L2 over a frame that already has base deltas (one Window node)."""
+    cfg = DEFAULT_STAT_CONFIG if config is None else config
+    rs = RollingSet(layout.window(), "_l2")
+    n = int(cfg["window"])
+    min_std = float(cfg["min_std"])
+    th = float(cfg["z_threshold"])
+    deltas = {"altitude": "_d_altitude", "speed": "_d_speed", "heading": "_d_heading",
+              "gps_step": "_gps_step"}
+    out = {}
+    flags = []
+    for ch in L2_CHANNELS:
+        src = deltas[ch]
+        mean = rs.rolling(src, n, "mean")
+        std = rs.rolling(src, n, "std")
+        z = F.when(std.isNotNull(), (F.col(src) - mean) / F.greatest(std, F.lit(min_std)))
+        out[f"z_{ch}"] = z
+    fw = int(cfg["freeze_window"])
+    fm = default_min_periods(fw)
+    freeze = null_to_false(
+        (rs.rolling("speed", fw, "std", fm) < F.lit(float(cfg["freeze_speed_std"])))
+        & (rs.rolling("heading", fw, "std", fm) < F.lit(float(cfg["freeze_heading_std"])))
+        & (rs.rolling("_gps_step", fw, "std", fm) < F.lit(float(cfg["freeze_gps_std"]))))
+    df = df.withColumns(rs.columns())
+    df = df.withColumns(out).withColumn("_freeze", freeze)
+    for ch in L2_CHANNELS:
+        flags.append((null_to_false(F.abs(F.col(f"z_{ch}")) > F.lit(th)), f"sudden_{ch}"))
+    flags.append((F.col("_freeze"), FREEZE_REASON))
+    df = df.withColumns({"alert_change": any_true([f for f, _ in flags]),
+                         "change_reasons": join_reasons(flags)})
+    return df.drop(*rs.names(), "_freeze")
+
+
 def change_columns(layout: frames.FlightLayout, config: dict | None = None) -> dict:
-    """Column expressions of L2 over a frame that already has base deltas."""
+    """Column expressions of L2 (self-contained window expressions; the
+    ``add_change_columns`` form shares aggregates and is faster)."""
     cfg = DEFAULT_STAT_CONFIG if config is None else config
     w = layout.window()
     n = int(cfg["window"])
@@ -92,5 +127,5 @@ def detect_sudden_changes(df: DataFrame, config: dict | None = None,
     cfg = DEFAULT_STAT_CONFIG if config is None else config
     staged, layout = frames.stage(df, flight_keys, halo=required_halo(cfg),
                                   hot_rows=hot_rows, chunk_rows=chunk_rows)
-    out = with_base_deltas(staged, layout).withColumns(change_columns(layout, cfg))
+    out = add_change_columns(with_base_deltas(staged, layout), layout, cfg)
     return frames.unstage(out, layout).drop(*BASE_COLUMNS)

@@ -14,7 +14,7 @@ from aerolens.operators import frames
 from aerolens.operators.combine import combine_layers, validate_layers
 from aerolens.operators.features import add_features
 from aerolens.operators.rules import detect_threshold_violations
-from aerolens.operators.statistical import (BASE_COLUMNS, change_columns, required_halo,
+from aerolens.operators.statistical import (BASE_COLUMNS, add_change_columns, required_halo,
                                             with_base_deltas)
 from aerolens.schema import DEFAULT_FEATURE_WINDOW, DEFAULT_FLIGHT_KEYS, DEFAULT_STAT_CONFIG
 
@@ -45,7 +45,7 @@ def detect(df: DataFrame, layers=("rules", "statistical", "ml"), model=None,
                                       chunk_rows=chunk_rows, bucket_span=bucket_span)
         staged = with_base_deltas(staged, layout)
         if "statistical" in lay:
-            staged = staged.withColumns(change_columns(layout, cfg))
+            staged = add_change_columns(staged, layout, cfg)
         if feats:
             staged = add_features(staged, layout, fw, fill)
         out = frames.unstage(staged, layout)

@@ -29,6 +29,7 @@ from aerolens.schema import F1_EPS
 
 ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 100_000
+CUT_GRID = 1024        # cut points fetched with the count (finer grids on demand)
 
 
 def score_table(df: DataFrame, score_col: str, label_col: str = "label",
@@ -59,12 +60,21 @@ def score_table(df: DataFrame, score_col: str, label_col: str = "label",
 def _with_prefix(g: DataFrame, rows_per_bucket: int) -> DataFrame:
     """Add pos_le / neg_le (inclusive prefix in ``_s`` order) and totals P, N."""
     g = g.persist()
-    n = g.count()
+    # one action: row count of the distinct-score table + candidate cut points
+    probs = [i / CUT_GRID for i in range(1, CUT_GRID)]
+    st = g.agg(F.count(F.lit(1)).alias("n"),
+               F.percentile_approx("_s", probs, 10_000).alias("c")).first()
+    n = st["n"]
     buckets = max(1, min(MAX_BUCKETS, math.ceil(n / max(1, rows_per_bucket))))
     if buckets > 1:
-        probs = [i / buckets for i in range(1, buckets)]
-        cuts = g.agg(F.percentile_approx("_s", probs, 10_000).alias("c")).first()["c"] or []
-        splits = [-math.inf] + sorted(set(float(c) for c in cuts)) + [math.inf]
+        grid = st["c"] or []
+        if buckets >= CUT_GRID:
+            probs = [i / buckets for i in range(1, buckets)]
+            grid = g.agg(F.percentile_approx("_s", probs, 10_000).alias("c")).first()["c"] or []
+        else:
+            step = len(grid) / buckets
+            grid = [grid[min(len(grid) - 1, int(round(i * step)) - 1)] for i in range(1, buckets)]
+        splits = [-math.inf] + sorted(set(float(c) for c in grid)) + [math.inf]
         g = Bucketizer(splits=splits, inputCol="_s", outputCol="_bk").transform(g)
     else:
         g = g.withColumn("_bk", F.lit(0.0))

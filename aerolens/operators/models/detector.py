@@ -121,7 +121,9 @@ class AnomalyDetector:
                 numTrees=int(self._p("n_estimators", 200)), maxDepth=int(self._p("max_depth", 16)),
                 minInstancesPerNode=int(self._p("min_samples_leaf", 20)), seed=seed,
                 featuresCol=_VEC, labelCol="_y", weightCol="_w",
-                featureSubsetStrategy=self._p("max_features", "sqrt"))
+                featureSubsetStrategy=self._p("max_features", "sqrt"),
+                maxMemoryInMB=int(self._p("max_memory_mb", 1024)),
+                cacheNodeIds=bool(self._p("cache_node_ids", True)))
         else:
             mode = "pos_ratio"
             est = GBTClassifier(
@@ -129,7 +131,9 @@ class AnomalyDetector:
                 stepSize=float(self._p("learning_rate", 0.05)),
                 subsamplingRate=float(self._p("subsample", 0.9)),
                 featureSubsetStrategy=str(self._p("colsample_bytree", 0.9)), seed=seed,
-                featuresCol=_VEC, labelCol="_y", weightCol="_w")
+                featuresCol=_VEC, labelCol="_y", weightCol="_w",
+                maxMemoryInMB=int(self._p("max_memory_mb", 1024)),
+                cacheNodeIds=bool(self._p("cache_node_ids", True)))
         w = class_weights(lab, "label", mode or "none")
         data = self._assemble(lab).select(_VEC, F.col("label").cast("double").alias("_y"),
                                           weight_column(w).alias("_w"))

@@ -1,9 +1,10 @@
 """Isolation forest as a Spark job (M6; Liu, Ting, Zhou 2008).
 
 Training: each tree needs ``psi`` = min(max_samples, n) random clean rows.
-Rows are drawn by seeded hashes (no driver sampling): a row is a candidate
-for tree t with a probability that gives ~2 psi candidates per tree, and the
-``psi`` candidates with the smallest hash are kept.  Trees are grown in
+Rows are drawn by seeded hashes (no driver sampling): a row is kept with a
+probability that gives ~2 psi candidates per tree and sent to one hashed
+tree (several distinct ones when the table is small); per tree the ``psi``
+candidates with the smallest hash are kept (without replacement).  Trees are grown in
 parallel with ``groupBy(tree_id).applyInPandas`` (one small group per tree).
 
 Scoring: the forest (n_trees x at most 2 psi - 1 nodes, bounded by the two
@@ -81,15 +82,21 @@ def fit_forest(train: DataFrame, feature_cols, n_trees: int = 150, max_samples:
     if n == 0:
         raise ValueError("no training rows for isolation_forest")
     psi = int(min(max_samples, n))
-    f = min(1.0, 2.0 * psi * n_trees / n)          # row is a candidate at all
-    p = min(1.0, 2.0 * psi / (n * f))              # candidate for a given tree
+    # ~2 psi candidates per tree: keep a row with probability f, send a kept
+    # row to r distinct hashed trees (r = 1 unless the table is small)
+    f = min(1.0, 2.0 * psi * n_trees / n)
+    r = max(1, min(n_trees, math.ceil(2.0 * psi * n_trees / (n * f))))
     scale = float(1 << 30)
     h = row_hash(train, seed)
     u = lambda c: F.pmod(c, F.lit(1 << 30)).cast("double") / F.lit(scale)
     feats = F.array(*[F.col(c).cast("double") for c in feature_cols]).alias("x")
     kept = train.select(h.alias("_h"), feats).filter(u(F.col("_h")) < F.lit(f))
-    trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)),
-                     lambda t: u(F.xxhash64(F.col("_h"), t, F.lit(seed + 1))) < F.lit(p))
+    if r == 1:
+        trees = F.array(F.pmod(F.xxhash64(F.col("_h"), F.lit(seed + 1)), F.lit(n_trees)).cast("int"))
+    else:
+        trees = F.array_distinct(F.transform(
+            F.sequence(F.lit(0), F.lit(r - 1)),
+            lambda j: F.pmod(F.xxhash64(F.col("_h"), j, F.lit(seed + 1)), F.lit(n_trees)).cast("int")))
     cand = kept.select("x", F.explode(trees).alias("tree_id"), "_h") \
         .withColumn("_rk", F.xxhash64(F.col("_h"), F.col("tree_id"), F.lit(seed + 2)))
     w = Window.partitionBy("tree_id").orderBy("_rk", "_h")

@@ -3,10 +3,12 @@
 Structured Streaming has no row-count windows, so the stream keeps the last
 rows of each flight in state and evaluates the same definitions as the
 batch operators on (buffer + new rows).  Rolling aggregates repeat Spark's
-own arithmetic (sum then divide for the mean; the running central-moment
-update for the standard deviation, frame rows in order), so the stream
-matches the batch columns; features use the causal fill (0), since a
-stream cannot look ahead.
+own arithmetic (frame rows in order, oldest first: running sum then divide
+for the mean; the running central-moment update for the standard
+deviation), so the stream matches the batch columns.  All series of one
+frame length are stacked into one 2-D array, so each frame offset costs one
+set of numpy calls whatever the number of series.  Features use the causal
+fill (0): a stream cannot look ahead.
 """
 
 from __future__ import annotations
@@ -17,52 +19,61 @@ from aerolens.schema import (DEFAULT_STAT_CONFIG, EARTH_RADIUS_M, FEATURE_NAMES,
                              L2_CHANNELS)
 
 
-def _frames(x: np.ndarray, n: int):
-    """Yield (offset j, values x[i - j], valid mask) for j = n-1 .. 0 (frame order)."""
-    m = len(x)
-    for j in range(n - 1, -1, -1):
-        v = np.full(m, np.nan)
-        if j < m:
-            v[j:] = x[:m - j]
-        yield v
+def rolling_stats(X: np.ndarray, n: int, ops=("count", "mean", "std", "max", "min")) -> dict:
+    """Rolling statistics of each row of ``X`` (series x time) over ``n`` samples.
+
+    Returns arrays shaped like ``X``; min-periods masking is left to the caller.
+    """
+    X = np.atleast_2d(np.asarray(X, dtype=float))
+    k, m = X.shape
+    cnt = np.zeros((k, m))
+    s = np.zeros((k, m)) if "mean" in ops or "sum" in ops else None
+    want_std = "std" in ops
+    avg = np.zeros((k, m)) if want_std else None
+    m2 = np.zeros((k, m)) if want_std else None
+    mx = np.full((k, m), np.nan) if "max" in ops else None
+    mn = np.full((k, m), np.nan) if "min" in ops else None
+    for j in range(n - 1, -1, -1):            # oldest frame row first
+        if j >= m:
+            continue
+        v = np.full((k, m), np.nan)
+        v[:, j:] = X[:, :m - j]
+        ok = ~np.isnan(v)
+        cnt += ok
+        vz = np.where(ok, v, 0.0)
+        if s is not None:
+            s += vz
+        if want_std:
+            delta = np.where(ok, v - avg, 0.0)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                dn = np.where(ok, delta / cnt, 0.0)
+            avg += dn
+            m2 += delta * (delta - dn)
+        if mx is not None:
+            mx = np.where(ok, np.fmax(mx, v), mx)
+        if mn is not None:
+            mn = np.where(ok, np.fmin(mn, v), mn)
+    out = {"count": cnt}
+    with np.errstate(invalid="ignore", divide="ignore"):
+        if s is not None:
+            out["sum"] = s
+            out["mean"] = np.where(cnt > 0, s / cnt, np.nan)
+        if want_std:
+            out["std"] = np.where(cnt >= 2, np.sqrt(m2 / (cnt - 1.0)), np.nan)
+    if mx is not None:
+        out["max"] = mx
+    if mn is not None:
+        out["min"] = mn
+    return out
 
 
 def rolling(x: np.ndarray, n: int, op: str, min_periods: int) -> np.ndarray:
-    x = np.asarray(x, dtype=float)
-    m = len(x)
-    cnt = np.zeros(m)
-    if op == "mean":
-        s = np.zeros(m)
-        for v in _frames(x, n):
-            ok = ~np.isnan(v)
-            s[ok] += v[ok]
-            cnt[ok] += 1
-        with np.errstate(invalid="ignore", divide="ignore"):
-            out = s / cnt
-    elif op == "std":
-        avg = np.zeros(m)
-        m2 = np.zeros(m)
-        for v in _frames(x, n):
-            ok = ~np.isnan(v)
-            cnt[ok] += 1.0
-            delta = v[ok] - avg[ok]
-            dn = delta / cnt[ok]
-            avg[ok] = avg[ok] + dn
-            m2[ok] = m2[ok] + delta * (delta - dn)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            out = np.sqrt(m2 / (cnt - 1.0))
-        out[cnt < 2] = np.nan
-    elif op in ("max", "min"):
-        out = np.full(m, np.nan)
-        for v in _frames(x, n):
-            ok = ~np.isnan(v)
-            cnt[ok] += 1
-            cur = out[ok]
-            out[ok] = np.where(np.isnan(cur), v[ok], np.fmax(cur, v[ok]) if op == "max"
-                               else np.fmin(cur, v[ok]))
-    else:
+    """Single-series rolling ``op`` with min periods (NaN below)."""
+    if op not in ("mean", "std", "max", "min"):
         raise ValueError(f"Unknown rolling operation: {op}")
-    out[cnt < min_periods] = np.nan
+    st = rolling_stats(np.asarray(x, dtype=float)[None, :], n, ("count", op))
+    out = st[op][0].copy()
+    out[st["count"][0] < min_periods] = np.nan
     return out
 
 
@@ -73,6 +84,12 @@ def _lag(x: np.ndarray, k: int = 1) -> np.ndarray:
     return out
 
 
+def _masked(st: dict, op: str, i: int, mp: int) -> np.ndarray:
+    v = st[op][i].copy()
+    v[st["count"][i] < mp] = np.nan
+    return v
+
+
 def window_columns(cols: dict[str, np.ndarray], cfg: dict | None = None,
                    feature_window: int | None = 8, with_l2: bool = True) -> dict[str, np.ndarray]:
     """L2 columns and causal features for rows in flight order."""
@@ -91,42 +108,48 @@ def window_columns(cols: dict[str, np.ndarray], cfg: dict | None = None,
     if with_l2:
         n, th, floor = int(cfg["window"]), float(cfg["z_threshold"]), float(cfg["min_std"])
         mp = max(1, n // 2)
+        st = rolling_stats(np.vstack([d[c] for c in L2_CHANNELS]), n, ("count", "mean", "std"))
         flags = []
-        for ch in L2_CHANNELS:
-            mean = rolling(d[ch], n, "mean", mp)
-            std = rolling(d[ch], n, "std", mp)
+        for i, ch in enumerate(L2_CHANNELS):
+            mean, std = _masked(st, "mean", i, mp), _masked(st, "std", i, mp)
             with np.errstate(invalid="ignore"):
                 z = np.where(np.isnan(std), np.nan, (d[ch] - mean) / np.maximum(std, floor))
                 flags.append((np.abs(z) > th, f"sudden_{ch}"))
             out[f"z_{ch}"] = z
         fw = int(cfg["freeze_window"])
         fm = max(1, fw // 2)
+        fz = rolling_stats(np.vstack([spd, hdg, d["gps_step"]]), fw, ("count", "std"))
         with np.errstate(invalid="ignore"):
-            fr = ((rolling(spd, fw, "std", fm) < cfg["freeze_speed_std"])
-                  & (rolling(hdg, fw, "std", fm) < cfg["freeze_heading_std"])
-                  & (rolling(d["gps_step"], fw, "std", fm) < cfg["freeze_gps_std"]))
+            fr = ((_masked(fz, "std", 0, fm) < cfg["freeze_speed_std"])
+                  & (_masked(fz, "std", 1, fm) < cfg["freeze_heading_std"])
+                  & (_masked(fz, "std", 2, fm) < cfg["freeze_gps_std"]))
         flags.append((fr, FREEZE_REASON))
         out["alert_change"] = np.logical_or.reduce([f for f, _ in flags])
-        out["change_reasons"] = np.array(
-            ["|".join(name for f, name in flags if f[i]) for i in range(len(alt))], dtype=object)
+        names = np.array([name for _, name in flags], dtype=object)
+        fl = np.vstack([f for f, _ in flags])
+        out["change_reasons"] = np.array(["|".join(names[fl[:, i]]) for i in range(len(alt))],
+                                         dtype=object)
     if feature_window:
         n = int(feature_window)
         m = max(2, n // 2)
-        r = lambda x, op: rolling(x, n, op, m)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            gs = d["gps_step"] / np.where(dt == 0, np.nan, dt)
+        series = [alt, spd, d["heading"], np.abs(d["heading"]), d["gps_step"],
+                  np.abs(spd - gs), dt_us, dt]
+        st = rolling_stats(np.vstack(series), n)
+        g = lambda op, i: _masked(st, op, i, m)
         f = {}
-        for src, p in ((alt, "alt"), (spd, "spd")):
-            f[f"{p}_mean"], f[f"{p}_std"] = r(src, "mean"), r(src, "std")
-            f[f"{p}_range"] = r(src, "max") - r(src, "min")
+        for i, p in ((0, "alt"), (1, "spd")):
+            f[f"{p}_mean"], f[f"{p}_std"] = g("mean", i), g("std", i)
+            f[f"{p}_range"] = g("max", i) - g("min", i)
+            src = series[i]
             f[f"{p}_slope"] = (src - _lag(src, n - 1)) / float(n)
-        f["hdg_diff_mean"], f["hdg_diff_std"] = r(d["heading"], "mean"), r(d["heading"], "std")
-        f["hdg_diff_abs_max"] = r(np.abs(d["heading"]), "max")
-        g = d["gps_step"]
-        f["gps_step_mean"], f["gps_step_std"], f["gps_step_max"] = r(g, "mean"), r(g, "std"), r(g, "max")
-        with np.errstate(invalid="ignore", divide="ignore"):
-            gs = g / np.where(dt == 0, np.nan, dt)
-        f["speed_vs_gps"] = r(np.abs(spd - gs), "mean")
-        f["dt_mean"] = r(dt_us, "mean") / 1e6
-        f["dt_std"], f["dt_max"], f["dt_min"] = r(dt, "std"), r(dt, "max"), r(dt, "min")
+        f["hdg_diff_mean"], f["hdg_diff_std"] = g("mean", 2), g("std", 2)
+        f["hdg_diff_abs_max"] = g("max", 3)
+        f["gps_step_mean"], f["gps_step_std"], f["gps_step_max"] = g("mean", 4), g("std", 4), g("max", 4)
+        f["speed_vs_gps"] = g("mean", 5)
+        f["dt_mean"] = g("mean", 6) / 1e6
+        f["dt_std"], f["dt_max"], f["dt_min"] = g("std", 7), g("max", 7), g("min", 7)
         f["sample_var_score"] = (np.nan_to_num(f["alt_std"]) + np.nan_to_num(f["spd_std"])
                                  + np.nan_to_num(f["hdg_diff_std"]) + np.nan_to_num(f["gps_step_std"]))
         for k in FEATURE_NAMES:

@@ -178,3 +178,26 @@ def percentile_threshold(df: DataFrame, score_col: str, percent: float = 2.0,
               F.max(F.when(cover(hi), F.col("_s"))).alias("vhi"),
               F.max(k - lo).alias("frac"))
     return a.select((F.col("vlo") + (F.col("vhi") - F.col("vlo")) * F.col("frac")).alias("threshold"))
+
+
+def curve_summary(df: DataFrame, score_col: str, label_col: str = "label",
+                  direction: str = "high", **kw) -> DataFrame:
+    """AUC, average precision and the max-F1 threshold from ONE score table
+    (one prefix-sum pass instead of one per metric); one row."""
+    t = score_table(df, score_col, label_col, direction, **kw)
+    p = _ratio(F.col("tp"), F.col("tp") + F.col("fp"))
+    r = F.when(F.col("P") == 0, F.lit(1.0)).otherwise(F.col("tp") / F.col("P").cast("double"))
+    f1 = F.lit(2.0) * p * r / (p + r + F.lit(F1_EPS))
+    above = F.col("P") - F.col("pos_le")
+    c = t.select("threshold", "pos", "neg", "P", "N", above.alias("above"), p.alias("prec"),
+                 f1.alias("f1"))
+    a = c.agg(F.sum(F.col("neg") * (F.col("above").cast("double") + F.col("pos") / F.lit(2.0))).alias("u"),
+              F.sum(F.col("pos") * F.col("prec")).alias("ap_s"),
+              F.max_by(F.struct("threshold", "f1"), F.struct(F.col("f1"), -F.col("threshold"))).alias("b"),
+              F.first("P").alias("P"), F.first("N").alias("N"))
+    return a.select(
+        F.when((F.col("P") > 0) & (F.col("N") > 0),
+               F.col("u") / (F.col("P").cast("double") * F.col("N"))).alias("auc"),
+        F.when(F.col("P") > 0, F.col("ap_s") / F.col("P")).otherwise(F.lit(0.0)).alias("ap"),
+        F.coalesce(F.col("b.threshold"), F.lit(0.5)).alias("max_f1_threshold"),
+        F.col("b.f1").alias("max_f1"))

@@ -24,6 +24,7 @@ from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier,
                                        RandomForestClassificationModel, RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from aerolens.operators import curves
@@ -78,24 +79,32 @@ class AnomalyDetector:
 
     # --------------------------------------------------------------- fit
     def fit(self, train: DataFrame) -> "AnomalyDetector":
+        """Fit on ``train``; the training features (20 columns + label) are
+        persisted for the duration of the fit, since the fit reads them
+        several times (sampling, training passes, threshold)."""
         spark = train.sparkSession
-        df = self.with_features(train)
         self.feature_names = list(FEATURE_NAMES)
         seed = int(self._p("random_state", 42))
-        if self.algorithm in UNSUPERVISED:
-            clean = df.filter(F.col("label") == 0)
-            clean = subsample(clean, self.max_train_samples, seed)
-            self._fit_unsupervised(spark, clean, seed)
-            scored = clean.withColumn("ml_score", self._score_expr(spark))
-            self.threshold = float(curves.percentile_threshold(
-                scored, "ml_score", self.threshold_percentile).first()["threshold"])
-        else:
-            lab = df.filter(F.col("label").isNotNull())
-            lab = subsample(lab, self.max_train_samples, seed)
-            self._fit_supervised(lab, seed)
-            scored = self._raw_scores(lab)
-            best = curves.max_f1_threshold(scored, "ml_score", direction="high").first()
-            self.optimal_threshold = float(best["threshold"]) if best else 0.5
+        df = self.with_features(train).select("label", *self.feature_names, *[
+            c for c in ("replicate", "case_id", "row_idx", "_ord") if c in train.columns])
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            if self.algorithm in UNSUPERVISED:
+                clean = df.filter(F.col("label") == 0)
+                clean = subsample(clean, self.max_train_samples, seed)
+                self._fit_unsupervised(spark, clean, seed)
+                scored = clean.withColumn("ml_score", self._score_expr(spark))
+                self.threshold = float(curves.percentile_threshold(
+                    scored, "ml_score", self.threshold_percentile).first()["threshold"])
+            else:
+                lab = df.filter(F.col("label").isNotNull())
+                lab = subsample(lab, self.max_train_samples, seed)
+                self._fit_supervised(lab, seed)
+                scored = self._raw_scores(lab)
+                best = curves.max_f1_threshold(scored, "ml_score", direction="high").first()
+                self.optimal_threshold = float(best["threshold"]) if best else 0.5
+        finally:
+            df.unpersist()
         return self
 
     def _fit_unsupervised(self, spark: SparkSession, clean: DataFrame, seed: int):

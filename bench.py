@@ -63,8 +63,7 @@ def main():
     def q_curves():
         d = detect(tele, layers=("statistical",))
         s = d.select("label", F.coalesce(F.abs("z_altitude"), F.lit(0.0)).alias("score"))
-        run(curves.roc_auc(s, "score"))
-        run(curves.max_f1_threshold(s, "score"))
+        run(curves.curve_summary(s, "score"))
 
     def q_isolation_forest():
         run(AnomalyDetector("isolation_forest").fit(train).predict(test))

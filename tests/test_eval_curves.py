@@ -111,3 +111,15 @@ def test_choose_case(spark):
     assert ev.choose_case_id(df, 550).first()["case_id"] == 5
     with pytest.raises(Exception):
         ev.choose_case_id(df.filter(F.lit(False)), 1).first()
+
+
+def test_curve_summary_matches_single_metrics(spark):
+    rng = np.random.default_rng(9)
+    y = list(rng.integers(0, 2, 200))
+    s = list(np.round(rng.normal(0, 1, 200) + np.array(y), 1))
+    df = _scores(spark, y, s)
+    one = curves.curve_summary(df, "score").first()
+    assert one["auc"] == pytest.approx(curves.roc_auc(df, "score").first()["auc"])
+    assert one["ap"] == pytest.approx(curves.average_precision(df, "score").first()["ap"])
+    m = curves.max_f1_threshold(df, "score").first()
+    assert one["max_f1_threshold"] == m["threshold"] and one["max_f1"] == pytest.approx(m["f1"])

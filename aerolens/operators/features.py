@@ -142,7 +142,9 @@ def add_features(staged: DataFrame, layout: frames.FlightLayout,
                  window: int = DEFAULT_FEATURE_WINDOW, fill: str = "backfill") -> DataFrame:
     df = add_feature_columns(with_base_deltas(staged, layout), layout, window)
     df = _with_sample_var(df)
-    return fill_features(df, layout, fill)
+    df = fill_features(df, layout, fill)
+    # canonical order: input columns, then the features in model order
+    return df.select(*[c for c in df.columns if c not in FEATURE_NAMES], *FEATURE_NAMES)
 
 
 def compute_features(df: DataFrame, window: int = DEFAULT_FEATURE_WINDOW,

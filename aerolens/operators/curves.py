@@ -160,7 +160,8 @@ def percentile_threshold(df: DataFrame, score_col: str, percent: float = 2.0,
     """The ``percent``-th percentile of the scores (linear interpolation).
 
     ``exact=True`` finds the two order statistics through the distributed
-    prefix table (no value buffer per group); ``exact=False`` uses
+    prefix table (no value buffer per group) and also returns the minimum
+    and maximum (``min_value``, ``max_value``); ``exact=False`` uses
     ``percentile_approx``.
     """
     q = float(percent) / 100.0
@@ -176,8 +177,10 @@ def percentile_threshold(df: DataFrame, score_col: str, percent: float = 2.0,
     cover = lambda r: (F.col("pos_le") - F.col("pos") <= r) & (r < F.col("pos_le"))
     a = t.agg(F.max(F.when(cover(lo), F.col("_s"))).alias("vlo"),
               F.max(F.when(cover(hi), F.col("_s"))).alias("vhi"),
-              F.max(k - lo).alias("frac"))
-    return a.select((F.col("vlo") + (F.col("vhi") - F.col("vlo")) * F.col("frac")).alias("threshold"))
+              F.max(k - lo).alias("frac"),
+              F.min("_s").alias("min_value"), F.max("_s").alias("max_value"))
+    return a.select((F.col("vlo") + (F.col("vhi") - F.col("vlo")) * F.col("frac")).alias("threshold"),
+                    "min_value", "max_value")
 
 
 def curve_summary(df: DataFrame, score_col: str, label_col: str = "label",

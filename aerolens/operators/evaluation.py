@@ -180,11 +180,13 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
     return df.groupBy(col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc(col))
 
 
-def sample_rate_per_case(df: DataFrame, flight_keys=DEFAULT_FLIGHT_KEYS) -> DataFrame:
+def sample_rate_per_case(df: DataFrame, flight_keys=DEFAULT_FLIGHT_KEYS,
+                         approx: bool = False, accuracy: int = 10_000) -> DataFrame:
     """A3: median time step (s) per flight; a one-row flight gives NULL.
 
-    The aggregate runs on the lag's partitioning (no second Exchange); the
-    exact median buffers distinct values per flight, not rows.
+    The exact median buffers the distinct time steps of a flight (sampling
+    steps repeat, so far fewer than its rows); ``approx=True`` uses a
+    fixed-size quantile sketch per flight instead.
     """
     from aerolens.operators import frames
     keys = list(flight_keys)
@@ -193,14 +195,20 @@ def sample_rate_per_case(df: DataFrame, flight_keys=DEFAULT_FLIGHT_KEYS) -> Data
     t = F.unix_micros(F.col("timestamp"))
     d = staged.withColumn("dt", (t - F.lag(t).over(lay.window())) / F.lit(1e6))
     d = frames.unstage(d, lay)
-    return d.groupBy(*keys).agg(F.median("dt").alias("median_dt"))
+    med = F.percentile_approx("dt", 0.5, accuracy) if approx else F.median("dt")
+    return d.groupBy(*keys).agg(med.alias("median_dt"))
 
 
 def sample_rate_summary(rates: DataFrame) -> DataFrame:
-    """A4: min / median / max of the per-flight medians."""
-    return rates.agg(F.min("median_dt").alias("min_dt"),
-                     F.median("median_dt").alias("median_dt"),
-                     F.max("median_dt").alias("max_dt"))
+    """A4: min / median / max of the per-flight medians.
+
+    The median is the distributed exact percentile (no value buffer in one
+    task, however many flights there are).
+    """
+    from aerolens.operators.curves import percentile_threshold
+    p = percentile_threshold(rates, "median_dt", 50.0)
+    return p.select(F.col("min_value").alias("min_dt"), F.col("threshold").alias("median_dt"),
+                    F.col("max_value").alias("max_dt"))
 
 
 def pick_case_with_anomalies(df: DataFrame, min_anomalies: int = 50) -> DataFrame:

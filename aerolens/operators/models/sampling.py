@@ -13,17 +13,30 @@ def row_hash(df: DataFrame, seed: int, cols=None) -> F.Column:
     return F.xxhash64(*[F.col(c) for c in cols], F.lit(int(seed)))
 
 
-def subsample(df: DataFrame, n: int | None, seed: int = 42) -> DataFrame:
+def subsample(df: DataFrame, n: int | None, seed: int = 42, oversample: float = 3.0) -> DataFrame:
     """Exactly ``n`` rows without replacement (all rows if fewer).
 
-    Rows are ranked by a seeded hash and the ``n`` smallest kept: a
-    TakeOrdered (per-partition top-n, then merge), no full sort; the same
-    rows come back on every run and after any recomputation.
+    Rows are ranked by a seeded hash and the ``n`` smallest kept, so the
+    same rows come back on every run and after any recomputation.  To keep
+    the final top-n merge small, only rows whose hash falls below a
+    threshold sized for ~``oversample`` x n candidates take part; if fewer
+    than n pass (unlikely), all rows are ranked.  Exact either way: the n
+    smallest hashes are all below the threshold when at least n rows are.
     """
     if not n:
         return df
+    n = int(n)
+    total = df.count()
+    if total <= n:
+        return df
     h = row_hash(df, seed)
-    return df.withColumn("_h", h).orderBy("_h").limit(int(n)).drop("_h")
+    ranked = df.withColumn("_h", h)
+    frac = min(1.0, oversample * n / total)
+    cut = F.lit(int(frac * 2 ** 62))
+    cand = ranked.filter(F.abs(F.col("_h") % F.lit(2 ** 62)) < cut) if frac < 1.0 else ranked
+    if frac < 1.0 and cand.count() < n:
+        cand = ranked
+    return cand.orderBy("_h").limit(n).drop("_h")
 
 
 def class_weights(df: DataFrame, label_col: str = "label", mode: str = "balanced") -> dict:

@@ -131,3 +131,12 @@ def test_injected_anomalies_found_by_l2(spark):
     assert plan.count() == 1 and hit >= 1
     with pytest.raises(ValueError):
         injection_plan(df, pool=["teleport"])
+
+
+def test_subsample_exact_and_repeatable(spark, tele):
+    from aerolens.operators.models.sampling import row_hash, subsample
+    a = {r["event_id"] for r in subsample(tele, 50, seed=7).collect()}
+    b = {r["event_id"] for r in subsample(tele, 50, seed=7).collect()}
+    brute = {r["event_id"] for r in tele.withColumn("_h", row_hash(tele, 7)).orderBy("_h").limit(50).collect()}
+    assert a == b == brute and len(a) == 50
+    assert subsample(tele, 10 ** 9).count() == tele.count()

@@ -32,8 +32,9 @@ def subsample(df: DataFrame, n: int | None, seed: int = 42, oversample: float =
     h = row_hash(df, seed)
     ranked = df.withColumn("_h", h)
     frac = min(1.0, oversample * n / total)
-    cut = F.lit(int(frac * 2 ** 62))
-    cand = ranked.filter(F.abs(F.col("_h") % F.lit(2 ** 62)) < cut) if frac < 1.0 else ranked
+    # the hash is ~uniform on [-2^63, 2^63): keep the lowest ``frac`` of its range
+    cut = int(-(2 ** 63) + frac * 2 ** 64) if frac < 1.0 else None
+    cand = ranked.filter(F.col("_h") < F.lit(cut)) if cut is not None else ranked
     if frac < 1.0 and cand.count() < n:
         cand = ranked
     return cand.orderBy("_h").limit(n).drop("_h")

@@ -34,10 +34,13 @@ from aerolens.schema import (DEFAULT_FEATURE_WINDOW, DEFAULT_FLIGHT_KEYS, DEFAUL
 from aerolens.streaming.state_math import window_columns
 
 CTX = ("row_idx", "_ord", "t_us", "altitude", "speed", "heading", "latitude", "longitude")
+# one state row per flight bucket: per-flight buffers flattened in flight order
 STATE_SCHEMA = T.StructType(
-    [T.StructField(c, T.ArrayType(T.DoubleType())) for c in CTX]
-    + [T.StructField("late", T.LongType()), T.StructField("max_ts_ms", T.LongType())])
-
+    [T.StructField("fkeys", T.ArrayType(T.StringType())),
+     T.StructField("counts", T.ArrayType(T.IntegerType())),
+     T.StructField("late", T.ArrayType(T.LongType())),
+     T.StructField("max_ts_ms", T.ArrayType(T.LongType()))]
+    + [T.StructField(c, T.ArrayType(T.DoubleType())) for c in CTX])
 
 ALERT_READ_SCHEMA = T.StructType([
     T.StructField("timestamp", T.StringType()), T.StructField("case_id", T.LongType()),
@@ -68,10 +71,29 @@ def _step_schema(in_schema: T.StructType, with_l2: bool, with_features: bool) ->
     return T.StructType(fields)
 
 
+def _empty_state():
+    return {"fkeys": np.array([], dtype=object), "counts": np.zeros(0, dtype=np.int64),
+            "late": np.zeros(0, dtype=np.int64), "max_ts_ms": np.zeros(0, dtype=np.int64),
+            **{c: np.zeros(0) for c in CTX}}
+
+
 def stateful_windows(stream: DataFrame, flight_keys=DEFAULT_FLIGHT_KEYS, layers=("statistical",),
                      stat_config=None, feature_window: int | None = None,
-                     buffer_size: int | None = None, eviction: str = "1 day") -> DataFrame:
-    """L2 columns and causal features per new row, with per-flight state."""
+                     buffer_size: int | None = None, eviction: str = "1 day",
+                     buckets: int | None = None) -> DataFrame:
+    """L2 columns and causal features per new row, with per-flight state.
+
+    State is keyed by a hash bucket of the flight keys (``buckets`` keys, fix
+    it for the life of a checkpoint): one Python call per bucket and batch
+    processes all its flights in one vectorised pass (frames never cross a
+    flight), instead of one call per flight.  Each flight keeps only its last
+    ``buffer_size`` rows, its late-row count and its last event time; a
+    flight idle for ``eviction`` is dropped, and a bucket whose flights are
+    all idle times out.  ``buckets`` defaults to 4 x
+    ``spark.sql.shuffle.partitions`` of the session at first start; pass it
+    explicitly in production (about active flights / 50) and keep it fixed
+    for the life of the checkpoint.
+    """
     cfg = DEFAULT_STAT_CONFIG if stat_config is None else stat_config
     with_l2 = "statistical" in layers
     with_f = "ml" in layers
@@ -81,9 +103,17 @@ def stateful_windows(stream: DataFrame, flight_keys=DEFAULT_FLIGHT_KEYS, layers=
         raise ValueError("buffer_size must hold window + 1 rows for exact L2")
     if "_ord" not in stream.columns:
         stream = stream.withColumn("_ord", F.lit(0).cast("bigint"))
-    stream = stream.withColumn("t_us", F.unix_micros("timestamp"))
+    keys = list(flight_keys)
+    if buckets is None:
+        buckets = 4 * int(stream.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    stream = stream.withColumns({
+        "t_us": F.unix_micros("timestamp"),
+        "_fkey": F.to_json(F.struct(*[F.col(k) for k in keys])),
+        "_fb": F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(int(buckets))).cast("int"),
+    })
     in_schema = stream.schema
     out_schema = _step_schema(in_schema, with_l2, with_f)
+    out_names = [f.name for f in out_schema.fields]
     evict_ms = int(pd.Timedelta(eviction).total_seconds() * 1000)
     names = [f.name for f in in_schema.fields]
 
@@ -91,47 +121,108 @@ def stateful_windows(stream: DataFrame, flight_keys=DEFAULT_FLIGHT_KEYS, layers=
         if state.hasTimedOut:
             state.remove()
             return
-        new = pd.concat(list(pdfs), ignore_index=True)
-        if state.exists:
-            st = state.get
-            buf = {c: np.asarray(st[i], dtype=float) for i, c in enumerate(CTX)}
-            late, max_ts = int(st[len(CTX)]), int(st[len(CTX) + 1])
-        else:
-            buf = {c: np.zeros(0) for c in CTX}
-            late, max_ts = 0, -(2 ** 62)
-        new = new.sort_values(["row_idx", "_ord"], kind="stable").reset_index(drop=True)
-        if len(buf["row_idx"]):
-            lr, lo = buf["row_idx"][-1], buf["_ord"][-1]
-            keep = (new["row_idx"] > lr) | ((new["row_idx"] == lr) & (new["_ord"] > lo))
-            late += int((~keep).sum())
-            new = new[keep.to_numpy()].reset_index(drop=True)
-        if len(new):
-            cols = {c: np.concatenate([buf[c], new[c].to_numpy(dtype=float)]) for c in CTX}
-            res = window_columns(cols, cfg, fw if with_f else None, with_l2)
-            k = len(buf["row_idx"])
-            out = new[names].copy()
-            for c, v in res.items():
-                out[c] = v[k:]
-            buf = {c: cols[c][-size:] for c in CTX}
-            max_ts = max(max_ts, int(new["t_us"].max()) // 1000)
+        frames_ = [p for p in pdfs if len(p)]
+        new = pd.concat(frames_, ignore_index=True) if frames_ else pd.DataFrame(columns=names)
+        old = state.get if state.exists else None
+        out, upd, timeout = bucket_step(new, old, state.getCurrentWatermarkMs(), cfg, fw, with_l2,
+                                        with_f, size, evict_ms, names, out_names)
+        if upd is None:
+            state.remove()
         else:
-            out = None
-        state.update(tuple([buf[c].tolist() for c in CTX] + [late, max_ts]))
-        wm = state.getCurrentWatermarkMs()
-        state.setTimeoutTimestamp(max(max_ts + evict_ms, wm + 1))
+            state.update(upd)
+            state.setTimeoutTimestamp(timeout)
         if out is not None:
-            yield out[[f.name for f in out_schema.fields]]
+            yield out
 
     return (stream.withWatermark("timestamp", eviction)
-            .groupBy(*flight_keys)
+            .groupBy("_fb")
             .applyInPandasWithState(step, out_schema, STATE_SCHEMA, "append",
                                     GroupStateTimeout.EventTimeTimeout)
-            .drop("t_us"))
+            .drop("t_us", "_fkey", "_fb"))
+
+
+def bucket_step(new: pd.DataFrame, old_state, wm: int, cfg: dict, fw: int, with_l2: bool,
+                with_f: bool, size: int, evict_ms: int, names: list, out_names: list):
+    """One micro-batch of one flight bucket (pure function of its inputs).
+
+    Returns (output rows or None, new state tuple or None to drop, timeout ms).
+    """
+    if old_state is not None:
+        st = old_state
+        old = {"fkeys": np.array(st[0], dtype=object), "counts": np.array(st[1], dtype=np.int64),
+               "late": np.array(st[2], dtype=np.int64), "max_ts_ms": np.array(st[3], dtype=np.int64),
+               **{c: np.asarray(st[4 + i], dtype=float) for i, c in enumerate(CTX)}}
+    else:
+        old = _empty_state()
+    late = {str(k): int(v) for k, v in zip(old["fkeys"], old["late"])}
+    max_ts = {str(k): int(v) for k, v in zip(old["fkeys"], old["max_ts_ms"])}
+    fk_old = np.repeat(old["fkeys"], old["counts"])
+    out = None
+    if len(new):
+        new = new.sort_values(["_fkey", "row_idx", "_ord"], kind="stable").reset_index(drop=True)
+        # last buffered (row_idx, _ord) per flight: the end of each flight's block
+        ends = np.cumsum(old["counts"]) - 1
+        last_r = dict(zip(old["fkeys"], old["row_idx"][ends])) if len(ends) else {}
+        last_o = dict(zip(old["fkeys"], old["_ord"][ends])) if len(ends) else {}
+        fkn = new["_fkey"].to_numpy(dtype=object)
+        lr = np.array([last_r.get(k, np.nan) for k in fkn], dtype=float)
+        lo = np.array([last_o.get(k, np.nan) for k in fkn], dtype=float)
+        r, o = new["row_idx"].to_numpy(dtype=float), new["_ord"].to_numpy(dtype=float)
+        keep = np.isnan(lr) | (r > lr) | ((r == lr) & (o > lo))
+        if not keep.all():
+            ks, cs = np.unique(fkn[~keep], return_counts=True)
+            for k, c in zip(ks, cs):
+                late[str(k)] = late.get(str(k), 0) + int(c)
+            new = new[keep].reset_index(drop=True)
+            fkn = fkn[keep]
+    if len(new):
+        touched = set(pd.unique(fkn))
+        in_t = np.fromiter((k in touched for k in fk_old), dtype=bool, count=len(fk_old))
+        # context per touched flight: its buffer rows, then its new rows
+        ctx_fk = np.concatenate([fk_old[in_t], fkn])
+        ctx = {c: np.concatenate([old[c][in_t], new[c].to_numpy(dtype=float)]) for c in CTX}
+        is_new = np.concatenate([np.zeros(in_t.sum(), dtype=bool), np.ones(len(new), dtype=bool)])
+        order = np.lexsort((ctx["_ord"], ctx["row_idx"], is_new, ctx_fk.astype(str)))
+        ctx_fk, is_new = ctx_fk[order], is_new[order]
+        ctx = {c: v[order] for c, v in ctx.items()}
+        seg = pd.factorize(ctx_fk)[0]
+        res = window_columns(ctx, cfg, fw if with_f else None, with_l2, seg=seg)
+        # new rows in ctx order are the sorted new rows (same key order)
+        comp = pd.DataFrame({c: v[is_new] for c, v in res.items()})
+        out = pd.concat([new[names].reset_index(drop=True), comp], axis=1)[out_names]
+        # keep the last `size` rows of each touched flight
+        pos = np.arange(len(seg))
+        seg_end = np.r_[np.flatnonzero(np.diff(seg)), len(seg) - 1]
+        from_end = seg_end[seg] - pos
+        keep_buf = from_end < size
+        nb_fk = np.concatenate([fk_old[~in_t], ctx_fk[keep_buf]])
+        nb = {c: np.concatenate([old[c][~in_t], ctx[c][keep_buf]]) for c in CTX}
+        tmax = new.groupby(fkn, sort=False)["t_us"].max()
+        for k, t in tmax.items():
+            max_ts[str(k)] = int(max(max_ts.get(str(k), -(2 ** 62)), int(t) // 1000))
+    else:
+        nb_fk, nb = fk_old, {c: old[c] for c in CTX}
+    alive = {k for k, t in max_ts.items() if wm <= 0 or t + evict_ms >= wm}
+    sel = np.fromiter((k in alive for k in nb_fk), dtype=bool, count=len(nb_fk))
+    nb_fk = nb_fk[sel]
+    if not len(nb_fk):
+        return out, None, 0
+    nb = {c: v[sel] for c, v in nb.items()}
+    keys_order, first_idx, counts = np.unique(nb_fk, return_index=True, return_counts=True)
+    # flatten in order of first appearance (rows of a flight are contiguous)
+    o = np.argsort(first_idx, kind="stable")
+    keys_order, counts = keys_order[o], counts[o]
+    upd = tuple([[str(k) for k in keys_order], [int(c) for c in counts],
+                 [int(late.get(str(k), 0)) for k in keys_order],
+                 [int(max_ts.get(str(k), 0)) for k in keys_order]]
+                + [nb[c].tolist() for c in CTX])
+    timeout = int(max(max(max_ts[str(k)] for k in keys_order) + evict_ms, wm + 1))
+    return out, upd, timeout
 
 
 def stream_detect(stream: DataFrame, layers="all", model=None, thresholds=None,
                   stat_config=None, flight_keys=DEFAULT_FLIGHT_KEYS, buffer_size=None,
-                  ml_threshold=None, eviction: str = "1 day") -> DataFrame:
+                  ml_threshold=None, eviction: str = "1 day", buckets: int | None = None) -> DataFrame:
     """Scored stream: every new row with its layer columns + F13 columns."""
     lay = validate_layers(layers, model)
     out = stream
@@ -139,7 +230,7 @@ def stream_detect(stream: DataFrame, layers="all", model=None, thresholds=None,
         out = detect_threshold_violations(out, thresholds)
     if "statistical" in lay or "ml" in lay:
         fw = getattr(model, "window", None)
-        out = stateful_windows(out, flight_keys, lay, stat_config, fw, buffer_size, eviction)
+        out = stateful_windows(out, flight_keys, lay, stat_config, fw, buffer_size, eviction, buckets)
     if "ml" in lay:
         out = model.predict(out, ml_threshold=ml_threshold)
     return combine_layers(out, lay)

@@ -19,9 +19,12 @@ from aerolens.schema import (DEFAULT_STAT_CONFIG, EARTH_RADIUS_M, FEATURE_NAMES,
                              L2_CHANNELS)
 
 
-def rolling_stats(X: np.ndarray, n: int, ops=("count", "mean", "std", "max", "min")) -> dict:
+def rolling_stats(X: np.ndarray, n: int, ops=("count", "mean", "std", "max", "min"),
+                  seg: np.ndarray | None = None) -> dict:
     """Rolling statistics of each row of ``X`` (series x time) over ``n`` samples.
 
+    ``seg`` (one id per time step, rows of a segment contiguous) keeps every
+    frame inside its segment, so many flights go through one call.
     Returns arrays shaped like ``X``; min-periods masking is left to the caller.
     """
     X = np.atleast_2d(np.asarray(X, dtype=float))
@@ -38,6 +41,8 @@ def rolling_stats(X: np.ndarray, n: int, ops=("count", "mean", "std", "max", "mi
             continue
         v = np.full((k, m), np.nan)
         v[:, j:] = X[:, :m - j]
+        if seg is not None and j:
+            v[:, j:][:, seg[j:] != seg[:m - j]] = np.nan
         ok = ~np.isnan(v)
         cnt += ok
         vz = np.where(ok, v, 0.0)
@@ -77,10 +82,12 @@ def rolling(x: np.ndarray, n: int, op: str, min_periods: int) -> np.ndarray:
     return out
 
 
-def _lag(x: np.ndarray, k: int = 1) -> np.ndarray:
+def _lag(x: np.ndarray, k: int = 1, seg: np.ndarray | None = None) -> np.ndarray:
     out = np.full(len(x), np.nan)
     if k < len(x):
         out[k:] = x[:len(x) - k]
+        if seg is not None and k:
+            out[k:][seg[k:] != seg[:len(x) - k]] = np.nan
     return out
 
 
@@ -91,24 +98,30 @@ def _masked(st: dict, op: str, i: int, mp: int) -> np.ndarray:
 
 
 def window_columns(cols: dict[str, np.ndarray], cfg: dict | None = None,
-                   feature_window: int | None = 8, with_l2: bool = True) -> dict[str, np.ndarray]:
-    """L2 columns and causal features for rows in flight order."""
+                   feature_window: int | None = 8, with_l2: bool = True,
+                   seg: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """L2 columns and causal features for rows in flight order.
+
+    ``seg`` holds one flight id per row (flights contiguous); no lag or
+    frame crosses a flight boundary.
+    """
     cfg = DEFAULT_STAT_CONFIG if cfg is None else cfg
     alt, spd, hdg = cols["altitude"], cols["speed"], cols["heading"]
     lat, lon, t_us = cols["latitude"], cols["longitude"], cols["t_us"]
-    d = {"altitude": alt - _lag(alt), "speed": spd - _lag(spd)}
-    raw = hdg - _lag(hdg) + 180.0
+    lag = lambda x, k=1: _lag(x, k, seg)
+    d = {"altitude": alt - lag(alt), "speed": spd - lag(spd)}
+    raw = hdg - lag(hdg) + 180.0
     d["heading"] = np.where(np.isnan(raw), np.nan, np.mod(raw, 360.0)) - 180.0
-    p1, p2 = np.radians(_lag(lat)), np.radians(lat)
-    a = np.sin((p2 - p1) / 2.0) ** 2 + np.cos(p1) * np.cos(p2) * np.sin(np.radians(lon - _lag(lon)) / 2.0) ** 2
+    p1, p2 = np.radians(lag(lat)), np.radians(lat)
+    a = np.sin((p2 - p1) / 2.0) ** 2 + np.cos(p1) * np.cos(p2) * np.sin(np.radians(lon - lag(lon)) / 2.0) ** 2
     d["gps_step"] = 2.0 * EARTH_RADIUS_M * np.arcsin(np.sqrt(a))
-    dt_us = t_us - _lag(t_us)
+    dt_us = t_us - lag(t_us)
     dt = dt_us / 1e6
     out: dict[str, np.ndarray] = {}
     if with_l2:
         n, th, floor = int(cfg["window"]), float(cfg["z_threshold"]), float(cfg["min_std"])
         mp = max(1, n // 2)
-        st = rolling_stats(np.vstack([d[c] for c in L2_CHANNELS]), n, ("count", "mean", "std"))
+        st = rolling_stats(np.vstack([d[c] for c in L2_CHANNELS]), n, ("count", "mean", "std"), seg)
         flags = []
         for i, ch in enumerate(L2_CHANNELS):
             mean, std = _masked(st, "mean", i, mp), _masked(st, "std", i, mp)
@@ -118,7 +131,7 @@ def window_columns(cols: dict[str, np.ndarray], cfg: dict | None = None,
             out[f"z_{ch}"] = z
         fw = int(cfg["freeze_window"])
         fm = max(1, fw // 2)
-        fz = rolling_stats(np.vstack([spd, hdg, d["gps_step"]]), fw, ("count", "std"))
+        fz = rolling_stats(np.vstack([spd, hdg, d["gps_step"]]), fw, ("count", "std"), seg)
         with np.errstate(invalid="ignore"):
             fr = ((_masked(fz, "std", 0, fm) < cfg["freeze_speed_std"])
                   & (_masked(fz, "std", 1, fm) < cfg["freeze_heading_std"])
@@ -136,14 +149,14 @@ def window_columns(cols: dict[str, np.ndarray], cfg: dict | None = None,
             gs = d["gps_step"] / np.where(dt == 0, np.nan, dt)
         series = [alt, spd, d["heading"], np.abs(d["heading"]), d["gps_step"],
                   np.abs(spd - gs), dt_us, dt]
-        st = rolling_stats(np.vstack(series), n)
+        st = rolling_stats(np.vstack(series), n, seg=seg)
         g = lambda op, i: _masked(st, op, i, m)
         f = {}
         for i, p in ((0, "alt"), (1, "spd")):
             f[f"{p}_mean"], f[f"{p}_std"] = g("mean", i), g("std", i)
             f[f"{p}_range"] = g("max", i) - g("min", i)
             src = series[i]
-            f[f"{p}_slope"] = (src - _lag(src, n - 1)) / float(n)
+            f[f"{p}_slope"] = (src - lag(src, n - 1)) / float(n)
         f["hdg_diff_mean"], f["hdg_diff_std"] = g("mean", 2), g("std", 2)
         f["hdg_diff_abs_max"] = g("max", 3)
         f["gps_step_mean"], f["gps_step_std"], f["gps_step_max"] = g("mean", 4), g("std", 4), g("max", 4)

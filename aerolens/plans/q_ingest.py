@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import uuid
 
 from pyspark.sql import Window, functions as F
 
@@ -47,12 +48,13 @@ def events_as_csv(spark, sf_dir: str) -> str:
          .otherwise((F.col("value") * d(1.2) - d(10)).cast("string")).alias("altitude"),
         F.when(flat, d(5)).otherwise((eid * 7 % 400).cast("double") / d(10) - d(1)).cast("string").alias("speed"),
         F.when(flat, d(90)).otherwise((eid * 37 % 3700).cast("double") / d(10) - d(3)).cast("string").alias("heading"),
-        F.lit("DJI_FLIGHTRECORD_BIN_DJI_LOG").alias("source"),
+        F.lit("FLIGHT_LOG").alias("source"),
         eid.cast("string").alias("original_row_idx"),
     )
-    tag = hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:12]
-    path = os.path.join(checkpoint_dir(spark), f"events_csv_{tag}")
-    rows.write.mode("overwrite").option("header", True).csv(path)
+    # a fresh folder per call: a lazily read earlier result is never overwritten
+    tag = hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:8]
+    path = os.path.join(checkpoint_dir(spark), f"events_csv_{tag}_{uuid.uuid4().hex[:10]}")
+    rows.write.mode("errorifexists").option("header", True).csv(path)
     return path
 
 

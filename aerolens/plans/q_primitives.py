@@ -16,7 +16,7 @@ from aerolens.operators.features import compute_features
 from aerolens.operators.models import AnomalyDetector, detect_ml_anomalies
 from aerolens.operators.statistical import BASE_COLUMNS, detect_sudden_changes, with_base_deltas
 from aerolens.plans import sqlkit as q
-from aerolens.plans.pipeline import detect
+from aerolens.plans.composed import detect
 from aerolens.plans.q_eval import DET_CTE
 from aerolens.plans.q_ingest import _loaded, events_as_csv
 from aerolens.plans.q_layers import FEATURE_CTE, L1_REASONS_SQL, L2_CTE

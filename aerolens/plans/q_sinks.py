@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from aerolens.operators import evaluation as ev
 from aerolens.operators.models import AnomalyDetector
 from aerolens.plans import sqlkit as q
-from aerolens.plans.pipeline import detect
+from aerolens.plans.composed import detect
 from aerolens.plans.q_eval import LAYERS, _global_sql, DET_CTE
 from aerolens.plans.q_layers import L1_REASONS_SQL
 from aerolens.plans.registry import r6, register, tele

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from aerolens.operators import curves, evaluation as ev, segments as sg  # noqa: E402
 from aerolens.operators.features import compute_features  # noqa: E402
 from aerolens.operators.models import AnomalyDetector  # noqa: E402
-from aerolens.plans.pipeline import detect  # noqa: E402
+from aerolens.plans.composed import detect  # noqa: E402
 from aerolens.session import checkpoint_dir, get_session  # noqa: E402
 from aerolens.sources.csv import split_by_replicate  # noqa: E402
 from aerolens.sources.events_view import load_events_telemetry  # noqa: E402

@@ -13,7 +13,7 @@ from aerolens.operators import frames
 from aerolens.operators.features import compute_features
 from aerolens.operators.rules import detect_threshold_violations
 from aerolens.operators.statistical import detect_sudden_changes
-from aerolens.plans.pipeline import detect
+from aerolens.plans.composed import detect
 from aerolens.schema import FEATURE_NAMES
 from tests.conftest import make_rows
 

@@ -7,7 +7,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from aerolens.plans.pipeline import detect
+from aerolens.plans.composed import detect
 from aerolens.sources.csv import split_by_replicate, write_curated
 from aerolens.sources.events_view import load_events_telemetry
 from tests.conftest import SF_SMALL

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from aerolens.operators import evaluation as ev
-from aerolens.plans.pipeline import detect
+from aerolens.plans.composed import detect
 from aerolens.schema import FEATURE_NAMES
 from tests.test_layers import _random_flights
 

@@ -57,10 +57,17 @@ def score_table(df: DataFrame, score_col: str, label_col: str = "label",
         "P", "N", "pos_le", "neg_le")
 
 
-def _with_prefix(g: DataFrame, rows_per_bucket: int) -> DataFrame:
-    """Add pos_le / neg_le (inclusive prefix in ``_s`` order) and totals P, N."""
+def _with_prefix(g: DataFrame, rows_per_bucket: int, keys=()) -> DataFrame:
+    """Add pos_le / neg_le (inclusive prefix in ``_s`` order) and totals P, N.
+
+    With ``keys`` the prefix restarts per key (e.g. per flight): buckets come
+    from global cut points, running sums run per (key, bucket), and the
+    per-key bucket offsets are a keyed table joined back (AQE chooses the
+    join); a key with many distinct values spreads over many buckets.
+    """
+    keys = list(keys)
     g = g.persist()
-    # one action: row count of the distinct-score table + candidate cut points
+    # one action: row count of the distinct-value table + candidate cut points
     probs = [i / CUT_GRID for i in range(1, CUT_GRID)]
     st = g.agg(F.count(F.lit(1)).alias("n"),
                F.percentile_approx("_s", probs, 10_000).alias("c")).first()
@@ -75,22 +82,26 @@ def _with_prefix(g: DataFrame, rows_per_bucket: int) -> DataFrame:
             step = len(grid) / buckets
             grid = [grid[min(len(grid) - 1, int(round(i * step)) - 1)] for i in range(1, buckets)]
         splits = [-math.inf] + sorted(set(float(c) for c in grid)) + [math.inf]
-        g = Bucketizer(splits=splits, inputCol="_s", outputCol="_bk").transform(g)
+        g = g.withColumn("_sb", F.coalesce(F.col("_s"), F.lit(-math.inf)))
+        g = Bucketizer(splits=splits, inputCol="_sb", outputCol="_bk").transform(g).drop("_sb")
     else:
         g = g.withColumn("_bk", F.lit(0.0))
-    wb = Window.partitionBy("_bk").orderBy("_s").rowsBetween(Window.unboundedPreceding, 0)
+    wb = Window.partitionBy(*keys, "_bk").orderBy("_s").rowsBetween(Window.unboundedPreceding, 0)
     g = g.withColumns({"_pin": F.sum("pos").over(wb), "_nin": F.sum("neg").over(wb)})
-    tot = g.groupBy("_bk").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
-    wt = Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    wall = Window.partitionBy(F.lit(1))
-    # the bucket table has at most MAX_BUCKETS rows: a single-partition
-    # window and a broadcast are bounded by construction
-    off = tot.select("_bk",
+    tot = g.groupBy(*keys, "_bk").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
+    wt = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    wall = Window.partitionBy(*(keys or [F.lit(1)]))
+    off = tot.select(*[F.col(k).alias("_k_" + k) for k in keys], F.col("_bk").alias("_k_bk"),
                      F.coalesce(F.sum("_bp").over(wt), F.lit(0)).alias("_op"),
                      F.coalesce(F.sum("_bn").over(wt), F.lit(0)).alias("_on"),
                      F.sum("_bp").over(wall).alias("P"), F.sum("_bn").over(wall).alias("N"))
-    g = g.join(F.broadcast(off), "_bk")
-    return g.select("_s", "pos", "neg", (F.col("_op") + F.col("_pin")).alias("pos_le"),
+    cond = [F.col(k).eqNullSafe(F.col("_k_" + k)) for k in keys] + [F.col("_bk") == F.col("_k_bk")]
+    if not keys:
+        # the bucket table has at most MAX_BUCKETS rows: a single-partition
+        # window and a broadcast are bounded by construction
+        off = F.broadcast(off)
+    g = g.join(off, cond)
+    return g.select(*keys, "_s", "pos", "neg", (F.col("_op") + F.col("_pin")).alias("pos_le"),
                     (F.col("_on") + F.col("_nin")).alias("neg_le"), "P", "N")
 
 
@@ -204,3 +215,27 @@ def curve_summary(df: DataFrame, score_col: str, label_col: str = "label",
         F.when(F.col("P") > 0, F.col("ap_s") / F.col("P")).otherwise(F.lit(0.0)).alias("ap"),
         F.coalesce(F.col("b.threshold"), F.lit(0.5)).alias("max_f1_threshold"),
         F.col("b.f1").alias("max_f1"))
+
+
+def grouped_percentile(df: DataFrame, keys, value_col: str, percent: float = 50.0,
+                       out_col: str = "percentile",
+                       rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Exact per-group percentile (linear interpolation), one row per group.
+
+    Built on the keyed prefix table, so a group with a huge number of
+    distinct values is spread over many buckets instead of one buffer.  A
+    group with no value gives NULL (it still has a row).
+    """
+    keys = list(keys)
+    q = float(percent) / 100.0
+    sc = F.nanvl(F.col(value_col).cast("double"), F.lit(None).cast("double"))
+    g = df.groupBy(*keys, sc.alias("_s")).agg(
+        F.count(sc).alias("pos"), F.lit(0).cast("bigint").alias("neg"))
+    t = _with_prefix(g, rows_per_bucket, keys)
+    k = F.lit(q) * (F.col("P") - F.lit(1)).cast("double")
+    lo, hi = F.floor(k), F.ceil(k)
+    cover = lambda r: (F.col("pos") > 0) & (F.col("pos_le") - F.col("pos") <= r) & (r < F.col("pos_le"))
+    a = t.groupBy(*keys).agg(F.max(F.when(cover(lo), F.col("_s"))).alias("vlo"),
+                             F.max(F.when(cover(hi), F.col("_s"))).alias("vhi"),
+                             F.max(k - lo).alias("frac"))
+    return a.select(*keys, (F.col("vlo") + (F.col("vhi") - F.col("vlo")) * F.col("frac")).alias(out_col))

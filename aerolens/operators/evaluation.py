@@ -184,9 +184,9 @@ def sample_rate_per_case(df: DataFrame, flight_keys=DEFAULT_FLIGHT_KEYS,
                          approx: bool = False, accuracy: int = 10_000) -> DataFrame:
     """A3: median time step (s) per flight; a one-row flight gives NULL.
 
-    The exact median buffers the distinct time steps of a flight (sampling
-    steps repeat, so far fewer than its rows); ``approx=True`` uses a
-    fixed-size quantile sketch per flight instead.
+    Exact by default through the keyed, bucketed prefix table (no per-flight
+    value buffer, so a huge flight spreads over many tasks); ``approx=True``
+    uses a fixed-size quantile sketch per flight instead.
     """
     from aerolens.operators import frames
     keys = list(flight_keys)
@@ -195,8 +195,10 @@ def sample_rate_per_case(df: DataFrame, flight_keys=DEFAULT_FLIGHT_KEYS,
     t = F.unix_micros(F.col("timestamp"))
     d = staged.withColumn("dt", (t - F.lag(t).over(lay.window())) / F.lit(1e6))
     d = frames.unstage(d, lay)
-    med = F.percentile_approx("dt", 0.5, accuracy) if approx else F.median("dt")
-    return d.groupBy(*keys).agg(med.alias("median_dt"))
+    if approx:
+        return d.groupBy(*keys).agg(F.percentile_approx("dt", 0.5, accuracy).alias("median_dt"))
+    from aerolens.operators.curves import grouped_percentile
+    return grouped_percentile(d, keys, "dt", 50.0, "median_dt")
 
 
 def sample_rate_summary(rates: DataFrame) -> DataFrame:

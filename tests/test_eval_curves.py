@@ -123,3 +123,21 @@ def test_curve_summary_matches_single_metrics(spark):
     assert one["ap"] == pytest.approx(curves.average_precision(df, "score").first()["ap"])
     m = curves.max_f1_threshold(df, "score").first()
     assert one["max_f1_threshold"] == m["threshold"] and one["max_f1"] == pytest.approx(m["f1"])
+
+
+@pytest.mark.parametrize("rows_per_bucket", [1_000_000, 5])
+def test_grouped_percentile(spark, rows_per_bucket):
+    rng = np.random.default_rng(4)
+    rows = []
+    for g in range(5):
+        n = int(rng.integers(1, 40))
+        vals = np.round(rng.normal(g, 1, n), 1)        # ties
+        rows += [(g, float(v)) for v in vals]
+    rows += [(9, None), (9, None)]                     # a group without values
+    df = spark.createDataFrame(rows, "g int, v double")
+    got = {r["g"]: r["p"] for r in curves.grouped_percentile(
+        df, ["g"], "v", 50.0, "p", rows_per_bucket=rows_per_bucket).collect()}
+    for g in range(5):
+        vals = [v for k, v in rows if k == g]
+        assert got[g] == pytest.approx(float(np.median(vals))), g
+    assert got[9] is None

@@ -236,4 +236,3 @@ def m9_detect_ml_anomalies(spark, sf_dir):
     return out.select("event_id", r6("ml_score").alias("ml_score"), "alert_ml")
 
 
-__all__ = ["BASE_COLUMNS"]

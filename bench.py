@@ -68,9 +68,21 @@ def main():
     def q_isolation_forest():
         run(AnomalyDetector("isolation_forest").fit(train).predict(test))
 
+    models = {}
+
     def q_random_forest():
         det = AnomalyDetector("random_forest", params={"n_estimators": 50, "max_depth": 10})
-        run(det.fit(train).predict(test))
+        models["rf"] = det.fit(train)
+        run(models["rf"].predict(test))
+
+    def q_stream_rf():
+        """All three layers on the stream, L3 = the random forest above."""
+        from aerolens.plans.q_stream import _run, _scratch, _source
+        from aerolens.streaming.job import stream_detect
+        s = stream_detect(_source(spark, sf_dir), layers="all", model=models["rf"],
+                          eviction="30 days")
+        _run(s.writeStream.format("noop").outputMode("append")
+             .option("checkpointLocation", _scratch(spark, "bench-stream-rf") + "_ckpt"))
 
     def q_stream():
         from aerolens.plans.q_stream import _scored_stream, _run, _scratch
@@ -81,7 +93,8 @@ def main():
     plan = [("l1_l2_detect", q_l1_l2), ("window_features", q_features),
             ("detect_and_evaluate", q_detect_eval), ("anomaly_segments", q_segments),
             ("score_curves", q_curves), ("isolation_forest_fit_predict", q_isolation_forest),
-            ("random_forest_fit_predict", q_random_forest), ("stream_replay", q_stream)]
+            ("random_forest_fit_predict", q_random_forest), ("stream_replay", q_stream),
+            ("stream_replay_with_random_forest", q_stream_rf)]
     times = {}
     for name, fn in plan:
         t0 = time.time()

@@ -12,7 +12,9 @@ window (which would pull every row into one task):
 4. per-bucket totals (one row per bucket) -> exclusive prefix -> broadcast
    join back (its size is the bucket count, a bound we choose).
 
-The result is exact; the quantiles only balance the work.
+The result is exact; the quantiles only balance the work.  Building the
+table reads the input twice (cut points, then the sums): persist a scored
+input that is expensive to recompute.
 
 Direction ``high``: alert when score >= t (supervised probabilities);
 ``low``: alert when score <= t (unsupervised scores, low = anomalous).
@@ -66,8 +68,8 @@ def _with_prefix(g: DataFrame, rows_per_bucket: int, keys=()) -> DataFrame:
     join); a key with many distinct values spreads over many buckets.
     """
     keys = list(keys)
-    g = g.persist()
     # one action: row count of the distinct-value table + candidate cut points
+    # (no cache is left behind; persist an expensive scored input upstream)
     probs = [i / CUT_GRID for i in range(1, CUT_GRID)]
     st = g.agg(F.count(F.lit(1)).alias("n"),
                F.percentile_approx("_s", probs, 10_000).alias("c")).first()

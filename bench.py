@@ -62,8 +62,9 @@ def main():
 
     def q_curves():
         d = detect(tele, layers=("statistical",))
-        s = d.select("label", F.coalesce(F.abs("z_altitude"), F.lit(0.0)).alias("score"))
+        s = d.select("label", F.coalesce(F.abs("z_altitude"), F.lit(0.0)).alias("score")).persist()
         run(curves.curve_summary(s, "score"))
+        s.unpersist()
 
     def q_isolation_forest():
         run(AnomalyDetector("isolation_forest").fit(train).predict(test))

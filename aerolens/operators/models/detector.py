@@ -284,5 +284,7 @@ def compare_algorithms(train: DataFrame, test: DataFrame, algorithms=SUPPORTED_A
             continue
         rows.append((algo, m["TP"], m["FP"], m["TN"], m["FN"], float(m["precision"]),
                      float(m["recall"]), float(m["f1"]), round(time.time() - t0, 1)))
+    tr.unpersist()
+    te.unpersist()
     return spark.createDataFrame(rows, "algorithm string, TP long, FP long, TN long, FN long, "
                                        "precision double, recall double, f1 double, time_s double")

@@ -18,6 +18,7 @@ def _plan(df) -> str:
 
 
 def test_backfilled_detection_one_exchange_on_flights(spark):
+    spark.catalog.clearCache()
     t = load_events_telemetry(spark, SF_SMALL)
     out = detect(t, layers=("rules", "statistical"), with_features=True, hot_rows=None)
     plan = _plan(out)
@@ -26,6 +27,7 @@ def test_backfilled_detection_one_exchange_on_flights(spark):
 
 
 def test_scan_reads_only_needed_columns(spark):
+    spark.catalog.clearCache()          # other modules cache this view
     t = load_events_telemetry(spark, SF_SMALL)
     plan = _plan(t.select("case_id", "row_idx", "label"))
     scan = [line for line in plan.split("\n") if "ReadSchema" in line or "FileScan" in line]

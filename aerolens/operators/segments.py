@@ -118,13 +118,17 @@ TIMELINE_CHANNELS = ("altitude", "speed", "heading", "latitude", "longitude")
 
 
 def case_timeline(df: DataFrame, case_id, channels=TIMELINE_CHANNELS,
-                  layers=("alert_threshold", "alert_change", "alert_ml")) -> DataFrame:
+                  layers=("alert_threshold", "alert_change", "alert_ml"),
+                  strict: bool = False) -> DataFrame:
     """long-form timeline of one case: (t_rel, row_idx, channel, value, label, layers).
 
     ``layers`` lists the alert columns present at each sample (array of the
     firing ones).  The plot itself is not built; this is its data.
+    ``strict=True`` raises ``ValueError`` when the case has no rows.
     """
     one = df.filter(F.col("case_id") == F.lit(case_id))
+    if strict:
+        require_rows(one, f"case_id={case_id}")
     present = [c for c in layers if c in df.columns]
     fired = F.filter(F.array(*[F.when(F.coalesce(F.col(c), F.lit(False)), F.lit(c))
                                for c in present]), lambda x: x.isNotNull()) \

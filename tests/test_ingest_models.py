@@ -140,3 +140,28 @@ def test_subsample_exact_and_repeatable(spark, tele):
     brute = {r["event_id"] for r in tele.withColumn("_h", row_hash(tele, 7)).orderBy("_h").limit(50).collect()}
     assert a == b == brute and len(a) == 50
     assert subsample(tele, 10 ** 9).count() == tele.count()
+
+
+def test_error_contract(spark, tele):
+    import warnings as _w
+    from aerolens.operators.combine import validate_layers
+    from aerolens.operators.segments import case_timeline, with_t_rel
+    from aerolens.schema import FEATURE_NAMES
+    with pytest.raises(ValueError, match="model"):
+        validate_layers("ml", None)
+    with pytest.raises(ValueError, match="shape"):
+        injection_plan(tele, shape="zigzag")
+    with pytest.raises(ValueError, match="no data"):
+        case_timeline(with_t_rel(tele), 10 ** 9, strict=True)
+    train, test = ingest.split_by_replicate(tele, 3)
+    det = AnomalyDetector("isolation_forest", params={"n_estimators": 5}).fit(train)
+    from aerolens.operators.features import compute_features
+    feats = compute_features(test)
+    shuffled = feats.select(*[c for c in feats.columns if c not in FEATURE_NAMES],
+                            *reversed(FEATURE_NAMES))
+    with _w.catch_warnings(record=True) as caught:
+        _w.simplefilter("always")
+        a = det.predict(shuffled).select("event_id", "ml_score")
+    assert any("order" in str(w.message) for w in caught)
+    b = det.predict(feats).select("event_id", F.col("ml_score").alias("s2"))
+    assert a.join(b, "event_id").filter(F.col("ml_score") != F.col("s2")).count() == 0

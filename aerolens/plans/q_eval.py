@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from aerolens.operators import evaluation as ev
 from aerolens.operators.rules import detect_threshold_violations

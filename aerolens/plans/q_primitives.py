@@ -14,7 +14,7 @@ from aerolens.functions.rolling import RollingSet
 from aerolens.operators import frames
 from aerolens.operators.features import compute_features
 from aerolens.operators.models import AnomalyDetector, detect_ml_anomalies
-from aerolens.operators.statistical import BASE_COLUMNS, detect_sudden_changes, with_base_deltas
+from aerolens.operators.statistical import detect_sudden_changes, with_base_deltas
 from aerolens.plans import sqlkit as q
 from aerolens.plans.composed import detect
 from aerolens.plans.q_eval import DET_CTE

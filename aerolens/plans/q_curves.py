@@ -121,3 +121,17 @@ def a15_average_precision(spark, sf_dir):
 def a16_percentile_threshold(spark, sf_dir):
     return cv.percentile_threshold(scored(spark, sf_dir), "score", 2.0) \
         .select(r6("threshold").alias("threshold"))
+
+
+@register("a12_curve_summary", q.with_view(f"""
+select {q.r6(_AUC)} as auc,
+  {q.r6('case when max(P) > 0 then sum(pos * precision) / max(P) else 0.0 end')} as ap,
+  arg_max(threshold, struct_pack(f := f1, t := -threshold)) as max_f1_threshold,
+  {q.r6('max(f1)')} as max_f1
+from (select c.*, pr.precision, pr.f1 from cur c join prf pr on c.threshold = pr.threshold) x""",
+    _curve_cte("high") + ",\n" + _PR))
+def a12_curve_summary(spark, sf_dir):
+    """AUC, AP and the max-F1 threshold from one prefix-sum pass."""
+    s = cv.curve_summary(scored(spark, sf_dir), "score")
+    return s.select(r6("auc").alias("auc"), r6("ap").alias("ap"), "max_f1_threshold",
+                    r6("max_f1").alias("max_f1"))

@@ -181,22 +181,28 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
 
 
 def sample_rate_per_case(df: DataFrame, flight_keys=DEFAULT_FLIGHT_KEYS,
-                         approx: bool = False, accuracy: int = 10_000) -> DataFrame:
+                         approx: bool = False, accuracy: int = 10_000,
+                         hot_rows: int | None = None) -> DataFrame:
     """A3: median time step (s) per flight; a one-row flight gives NULL.
 
-    Exact by default through the keyed, bucketed prefix table (no per-flight
-    value buffer, so a huge flight spreads over many tasks); ``approx=True``
-    uses a fixed-size quantile sketch per flight instead.
+    Exact by default: Spark's ``median`` when no flight is hot (its buffer is
+    then bounded by the hot-row threshold), else the keyed, bucketed prefix
+    table (no per-flight buffer, a huge flight spreads over many tasks);
+    ``approx=True`` uses a fixed-size quantile sketch per flight instead.
     """
     from aerolens.operators import frames
     keys = list(flight_keys)
     staged, lay = frames.stage(df.select(*keys, *[c for c in ORDER_COLUMNS if c in df.columns],
-                                         "timestamp"), keys, halo=1)
+                                         "timestamp"), keys, halo=1,
+                               hot_rows=frames.HOT_ROWS if hot_rows is None else hot_rows)
     t = F.unix_micros(F.col("timestamp"))
     d = staged.withColumn("dt", (t - F.lag(t).over(lay.window())) / F.lit(1e6))
     d = frames.unstage(d, lay)
     if approx:
         return d.groupBy(*keys).agg(F.percentile_approx("dt", 0.5, accuracy).alias("median_dt"))
+    if not lay.split:
+        # no flight above the hot-row threshold: a per-flight value buffer is bounded
+        return d.groupBy(*keys).agg(F.median("dt").alias("median_dt"))
     from aerolens.operators.curves import grouped_percentile
     return grouped_percentile(d, keys, "dt", 50.0, "median_dt")
 

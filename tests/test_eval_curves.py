@@ -141,3 +141,14 @@ def test_grouped_percentile(spark, rows_per_bucket):
         vals = [v for k, v in rows if k == g]
         assert got[g] == pytest.approx(float(np.median(vals))), g
     assert got[9] is None
+
+
+def test_sample_rate_hot_path_equals_plain(spark):
+    from tests.test_layers import _random_flights
+    df = _random_flights(spark, n_flights=3, n=60, seed=12)
+    plain = {(r["replicate"], r["case_id"]): r["median_dt"] for r in ev.sample_rate_per_case(df).collect()}
+    hot = {(r["replicate"], r["case_id"]): r["median_dt"]
+           for r in ev.sample_rate_per_case(df, hot_rows=10).collect()}
+    assert plain.keys() == hot.keys()
+    for k in plain:
+        assert hot[k] == pytest.approx(plain[k])

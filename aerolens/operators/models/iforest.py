@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from aerolens.operators.models.sampling import row_hash
+from aerolens.session import ship_package
 
 EULER_GAMMA = 0.5772156649015329
 TREE_SCHEMA = T.StructType([
@@ -78,6 +79,7 @@ def _grow(X: np.ndarray, rng: np.random.Generator, max_depth: int):
 def fit_forest(train: DataFrame, feature_cols, n_trees: int = 150, max_samples: int = 256,
                seed: int = 42) -> tuple[DataFrame, int]:
     """Returns (trees DataFrame with TREE_SCHEMA, psi)."""
+    ship_package(train.sparkSession)
     n = train.count()
     if n == 0:
         raise ValueError("no training rows for isolation_forest")
@@ -146,6 +148,7 @@ def path_lengths(X: np.ndarray, trees) -> np.ndarray:
 
 
 def score_column(spark, trees, psi: int, feature_cols) -> F.Column:
+    ship_package(spark)
     bc = spark.sparkContext.broadcast((trees, psi))
 
     @F.pandas_udf(T.DoubleType())

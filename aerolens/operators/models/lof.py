@@ -14,6 +14,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from aerolens.session import ship_package
+
 CHUNK = 128      # query rows per distance block (CHUNK x m doubles in memory)
 
 
@@ -39,6 +41,7 @@ def _knn(Q: np.ndarray, R: np.ndarray, k: int, self_idx: np.ndarray | None = Non
 
 def fit_lof(spark, ref: DataFrame, feature_cols, k: int = 20):
     """Returns model arrays (R, k_distance, lrd).  ``ref`` is the capped sample."""
+    ship_package(spark)
     rows = ref.select(F.array(*[F.col(c).cast("double") for c in feature_cols]).alias("x")).collect()
     if len(rows) < 2:
         raise ValueError("LOF needs at least two reference rows")
@@ -82,6 +85,7 @@ def fit_lof(spark, ref: DataFrame, feature_cols, k: int = 20):
 
 
 def score_column(spark, R, kd, lrd, k: int, feature_cols) -> F.Column:
+    ship_package(spark)
     bc = spark.sparkContext.broadcast((R, kd, lrd, k))
 
     @F.pandas_udf(T.DoubleType())

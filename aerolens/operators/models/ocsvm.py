@@ -18,6 +18,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from aerolens.session import ship_package
+
 
 def _rff(X, W, b):
     D = W.shape[1]
@@ -26,6 +28,7 @@ def _rff(X, W, b):
 
 def fit_ocsvm(spark, train: DataFrame, feature_cols, nu: float = 0.05, gamma="scale",
               n_components: int = 256, iters: int = 80, lr: float = 1.0, seed: int = 42):
+    ship_package(spark)
     d = len(feature_cols)
     x = train.select(F.array(*[F.col(c).cast("double") for c in feature_cols]).alias("x")).persist()
     st = x.select(F.explode("x").alias("v")).agg(F.count("v").alias("n"), F.avg("v").alias("m"),
@@ -72,6 +75,7 @@ def fit_ocsvm(spark, train: DataFrame, feature_cols, nu: float = 0.05, gamma="sc
 
 
 def score_column(spark, W, b, w, rho, feature_cols) -> F.Column:
+    ship_package(spark)
     bc = spark.sparkContext.broadcast((W, b, w, rho))
 
     @F.pandas_udf(T.DoubleType())

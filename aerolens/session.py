@@ -78,3 +78,37 @@ def recommended_conf(input_bytes: int, total_cores: int,
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(int(target_partition_bytes)),
         "spark.sql.adaptive.skewJoin.enabled": "true",
     }
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``aerolens`` importable in Python workers (pandas UDFs, grouped
+    map, stream state): a zip of the package is added with ``addPyFile``
+    once per application.  Harmless when the package is installed on the
+    workers already.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import aerolens
+    root = os.path.dirname(os.path.abspath(aerolens.__file__))
+    base = os.path.dirname(root)
+    folder = checkpoint_dir(spark)
+    if "://" in folder and not folder.startswith("file:"):
+        folder = tempfile.mkdtemp(prefix="aerolens-pkg-")   # staging only; Spark ships it
+    folder = folder.replace("file://", "").replace("file:", "")
+    os.makedirs(folder, exist_ok=True)
+    path = os.path.join(folder, f"aerolens-{key}.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for dirpath, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, base))
+    sc.addPyFile(path)
+    _SHIPPED.add(key)

@@ -31,6 +31,7 @@ from aerolens.operators.combine import combine_layers, validate_layers
 from aerolens.operators.rules import detect_threshold_violations
 from aerolens.schema import (DEFAULT_FEATURE_WINDOW, DEFAULT_FLIGHT_KEYS, DEFAULT_STAT_CONFIG,
                              FEATURE_NAMES, L2_CHANNELS)
+from aerolens.session import ship_package
 from aerolens.streaming.state_math import window_columns
 
 CTX = ("row_idx", "_ord", "t_us", "altitude", "speed", "heading", "latitude", "longitude")
@@ -94,6 +95,7 @@ def stateful_windows(stream: DataFrame, flight_keys=DEFAULT_FLIGHT_KEYS, layers=
     explicitly in production (about active flights / 50) and keep it fixed
     for the life of the checkpoint.
     """
+    ship_package(stream.sparkSession)
     cfg = DEFAULT_STAT_CONFIG if stat_config is None else stat_config
     with_l2 = "statistical" in layers
     with_f = "ml" in layers

@@ -203,3 +203,20 @@ def test_unknown_rolling_op():
     from pyspark.sql import Window
     with pytest.raises(ValueError):
         rolling(F.col("x"), Window.orderBy("x"), 3, "median")
+
+
+def test_parity_mode_single_key_interleaves_replicates(spark):
+    # two replicates of one case with equal row_idx: in ("case_id",) mode they
+    # form one series ordered by (row_idx, _ord) - the reference's behaviour
+    rows = []
+    for i in range(1, 21):
+        rows.append(dict(case_id=5, replicate=0, row_idx=i, _ord=2 * i, altitude=float(i)))
+        rows.append(dict(case_id=5, replicate=1, row_idx=i, _ord=2 * i + 1, altitude=float(100 + i)))
+    df = make_rows(spark, rows)
+    got = detect(df, layers=("statistical",), flight_keys=("case_id",), keep_internal=True) \
+        .orderBy("row_idx", "_ord").toPandas()
+    alt = got["altitude"].to_numpy()
+    exp = np.r_[np.nan, np.diff(alt)]
+    assert np.allclose(got["_d_altitude"].to_numpy(), exp, equal_nan=True)
+    per_rep = detect(df, layers=("statistical",), keep_internal=True).toPandas()
+    assert set(per_rep["_d_altitude"].dropna().round(9)) == {1.0}

@@ -16,17 +16,22 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from aerolens.schema import DEFAULT_FLIGHT_KEYS
 
+BROADCAST_MAX_IDS = 100_000
+
 
 def select_cases(df: DataFrame, case_ids: Iterable | None = None, n_cases: int | None = None,
                  max_samples: int | None = None) -> DataFrame:
     """F6 given cases (semi join), F7 first N cases, F8 hard row cap in order."""
     if case_ids is not None:
-        ids = df.sparkSession.createDataFrame([(int(c),) for c in case_ids], "case_id bigint")
-        # the id list is user input (small by nature): broadcast semi join
-        df = df.join(F.broadcast(ids), "case_id", "left_semi")
+        ids_list = [int(c) for c in case_ids]
+        ids = df.sparkSession.createDataFrame([(c,) for c in ids_list], "case_id bigint")
+        # broadcast the id list only when it is small; otherwise a shuffled semi join
+        side = F.broadcast(ids) if len(ids_list) <= BROADCAST_MAX_IDS else ids
+        df = df.join(side, "case_id", "left_semi")
     elif n_cases is not None:
         first = df.select("case_id").distinct().orderBy("case_id").limit(int(n_cases))
-        df = df.join(F.broadcast(first), "case_id", "left_semi")   # at most n_cases rows
+        side = F.broadcast(first) if int(n_cases) <= BROADCAST_MAX_IDS else first
+        df = df.join(side, "case_id", "left_semi")      # at most n_cases rows
     if max_samples:            # 0 / None: no limit
         order = [c for c in ("case_id", "row_idx", "_ord") if c in df.columns]
         df = df.orderBy(*order).limit(int(max_samples))

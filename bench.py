@@ -96,14 +96,21 @@ def main():
             ("score_curves", q_curves), ("isolation_forest_fit_predict", q_isolation_forest),
             ("random_forest_fit_predict", q_random_forest), ("stream_replay", q_stream),
             ("stream_replay_with_random_forest", q_stream_rf)]
-    times = {}
+    times, errors = {}, {}
     for name, fn in plan:
         t0 = time.time()
-        fn()
-        times[name] = round(time.time() - t0, 3)
-    total = round(sum(times.values()), 3)
-    print(json.dumps({"metric": "total_query_seconds", "value": total, "unit": "sec",
-                      "queries": times, "sf": sf, "rows": n_rows, "cpus": cpus}))
+        try:
+            fn()
+            times[name] = round(time.time() - t0, 3)
+        except Exception as e:  # noqa: BLE001 - report and keep measuring the rest
+            times[name] = None
+            errors[name] = f"{type(e).__name__}: {str(e)[:200]}"
+    total = round(sum(v for v in times.values() if v is not None), 3)
+    out = {"metric": "total_query_seconds", "value": total, "unit": "sec",
+           "queries": times, "sf": sf, "rows": n_rows, "cpus": cpus}
+    if errors:
+        out["errors"] = errors
+    print(json.dumps(out))
 
 
 if __name__ == "__main__":

@@ -39,3 +39,13 @@ def test_run_stream(spark):
     m = metrics.first()
     assert m["n_samples"] == view.count()
     assert alerts.count() == m["n_alerts"]
+
+
+def test_runner_cli(spark, capsys):
+    from aerolens.plans.runners import main
+    out = tempfile.mkdtemp(prefix="aerolens-cli-")
+    main(["batch", "--csv", events_as_csv(spark, SF_SMALL), "--algorithm", "isolation_forest",
+          "--out", out])
+    printed = capsys.readouterr().out
+    assert "statistical" in printed and "auc" in printed
+    assert os.path.isdir(os.path.join(out, "metrics_per_scenario"))

@@ -93,16 +93,19 @@ class AnomalyDetector:
                 clean = df.filter(F.col("label") == 0)
                 clean = subsample(clean, self.max_train_samples, seed)
                 self._fit_unsupervised(spark, clean, seed)
-                scored = clean.withColumn("ml_score", self._score_expr(spark))
+                # the threshold reads the scores twice (cut points, sums): score once
+                scored = clean.select(self._score_expr(spark).alias("ml_score")).persist()
                 self.threshold = float(curves.percentile_threshold(
                     scored, "ml_score", self.threshold_percentile).first()["threshold"])
+                scored.unpersist()
             else:
                 lab = df.filter(F.col("label").isNotNull())
                 lab = subsample(lab, self.max_train_samples, seed)
                 self._fit_supervised(lab, seed)
-                scored = self._raw_scores(lab)
+                scored = self._raw_scores(lab).select("label", "ml_score").persist()
                 best = curves.max_f1_threshold(scored, "ml_score", direction="high").first()
                 self.optimal_threshold = float(best["threshold"]) if best else 0.5
+                scored.unpersist()
         finally:
             df.unpersist()
         return self

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from aerolens.llm import op1_minhash
+from aerolens.llm import (
+    op1_minhash,
+    op10_quality,
+)
 
 QUERIES = {
     "op1_minhash_near_duplicates": op1_minhash.query,
+    "op10_quality_rules": op10_quality.query,
 }
 
 #: queries that SQL can express over whole tables
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+}

@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from aerolens.llm import (
     op1_minhash,
+    op3_packing,
+    op4_secrets,
+    op6_mixing,
     op10_quality,
 )
 
 QUERIES = {
     "op1_minhash_near_duplicates": op1_minhash.query,
+    "op3_vector_packing": op3_packing.query,
+    "op4_secret_findings": op4_secrets.query,
+    "op6_pfair_mixing": op6_mixing.query,
     "op10_quality_rules": op10_quality.query,
 }
 

@@ -8,6 +8,7 @@ tasks and not the finished steps.
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window as W
@@ -35,28 +36,58 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: if set, scratch() notes its paths here
+_noted: list[str] | None = None
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
     """A fresh path below the shared checkpoint folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/aerolens-{tag}-{uuid.uuid4().hex[:12]}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/aerolens-{tag}-{uuid.uuid4().hex[:12]}"
+    if _noted is not None:
+        _noted.append(path)
+    return path
+
 
+@contextlib.contextmanager
+def noting(paths: list[str]):
+    """Scratch paths made meanwhile are added to ``paths``."""
+    global _noted
+    before, _noted = _noted, paths
+    try:
+        yield
+    finally:
+        _noted = before
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as a shared Parquet table and read it back (cuts the lineage)."""
+
+def materialise(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` as a shared Parquet table and read it back (cuts the lineage).
+
+    ``rows``: an upper bound that is known; few rows are written by few tasks.
+    """
     spark = df.sparkSession
     path = scratch(spark, tag)
+    if rows is not None:
+        df = df.coalesce(max(8, rows // 100_000))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int, bound: int = BROADCAST_IDS) -> DataFrame:
+    """``df`` marked for broadcast if its counted (or bounded) ``rows`` allow it; else as it is, to be shuffled."""
+    return F.broadcast(df) if rows <= bound else df
+
+
 def remove(df: DataFrame) -> None:
     """Delete the scratch files of a table made by :func:`materialise`."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
+    delete(df.sparkSession, sorted({f.rsplit("/", 1)[0] for f in df.inputFiles()}))
+
+
+def delete(spark: SparkSession, folders: list[str]) -> None:
+    """Delete scratch folders (no others)."""
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
     for folder in folders:
         if "/aerolens-" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)
 
 
@@ -90,31 +121,34 @@ def numbered(df: DataFrame, by: list[str], order: list[str], out: str,
             .drop(b, "_num_rn", "_num_off", *[f"_o{i}" for i in range(len(keys))]))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, comp) for every node of ``edges(u, v)``; comp = smallest node reachable.
+def connected_components(edges: DataFrame, max_rounds: int = 60, bound: int = BROADCAST_IDS) -> DataFrame:
+    """(node, comp) for the nodes of ``edges(u, v)``; comp = smallest node reachable
+    (that node itself has no row).
 
     Alternating large-star and small-star rounds: joins and minima only, the
-    edge table of each round written to the shared folder.
+    edge table of each round written to the shared folder.  While there are
+    at most ``bound`` edges, the minima are broadcast.
     """
+    def state_of(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
     e = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"),
                                                 F.least("u", "v").alias("v")).distinct(), "cc")
-    state = None
+    state = state_of(e)
     for _ in range(max_rounds):
+        n = state[0]                          # no round makes more edges than there were
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         m = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(m, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(small(m, 2 * n, bound), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         m2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(m2, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .union(m2.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        nxt = materialise(small, "cc")
-        row = nxt.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        stars = (large.join(small(m2, 2 * n, bound), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+                 .union(m2.select("u", F.col("m").alias("v"))).where("u <> v"))
+        nxt = materialise(stars.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc", 2 * n)
         remove(e)
-        e, now = nxt, tuple(row)
+        e, now = nxt, state_of(nxt)
         if now == state:
             break
         state = now
     else:
         raise RuntimeError("connected components did not settle")
-    return (e.select(F.col("u").alias("node"), F.col("v").alias("comp"))
-            .union(e.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct())
+    return e.select(F.col("u").alias("node"), F.col("v").alias("comp"))

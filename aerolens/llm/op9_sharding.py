@@ -3,8 +3,10 @@
 Documents start in shards of equal counts.  In each round every linked
 document looks at the shards of its neighbours (documents that share a link
 group: equal texts, or groups that the caller gives) and asks to move to the
-shard that holds most of them, among those with room.  Requests to a shard are
-ordered by gain and admitted up to its quota.  Neighbours are counted per
+shard that holds most of them.  Rounds alternate: in one, only shards with room
+are asked, and requests to a shard are admitted up to its quota; in the next,
+any shard is, and as many are admitted from one shard to another as the other
+way round.  Requests are ordered by gain.  Neighbours are counted per
 group and shard, never as pairs, and requests are numbered by two-level
 counts, so a group with a third of all rows takes no more than its share of a
 task; a group larger than a shard fills shards one after the other.
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from aerolens.llm.common import materialise, numbered, remove, table
 
 SHARDS = 8
-ROUNDS = 6
+ROUNDS = 8
 BUCKETS = 256
 
 
@@ -45,7 +47,9 @@ def propagate(members: DataFrame, quota: list[int], rounds: int = ROUNDS) -> Dat
     """
     shards = len(quota)
     state = materialise(members.select("n").distinct().withColumn("shard", (F.col("n") % shards).cast("int")), "sh-state")
-    for _ in range(rounds):
+    still = 0
+    for turn_no in range(rounds):
+        swap = turn_no % 2 == 1
         room = [q - c for q, c in zip(quota, _per_shard(state, "shard", shards))]
         rooms = F.array(*[F.lit(r) for r in room])
         near = members.join(state, "n")
@@ -59,18 +63,28 @@ def propagate(members: DataFrame, quota: list[int], rounds: int = ROUNDS) -> Dat
         seen = seen.select("n", "shard", F.struct(F.col("c"), turn.alias("turn"), F.col("to")).alias("s"))
         each = seen.groupBy("n", "shard").agg(F.max(F.when(F.col("s.to") == F.col("shard"), F.col("s"))).alias("own"),
                                               F.collect_list("s").alias("all"))
-        better = F.filter("all", lambda s: (F.get(rooms, s.to) > 0) & ((s.c > F.col("own.c")) | ((s.c == F.col("own.c")) & (s.turn > F.col("own.turn")))))
+        free = (lambda s: F.lit(True)) if swap else (lambda s: F.get(rooms, s.to) > 0)
+        better = F.filter("all", lambda s: free(s) & ((s.c > F.col("own.c")) | ((s.c == F.col("own.c")) & (s.turn > F.col("own.turn")))))
         asks = each.withColumn("best", F.array_max(better)).where("best is not null")
-        asks = asks.select("n", F.col("best.to").alias("to"), (-F.floor(F.log2(F.col("best.c") - F.col("own.c") + 1))).cast("int").alias("level"))
-        asks = numbered(asks, ["to"], ["n"], "place", levels=["level"], buckets=BUCKETS)
-        moves = materialise(asks.where(F.col("place") < F.get(rooms, F.col("to"))).select("n", "to"), "sh-moves")
-        if moves.isEmpty():
-            remove(moves)
+        asks = asks.select("n", "shard", F.col("best.to").alias("to"), (-F.floor(F.log2(F.col("best.c") - F.col("own.c") + 1))).cast("int").alias("level"))
+        if swap:
+            asks = materialise(asks, "sh-asks")
+            asked = {(r[0], r[1]): r[2] for r in asks.groupBy("shard", "to").count().collect()}       # shards * shards numbers
+            limit = F.array(*[F.lit(min(asked.get((i, j), 0), asked.get((j, i), 0))) for i in range(shards) for j in range(shards)])
+            placed = numbered(asks, ["shard", "to"], ["n"], "place", levels=["level"], buckets=BUCKETS)
+            admitted = placed.where(F.col("place") < F.get(limit, F.col("shard") * shards + F.col("to")))
+        else:
+            placed = numbered(asks, ["to"], ["n"], "place", levels=["level"], buckets=BUCKETS)
+            admitted = placed.where(F.col("place") < F.get(rooms, F.col("to")))
+        moves = materialise(admitted.select("n", "to"), "sh-moves")
+        still = still + 1 if moves.isEmpty() else 0
+        if still == 2:
             break
-        nxt = materialise(state.join(moves, "n", "left").select("n", F.coalesce("to", "shard").alias("shard")), "sh-state")
-        remove(state)
+        if not still:
+            nxt = materialise(state.join(moves, "n", "left").select("n", F.coalesce("to", "shard").alias("shard")), "sh-state")
+            remove(state)
+            state = nxt
         remove(moves)
-        state = nxt
     return state
 
 

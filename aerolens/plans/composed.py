@@ -16,7 +16,7 @@ from aerolens.operators.features import add_features
 from aerolens.operators.rules import detect_threshold_violations
 from aerolens.operators.statistical import (BASE_COLUMNS, add_change_columns, required_halo,
                                             with_base_deltas)
-from aerolens.schema import DEFAULT_FEATURE_WINDOW, DEFAULT_FLIGHT_KEYS, DEFAULT_STAT_CONFIG
+from aerolens.schema import DEFAULT_FEATURE_WINDOW, DEFAULT_FLIGHT_KEYS, DEFAULT_STAT_CONFIG, ORDER_COLUMNS
 
 
 def detect(df: DataFrame, layers=("rules", "statistical", "ml"), model=None,
@@ -25,7 +25,8 @@ def detect(df: DataFrame, layers=("rules", "statistical", "ml"), model=None,
            flight_keys=DEFAULT_FLIGHT_KEYS, hot_rows: int | None = frames.HOT_ROWS,
            chunk_rows: int = frames.CHUNK_ROWS, bucket_span: float = frames.BUCKET_SPAN,
            with_features: bool | None = None, combine: bool = False,
-           ml_threshold: float | None = None, keep_internal: bool = False) -> DataFrame:
+           ml_threshold: float | None = None, keep_internal: bool = False,
+           order=ORDER_COLUMNS) -> DataFrame:
     """Run the requested layers; columns not requested are never planned.
 
     ``with_features`` (default: when 'ml' is requested) adds the 20 window
@@ -42,7 +43,7 @@ def detect(df: DataFrame, layers=("rules", "statistical", "ml"), model=None,
         halo = required_halo(cfg if "statistical" in lay else {"window": 0, "freeze_window": 0},
                              fw if feats else 0)
         staged, layout = frames.stage(out, flight_keys, halo=halo, hot_rows=hot_rows,
-                                      chunk_rows=chunk_rows, bucket_span=bucket_span)
+                                      chunk_rows=chunk_rows, bucket_span=bucket_span, order=order)
         staged = with_base_deltas(staged, layout)
         if "statistical" in lay:
             staged = add_change_columns(staged, layout, cfg)

@@ -17,7 +17,6 @@ from aerolens.plans.registry import r6, register, tele
 from aerolens.session import checkpoint_dir
 from aerolens.sources.csv import split_by_replicate
 from aerolens.sources.sinks import console_lines, write_metric_tables
-from aerolens.streaming.job import fan_out
 
 
 def _scratch(spark, name):
@@ -46,23 +45,6 @@ def s5_console_lines(spark, sf_dir):
     return console_lines(_scored(spark, sf_dir))
 
 
-@register("s6_fan_out", q.with_view("""
-select 'a' as target, case_id, row_idx, layers from lines
-union all
-select 'b' as target, case_id, row_idx, layers from lines""", _LINE_CTE))
-def s6_fan_out(spark, sf_dir):
-    """foreachBatch writer called on the batch result (batch id 0) for two targets."""
-    from aerolens.streaming.job import alerts
-    a, b = _scratch(spark, "fan-a"), _scratch(spark, "fan-b")
-    write = fan_out({"a": a, "b": b}, fmt="parquet")
-    batch = alerts(_scored(spark, sf_dir))
-    write(batch, 0)
-    write(batch, 0)            # a replayed batch replaces its own output
-    read = lambda p, n: spark.read.parquet(p).select(
-        F.lit(n).alias("target"), "case_id", "row_idx", F.array_join("layers", "+").alias("layers"))
-    return read(a, "a").unionByName(read(b, "b"))
-
-
 @register("s7_metric_csv", q.with_view(_global_sql(), DET_CTE))
 def s7_metric_csv(spark, sf_dir):
     d = _scored(spark, sf_dir)

@@ -3,9 +3,9 @@
 ``run_batch``  ingest CSV -> replicate split -> fit (or load) a detector ->
                L1 + L2 + L3 on the test split -> evaluation tables, curve
                summary, metric CSVs, case timeline.
-``run_stream`` replay / file stream -> L1 + stateful L2/features + model ->
-               one ``foreachBatch`` that writes the alert records (JSON) and
-               the batch counters, both keyed by batch id (idempotent).
+``run_stream`` replay / file stream -> the batch operators per micro-batch
+               over stored context -> scored rows, alert records, console
+               lines and counters, keyed by batch id (idempotent).
 
 Run as a Spark application: ``spark-submit aerolens/plans/runners.py batch
 --csv PATH --algorithm random_forest --out DIR`` (or ``python -m
@@ -30,10 +30,9 @@ from aerolens.streaming import job
 
 def _load_or_fit(spark, algorithm, train, model_path, load_model, params):
     if load_model and model_path:
-        try:
-            return AnomalyDetector.load(spark, model_path)
-        except Exception:  # noqa: BLE001 - no saved model yet: train one
-            pass
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(model_path)
+        if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+            return AnomalyDetector.load(spark, model_path)      # only a missing model is trained
     det = AnomalyDetector(algorithm, params=params).fit(train)
     if model_path:
         det.save(spark, model_path)
@@ -73,29 +72,17 @@ def run_batch(spark: SparkSession, csv_path, algorithm: str = "isolation_forest"
     return out
 
 
-def run_stream(spark: SparkSession, source_dir: str, schema, out_dir: str,
-               checkpoint: str, model: AnomalyDetector | None = None, layers="all",
-               files_per_trigger: int = 1, available_now: bool = True,
-               eviction: str = "1 day", buckets: int | None = None):
-    """The streaming job; returns the started query (awaited when bounded)."""
+def run_stream(spark: SparkSession, source_dir: str, schema, out_dir: str, checkpoint: str,
+               model: AnomalyDetector | None = None, layers="all", files_per_trigger: int = 1, **options):
+    """The streaming job over a folder of Parquet files; the query (awaited when bounded).
+
+    ``options`` are those of :func:`aerolens.streaming.job.stream_detect`:
+    thresholds, stat_config, ml_threshold, case_ids, sinks, buffer_size and
+    others.  A layer ``ml`` without a model is an error.
+    """
     src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", int(files_per_trigger))
            .parquet(source_dir))
-    scored = job.stream_detect(src, layers=layers if model is not None else "rules,statistical",
-                               model=model, eviction=eviction, buckets=buckets)
-
-    def write(batch: DataFrame, batch_id: int):
-        batch.persist()
-        try:
-            job.alerts(batch).write.mode("overwrite").json(f"{out_dir}/alerts/batch_id={batch_id}")
-            job.counters(batch).write.mode("overwrite").parquet(f"{out_dir}/metrics/batch_id={batch_id}")
-        finally:
-            batch.unpersist()
-
-    w = scored.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    q = (w.trigger(availableNow=True) if available_now else w).start()
-    if available_now:
-        q.awaitTermination()
-    return q
+    return job.stream_detect(src, out_dir, checkpoint, layers=layers, model=model, **options)
 
 
 def stream_results(spark: SparkSession, out_dir: str) -> tuple[DataFrame, DataFrame]:

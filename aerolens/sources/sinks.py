@@ -1,4 +1,4 @@
-"""Batch sinks (S4, S5, S7, S8 helpers).
+"""Batch sinks (S5, S7 helpers).
 
 All writes go through Spark writers, so any Hadoop-compatible shared path
 works; nothing is staged on a machine-local folder.
@@ -11,11 +11,6 @@ from pyspark.sql import DataFrame
 from aerolens.streaming.job import alerts, format_alert
 
 
-def write_alerts_jsonl(scored: DataFrame, path: str) -> None:
-    """S4 (batch): append alert records as JSON lines."""
-    alerts(scored).write.mode("append").json(path)
-
-
 def console_lines(scored: DataFrame) -> DataFrame:
     """Formatted alert lines (use ``.show(truncate=False)`` or a console stream)."""
     return format_alert(alerts(scored))

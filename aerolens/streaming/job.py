@@ -1,47 +1,39 @@
-"""Stateful Structured Streaming detection.
+"""Structured Streaming detection.
 
 Plan of one streaming query::
 
-    readStream (files / Kafka)            S9, T6 (maxFilesPerTrigger)
-      -> L1 rule columns                  stateless, F9
-      -> withWatermark(timestamp)         event-time eviction of finished flights
-      -> groupBy(flight keys)
-         .applyInPandasWithState(step)    T1/T2: per-flight buffer of the last
-                                          ``buffer_size`` rows; L2 + causal
-                                          features for each *new* row
-      -> model.predict                    L3 on the new rows only
-      -> combine_layers                   F13: layers array, reasons
-      -> sinks                            S4 JSON lines, S5 console, S6 fan-out,
-                                          S10 all scored rows; T4 metrics query
-
-Inside a micro-batch rows are ordered by (row_idx, _ord); a row at or
-before the last row already seen for its flight is late and dropped (and
-counted in the state).  Rows are never capped: the buffer only keeps the
-context rows the windows need (30 + 1 for L2, 8 + 1 for the features).
+    readStream (files / Kafka)        S9, T6 (maxFilesPerTrigger)
+      -> foreachBatch                 per micro-batch, in arrival order:
+           last rows of its flights   T1: context table, ``buffer`` rows a flight
+           detect() over context+new  T2: the batch operators, L1 + L2 + causal features
+           model.predict on new rows  L3
+           combine_layers             F13: layers array, reasons
+      -> sinks keyed by batch id      S10 scored rows, S4 JSON lines, S5 console
+                                      lines, T4 counters
+
+There is one definition of every window: the batch one.  No row is dropped:
+a row at or before the last one seen of its flight is scored in arrival order
+and flagged ``late``; rows without a timestamp are scored like others; no
+watermark is set.  The context is a table of its own under the output folder,
+one folder per batch id with the last rows of the flights that the batch
+touched, compacted every ``COMPACT_EVERY`` batches.  Replaying a batch reads
+the same earlier folders and overwrites its own, so results don't depend on
+restarts or on the number of shuffle partitions.  ``evict_batches`` forgets
+flights that have been idle for that many batches at a compaction (their
+next row starts a new context); by default none is forgotten.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from aerolens.operators.combine import combine_layers, validate_layers
-from aerolens.operators.rules import detect_threshold_violations
-from aerolens.schema import (DEFAULT_FEATURE_WINDOW, DEFAULT_FLIGHT_KEYS, DEFAULT_STAT_CONFIG,
-                             FEATURE_NAMES, L2_CHANNELS)
-from aerolens.session import ship_package
-from aerolens.streaming.state_math import window_columns
-
-CTX = ("row_idx", "_ord", "t_us", "altitude", "speed", "heading", "latitude", "longitude")
-# one state row per flight bucket: per-flight buffers flattened in flight order
-STATE_SCHEMA = T.StructType(
-    [T.StructField("fkeys", T.ArrayType(T.StringType())),
-     T.StructField("counts", T.ArrayType(T.IntegerType())),
-     T.StructField("late", T.ArrayType(T.LongType())),
-     T.StructField("max_ts_ms", T.ArrayType(T.LongType()))]
-    + [T.StructField(c, T.ArrayType(T.DoubleType())) for c in CTX])
+from aerolens.plans.composed import detect
+from aerolens.schema import DEFAULT_FEATURE_WINDOW, DEFAULT_FLIGHT_KEYS, DEFAULT_STAT_CONFIG
+
+CHANNELS = ("timestamp", "altitude", "speed", "heading", "latitude", "longitude")
+COMPACT_EVERY = 16
+SINKS = ("alerts", "console", "metrics")
 
 ALERT_READ_SCHEMA = T.StructType([
     T.StructField("timestamp", T.StringType()), T.StructField("case_id", T.LongType()),
@@ -61,188 +53,150 @@ def buffer_size_for(layers, stat_config=None, feature_window=None) -> int:
     return max(need) + 10
 
 
-def _step_schema(in_schema: T.StructType, with_l2: bool, with_features: bool) -> T.StructType:
-    fields = list(in_schema.fields)
-    if with_l2:
-        fields += [T.StructField(f"z_{c}", T.DoubleType()) for c in L2_CHANNELS]
-        fields += [T.StructField("alert_change", T.BooleanType()),
-                   T.StructField("change_reasons", T.StringType())]
-    if with_features:
-        fields += [T.StructField(c, T.DoubleType()) for c in FEATURE_NAMES]
-    return T.StructType(fields)
-
-
-def _empty_state():
-    return {"fkeys": np.array([], dtype=object), "counts": np.zeros(0, dtype=np.int64),
-            "late": np.zeros(0, dtype=np.int64), "max_ts_ms": np.zeros(0, dtype=np.int64),
-            **{c: np.zeros(0) for c in CTX}}
-
-
-def stateful_windows(stream: DataFrame, flight_keys=DEFAULT_FLIGHT_KEYS, layers=("statistical",),
-                     stat_config=None, feature_window: int | None = None,
-                     buffer_size: int | None = None, eviction: str = "1 day",
-                     buckets: int | None = None) -> DataFrame:
-    """L2 columns and causal features per new row, with per-flight state.
-
-    State is keyed by a hash bucket of the flight keys (``buckets`` keys, fix
-    it for the life of a checkpoint): one Python call per bucket and batch
-    processes all its flights in one vectorised pass (frames never cross a
-    flight), instead of one call per flight.  Each flight keeps only its last
-    ``buffer_size`` rows, its late-row count and its last event time; a
-    flight idle for ``eviction`` is dropped, and a bucket whose flights are
-    all idle times out.  ``buckets`` defaults to 4 x
-    ``spark.sql.shuffle.partitions`` of the session at first start; pass it
-    explicitly in production (about active flights / 50) and keep it fixed
-    for the life of the checkpoint.
+class FlightContext:
+    """The last ``buffer`` rows of every flight, as Parquet folders by batch id."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, flight_keys, buffer: int,
+                 evict_batches: int | None = None, compact_every: int = COMPACT_EVERY):
+        self.spark, self.path, self.buffer = spark, path, int(buffer)
+        self.keys, self.evict, self.every = list(flight_keys), evict_batches, int(compact_every)
+        kept = [f for f in schema.fields if f.name in (*self.keys, "row_idx", "_ord", *CHANNELS)]
+        self.columns = [f.name for f in kept] + ["_bid"]
+        self.schema = T.StructType([*kept, T.StructField("_bid", T.LongType())])
+
+    def _ids(self, kind: str) -> list[int]:
+        jvm = self.spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
+        fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(folder):
+            return []
+        done = [x.getPath() for x in fs.listStatus(folder) if fs.exists(jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS"))]
+        return sorted(int(p.getName().rpartition("=")[2]) for p in done)
+
+    def _rows(self, before: int) -> DataFrame:
+        """Latest rows of each flight as of the batches before ``before``."""
+        full = [i for i in self._ids("full") if i < before][-1:]
+        deltas = [i for i in self._ids("delta") if (full[0] if full else -1) < i < before]
+        rows = self.spark.createDataFrame([], self.schema).withColumn("_from", F.lit(0).cast("bigint"))
+        for kind, i in [("full", i) for i in full] + [("delta", i) for i in deltas]:       # at most compact_every + 1
+            part = self.spark.read.schema(self.schema).parquet(f"{self.path}/{kind}/batch_id={i}")
+            rows = rows.unionByName(part.withColumn("_from", F.lit(i).cast("bigint")))
+        flight = W.partitionBy(*self.keys)                      # at most buffer * (compact_every + 1) rows
+        return rows.withColumns({"_newest": F.max("_from").over(flight), "_seen": F.max("_bid").over(flight)}).where("_from = _newest")
+
+    def read(self, batch_id: int, flights: DataFrame) -> DataFrame:
+        """Context rows of ``flights`` (a table of distinct keys) before this batch."""
+        f = flights.select(*[F.col(k).alias(f"_f_{k}") for k in self.keys])
+        on = [F.col(k).eqNullSafe(F.col(f"_f_{k}")) for k in self.keys]
+        return self._rows(batch_id).join(f, on, "left_semi").select(*self.columns)
+
+    def write(self, batch_id: int, rows: DataFrame) -> None:
+        """Keep the last rows of the flights in ``rows`` (context and new ones)."""
+        order = W.partitionBy(*self.keys).orderBy(F.desc("_bid"), F.desc("row_idx"), F.desc("_ord"))
+        last = rows.select(*self.columns).withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= self.buffer)
+        last.drop("_rn").write.mode("overwrite").parquet(f"{self.path}/delta/batch_id={batch_id}")
+        if batch_id % self.every == self.every - 1:
+            now = self._rows(batch_id + 1)
+            if self.evict is not None:
+                now = now.where(F.col("_seen") > batch_id - int(self.evict))
+            now.select(*self.columns).write.mode("overwrite").parquet(f"{self.path}/full/batch_id={batch_id}")
+
+
+def score_batch(batch: DataFrame, batch_id: int, context: FlightContext, layers, model=None, thresholds=None,
+                stat_config=None, ml_threshold: float | None = None,
+                with_features: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(scored new rows with ``late``, context and new rows) of one micro-batch.
+
+    The rows of a flight are in arrival order: earlier batches first, then
+    (row_idx, _ord) within the batch.
     """
-    ship_package(stream.sparkSession)
-    cfg = DEFAULT_STAT_CONFIG if stat_config is None else stat_config
-    with_l2 = "statistical" in layers
-    with_f = "ml" in layers
-    fw = int(feature_window or DEFAULT_FEATURE_WINDOW)
-    size = int(buffer_size or buffer_size_for(layers, cfg, fw))
-    if with_l2 and size < int(cfg["window"]) + 1:
+    keys = context.keys
+    new = batch.withColumns({"_bid": F.lit(batch_id).cast("bigint"), "_new": F.lit(True)})
+    old = context.read(batch_id, batch.select(*keys).distinct())
+    last = old.groupBy(*[F.col(k).alias(f"_l_{k}") for k in keys]).agg(F.max(F.struct("row_idx", "_ord")).alias("_last_seen"))
+    new = new.join(last, [F.col(k).eqNullSafe(F.col(f"_l_{k}")) for k in keys], "left").drop(*[f"_l_{k}" for k in keys])
+    new = new.withColumn("late", F.coalesce(F.struct("row_idx", "_ord") <= F.col("_last_seen"), F.lit(False))).drop("_last_seen")
+    rows = new.unionByName(old, allowMissingColumns=True)
+    without = tuple(x for x in layers if x != "ml")
+    d = detect(rows, layers=without or ("rules",), thresholds=thresholds, stat_config=stat_config, fill="causal",
+               feature_window=getattr(model, "window", None), flight_keys=keys, hot_rows=None,
+               with_features=with_features or "ml" in layers, order=("_bid", "row_idx", "_ord"))
+    if not without:
+        d = d.drop("alert_threshold", "alert_reasons")
+    d = d.where("_new").drop("_new", "_bid")
+    if "ml" in layers:
+        d = model.predict(d, ml_threshold=ml_threshold)
+    return combine_layers(d, layers), rows
+
+
+def stream_detect(stream: DataFrame, out_dir: str, checkpoint: str, layers="all", model=None, thresholds=None,
+                  stat_config=None, flight_keys=DEFAULT_FLIGHT_KEYS, buffer_size: int | None = None,
+                  ml_threshold: float | None = None, case_ids=None, sinks=SINKS, evict_batches: int | None = None,
+                  compact_every: int = COMPACT_EVERY, with_features: bool = False, available_now: bool = True,
+                  trigger: dict | None = None):
+    """Start the streaming job; the query (awaited when ``available_now``).
+
+    ``with_features`` keeps the window features of the rows (they are there
+    with the layer ml anyway).  Below ``out_dir``: ``scored`` (S10: every row with its layer flags and
+    ``late``), and for the ``sinks`` asked ``alerts`` (JSON lines), ``console``
+    (text lines), ``metrics`` (counters), each by batch id.
+    """
+    lay = validate_layers(layers, model)
+    unknown = set(sinks) - set(SINKS)
+    if unknown:
+        raise ValueError(f"Unknown sinks: {sorted(unknown)}. Allowed: {SINKS}")
+    size = int(buffer_size or buffer_size_for(lay, stat_config, getattr(model, "window", None)))
+    window = int((stat_config or DEFAULT_STAT_CONFIG)["window"]) if "statistical" in lay else 0
+    if size < window + 1:
         raise ValueError("buffer_size must hold window + 1 rows for exact L2")
     if "_ord" not in stream.columns:
         stream = stream.withColumn("_ord", F.lit(0).cast("bigint"))
-    keys = list(flight_keys)
-    if buckets is None:
-        buckets = 4 * int(stream.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    stream = stream.withColumns({
-        "t_us": F.unix_micros("timestamp"),
-        "_fkey": F.to_json(F.struct(*[F.col(k) for k in keys])),
-        "_fb": F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(int(buckets))).cast("int"),
-    })
-    in_schema = stream.schema
-    out_schema = _step_schema(in_schema, with_l2, with_f)
-    out_names = [f.name for f in out_schema.fields]
-    evict_ms = int(pd.Timedelta(eviction).total_seconds() * 1000)
-    names = [f.name for f in in_schema.fields]
-
-    def step(key, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        frames_ = [p for p in pdfs if len(p)]
-        new = pd.concat(frames_, ignore_index=True) if frames_ else pd.DataFrame(columns=names)
-        old = state.get if state.exists else None
-        out, upd, timeout = bucket_step(new, old, state.getCurrentWatermarkMs(), cfg, fw, with_l2,
-                                        with_f, size, evict_ms, names, out_names)
-        if upd is None:
-            state.remove()
-        else:
-            state.update(upd)
-            state.setTimeoutTimestamp(timeout)
-        if out is not None:
-            yield out
-
-    return (stream.withWatermark("timestamp", eviction)
-            .groupBy("_fb")
-            .applyInPandasWithState(step, out_schema, STATE_SCHEMA, "append",
-                                    GroupStateTimeout.EventTimeTimeout)
-            .drop("t_us", "_fkey", "_fb"))
-
-
-def bucket_step(new: pd.DataFrame, old_state, wm: int, cfg: dict, fw: int, with_l2: bool,
-                with_f: bool, size: int, evict_ms: int, names: list, out_names: list):
-    """One micro-batch of one flight bucket (pure function of its inputs).
-
-    Returns (output rows or None, new state tuple or None to drop, timeout ms).
-    """
-    if old_state is not None:
-        st = old_state
-        old = {"fkeys": np.array(st[0], dtype=object), "counts": np.array(st[1], dtype=np.int64),
-               "late": np.array(st[2], dtype=np.int64), "max_ts_ms": np.array(st[3], dtype=np.int64),
-               **{c: np.asarray(st[4 + i], dtype=float) for i, c in enumerate(CTX)}}
-    else:
-        old = _empty_state()
-    late = {str(k): int(v) for k, v in zip(old["fkeys"], old["late"])}
-    max_ts = {str(k): int(v) for k, v in zip(old["fkeys"], old["max_ts_ms"])}
-    fk_old = np.repeat(old["fkeys"], old["counts"])
-    out = None
-    if len(new):
-        new = new.sort_values(["_fkey", "row_idx", "_ord"], kind="stable").reset_index(drop=True)
-        # last buffered (row_idx, _ord) per flight: the end of each flight's block
-        ends = np.cumsum(old["counts"]) - 1
-        last_r = dict(zip(old["fkeys"], old["row_idx"][ends])) if len(ends) else {}
-        last_o = dict(zip(old["fkeys"], old["_ord"][ends])) if len(ends) else {}
-        fkn = new["_fkey"].to_numpy(dtype=object)
-        lr = np.array([last_r.get(k, np.nan) for k in fkn], dtype=float)
-        lo = np.array([last_o.get(k, np.nan) for k in fkn], dtype=float)
-        r, o = new["row_idx"].to_numpy(dtype=float), new["_ord"].to_numpy(dtype=float)
-        keep = np.isnan(lr) | (r > lr) | ((r == lr) & (o > lo))
-        if not keep.all():
-            ks, cs = np.unique(fkn[~keep], return_counts=True)
-            for k, c in zip(ks, cs):
-                late[str(k)] = late.get(str(k), 0) + int(c)
-            new = new[keep].reset_index(drop=True)
-            fkn = fkn[keep]
-    if len(new):
-        touched = set(pd.unique(fkn))
-        in_t = np.fromiter((k in touched for k in fk_old), dtype=bool, count=len(fk_old))
-        # context per touched flight: its buffer rows, then its new rows
-        ctx_fk = np.concatenate([fk_old[in_t], fkn])
-        ctx = {c: np.concatenate([old[c][in_t], new[c].to_numpy(dtype=float)]) for c in CTX}
-        is_new = np.concatenate([np.zeros(in_t.sum(), dtype=bool), np.ones(len(new), dtype=bool)])
-        order = np.lexsort((ctx["_ord"], ctx["row_idx"], is_new, ctx_fk.astype(str)))
-        ctx_fk, is_new = ctx_fk[order], is_new[order]
-        ctx = {c: v[order] for c, v in ctx.items()}
-        seg = pd.factorize(ctx_fk)[0]
-        res = window_columns(ctx, cfg, fw if with_f else None, with_l2, seg=seg)
-        # new rows in ctx order are the sorted new rows (same key order)
-        comp = pd.DataFrame({c: v[is_new] for c, v in res.items()})
-        out = pd.concat([new[names].reset_index(drop=True), comp], axis=1)[out_names]
-        # keep the last `size` rows of each touched flight
-        pos = np.arange(len(seg))
-        seg_end = np.r_[np.flatnonzero(np.diff(seg)), len(seg) - 1]
-        from_end = seg_end[seg] - pos
-        keep_buf = from_end < size
-        nb_fk = np.concatenate([fk_old[~in_t], ctx_fk[keep_buf]])
-        nb = {c: np.concatenate([old[c][~in_t], ctx[c][keep_buf]]) for c in CTX}
-        tmax = new.groupby(fkn, sort=False)["t_us"].max()
-        for k, t in tmax.items():
-            max_ts[str(k)] = int(max(max_ts.get(str(k), -(2 ** 62)), int(t) // 1000))
-    else:
-        nb_fk, nb = fk_old, {c: old[c] for c in CTX}
-    alive = {k for k, t in max_ts.items() if wm <= 0 or t + evict_ms >= wm}
-    sel = np.fromiter((k in alive for k in nb_fk), dtype=bool, count=len(nb_fk))
-    nb_fk = nb_fk[sel]
-    if not len(nb_fk):
-        return out, None, 0
-    nb = {c: v[sel] for c, v in nb.items()}
-    keys_order, first_idx, counts = np.unique(nb_fk, return_index=True, return_counts=True)
-    # flatten in order of first appearance (rows of a flight are contiguous)
-    o = np.argsort(first_idx, kind="stable")
-    keys_order, counts = keys_order[o], counts[o]
-    upd = tuple([[str(k) for k in keys_order], [int(c) for c in counts],
-                 [int(late.get(str(k), 0)) for k in keys_order],
-                 [int(max_ts.get(str(k), 0)) for k in keys_order]]
-                + [nb[c].tolist() for c in CTX])
-    timeout = int(max(max(max_ts[str(k)] for k in keys_order) + evict_ms, wm + 1))
-    return out, upd, timeout
-
-
-def stream_detect(stream: DataFrame, layers="all", model=None, thresholds=None,
-                  stat_config=None, flight_keys=DEFAULT_FLIGHT_KEYS, buffer_size=None,
-                  ml_threshold=None, eviction: str = "1 day", buckets: int | None = None) -> DataFrame:
-    """Scored stream: every new row with its layer columns + F13 columns."""
-    lay = validate_layers(layers, model)
-    out = stream
-    if "rules" in lay:
-        out = detect_threshold_violations(out, thresholds)
-    if "statistical" in lay or "ml" in lay:
-        fw = getattr(model, "window", None)
-        out = stateful_windows(out, flight_keys, lay, stat_config, fw, buffer_size, eviction, buckets)
-    if "ml" in lay:
-        out = model.predict(out, ml_threshold=ml_threshold)
-    return combine_layers(out, lay)
+    if case_ids is not None:
+        stream = stream.where(F.col("case_id").isin([int(c) for c in case_ids]))
+    context = FlightContext(stream.sparkSession, f"{out_dir}/context", stream.schema, flight_keys, size, evict_batches, compact_every)
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        to = lambda name: f"{out_dir}/{name}/batch_id={batch_id}"
+        scored, rows = score_batch(batch, batch_id, context, lay, model, thresholds, stat_config, ml_threshold, with_features)
+        schema = scored.schema
+        scored.write.mode("overwrite").parquet(to("scored"))
+        done = spark.read.schema(schema).parquet(to("scored"))
+        if "alerts" in sinks:
+            alerts(done).write.mode("overwrite").json(to("alerts"))
+        if "console" in sinks:
+            format_alert(alerts(done)).write.mode("overwrite").text(to("console"))
+        if "metrics" in sinks:
+            counters(done).write.mode("overwrite").parquet(to("metrics"))
+        context.write(batch_id, rows)
+
+    w = stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else (w.trigger(**trigger) if trigger else w)
+    q = w.start()
+    if available_now:
+        q.awaitTermination()
+    return q
+
+
+def read_scored(spark: SparkSession, out_dir: str) -> DataFrame:
+    """Every row of the stream with its flags."""
+    return spark.read.parquet(f"{out_dir}/scored").drop("batch_id")
+
+
+def utc_text(col: str):
+    """A timestamp as UTC text with six decimals, whatever the session's zone."""
+    us = F.unix_micros(col)
+    frac = F.pmod(us, F.lit(1_000_000))
+    day = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(
+        secs=((us - frac) / F.lit(1_000_000)).cast("decimal(18,6)"))
+    return F.concat(F.substring(day.cast("string"), 1, 19), F.lit("."), F.lpad(frac.cast("string"), 6, "0"), F.lit("+00:00"))
 
 
 def alerts(scored: DataFrame) -> DataFrame:
     """T3 + S11: alert records of rows where some layer fired."""
     ml = F.col("ml_score") if "ml_score" in scored.columns else F.lit(None).cast("double")
     return scored.filter(F.size("layers") > 0).select(
-        F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSSxxx").alias("timestamp"),
+        utc_text("timestamp").alias("timestamp"),
         F.col("case_id").cast("bigint").alias("case_id"),
         F.col("row_idx").cast("bigint").alias("row_idx"),
         "layers", "reasons", ml.alias("ml_score"), F.col("label").cast("int").alias("label"))
@@ -263,40 +217,26 @@ def format_alert(alerts_df: DataFrame) -> DataFrame:
         F.lit(" score="), score, F.lit(" reasons="), reasons, tag).alias("line"))
 
 
-COUNTERS = ("n_samples", "n_alerts", "tp", "fp", "fn", "tn")
+COUNTERS = ("n_samples", "n_alerts", "n_late", "tp", "fp", "fn", "tn")
 
 
 def counters(scored: DataFrame) -> DataFrame:
     """T4 counters of a (micro-)batch; a missing label counts only as a sample."""
     a = F.size("layers") > 0
     lab = F.col("label")
+    late = F.col("late") if "late" in scored.columns else F.lit(False)
     return scored.agg(
-        F.count(F.lit(1)).alias("n_samples"), F.count_if(a).alias("n_alerts"),
+        F.count(F.lit(1)).alias("n_samples"), F.count_if(a).alias("n_alerts"), F.count_if(late).alias("n_late"),
         F.count_if(a & (lab == 1)).alias("tp"), F.count_if(a & (lab == 0)).alias("fp"),
         F.count_if(~a & (lab == 1)).alias("fn"), F.count_if(~a & (lab == 0)).alias("tn"))
 
 
-def metrics_writer(path: str):
-    """T4 on a stream: ``foreachBatch`` writing each batch's counters under
-    ``batch_id=<id>`` (overwrite: a replayed batch is counted once).  No
-    stateful operator follows the stateful step, so no row can be dropped
-    as late downstream."""
-    def write(batch: DataFrame, batch_id: int):
-        counters(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-    return write
-
-
 def read_metrics(spark, path: str) -> DataFrame:
     """Running totals over all batches + precision / recall / F1."""
     tot = spark.read.parquet(path).agg(*[F.sum(c).cast("bigint").alias(c) for c in COUNTERS])
     return with_ratios(tot)
 
 
-def online_metrics(scored: DataFrame) -> DataFrame:
-    """T4 over a batch DataFrame (counters + ratios)."""
-    return with_ratios(counters(scored))
-
-
 def with_ratios(agg: DataFrame) -> DataFrame:
     p = F.when((F.col("tp") + F.col("fp")) > 0, F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(0.0)
     r = F.when((F.col("tp") + F.col("fn")) > 0, F.col("tp") / (F.col("tp") + F.col("fn"))).otherwise(0.0)

@@ -39,19 +39,33 @@ def select_cases(df: DataFrame, case_ids: Iterable | None = None, n_cases: int |
 
 
 def write_replay(df: DataFrame, path: str, chunks: int = 4, files_per_chunk: int = 4,
-                 flight_keys=DEFAULT_FLIGHT_KEYS) -> int:
-    """Write ``df`` as ``chunks`` event-time slices; returns files per chunk."""
-    t = F.unix_micros("timestamp")
-    bounds = df.agg(F.min(t).alias("lo"), F.max(t).alias("hi")).first()
-    lo, hi = bounds["lo"], bounds["hi"]
-    if lo is None:
+                 flight_keys=DEFAULT_FLIGHT_KEYS, by: str = "time") -> int:
+    """Write ``df`` as ``chunks`` slices, one after the other; returns files per chunk.
+
+    ``by``: ``time`` (event time; rows without a timestamp come with the first
+    slice) or ``case`` (whole flights in the order of case_id; a missing
+    case_id comes first).  The slices are computed once, beside ``path``.
+    """
+    if by == "time":
+        t = F.unix_micros("timestamp")
+        n, lo, hi = df.agg(F.count(F.lit(1)), F.min(t), F.max(t)).first()
+        span = 1 if lo is None else max(1, (hi - lo + chunks) // chunks)
+        part = F.floor((t - F.lit(lo)) / F.lit(span)).cast("int")
+    elif by == "case":
+        n = df.count()
+        cuts = df.approxQuantile("case_id", [i / chunks for i in range(1, chunks)], 0.01) if n and chunks > 1 else []
+        part = sum((F.col("case_id") > F.lit(c)).cast("int") for c in cuts) if cuts else F.lit(0)
+    else:
+        raise ValueError(f"Unknown order: {by!r}")
+    if not n:
         raise ValueError("nothing to replay")
-    span = max(1, (hi - lo + chunks) // chunks)
-    sliced = df.withColumn("_slice", F.floor((t - F.lit(lo)) / F.lit(span)).cast("int"))
+    staged = f"{path.rstrip('/')}_slices"
+    sliced = df.withColumn("_slice", F.least(F.coalesce(part, F.lit(0)), F.lit(chunks - 1)))
+    sliced.repartition("_slice", *flight_keys).write.mode("overwrite").partitionBy("_slice").parquet(staged)
+    whole = df.sparkSession.read.schema(sliced.schema).parquet(staged)
     for c in range(chunks):
-        part = sliced.filter(F.col("_slice") == c).drop("_slice")
-        (part.repartition(files_per_chunk, *flight_keys)
-             .write.mode("append").parquet(path))
+        (whole.where(F.col("_slice") == c).select(*df.columns).repartition(files_per_chunk, *flight_keys)
+              .write.mode("append").parquet(path))
     return files_per_chunk
 
 

@@ -72,24 +72,19 @@ def main():
     models = {}
 
     def q_random_forest():
-        det = AnomalyDetector("random_forest", params={"n_estimators": 50, "max_depth": 10})
+        det = AnomalyDetector("random_forest")          # 200 trees, depth 16
         models["rf"] = det.fit(train)
         run(models["rf"].predict(test))
 
     def q_stream_rf():
         """All three layers on the stream, L3 = the random forest above."""
-        from aerolens.plans.q_stream import _run, _scratch, _source
-        from aerolens.streaming.job import stream_detect
-        s = stream_detect(_source(spark, sf_dir), layers="all", model=models["rf"],
-                          eviction="30 days")
-        _run(s.writeStream.format("noop").outputMode("append")
-             .option("checkpointLocation", _scratch(spark, "bench-stream-rf") + "_ckpt"))
+        from aerolens.plans.q_stream import _streamed
+        _streamed(spark, load_events_telemetry(spark, sf_dir).drop("t_us"), layers="all", model=models["rf"], sinks=("metrics",))
 
     def q_stream():
-        from aerolens.plans.q_stream import _scored_stream, _run, _scratch
-        sink = _scratch(spark, "bench-stream")
-        _run(_scored_stream(spark, sf_dir).writeStream.format("noop").outputMode("append")
-             .option("checkpointLocation", sink + "_ckpt"))
+        """L1 + L2 + causal features on the stream."""
+        from aerolens.plans.q_stream import _streamed
+        _streamed(spark, load_events_telemetry(spark, sf_dir).drop("t_us"), with_features=True, sinks=("metrics",))
 
     plan = [("l1_l2_detect", q_l1_l2), ("window_features", q_features),
             ("detect_and_evaluate", q_detect_eval), ("anomaly_segments", q_segments),

@@ -34,7 +34,7 @@ def test_run_stream(spark):
     src = os.path.join(base, "src")
     write_replay(view, src, chunks=3, files_per_chunk=2)
     run_stream(spark, src, view.schema, os.path.join(base, "out"), os.path.join(base, "ckpt"),
-               files_per_trigger=2, eviction="30 days")
+               layers="rules,statistical", files_per_trigger=2)
     alerts, metrics = stream_results(spark, os.path.join(base, "out"))
     m = metrics.first()
     assert m["n_samples"] == view.count()

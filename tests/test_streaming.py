@@ -1,4 +1,4 @@
-"""Stream = batch (causal) over several micro-batches and a restart."""
+"""Stream = batch (causal) over several micro-batches, restarts, late rows and missing timestamps."""
 
 from __future__ import annotations
 
@@ -7,34 +7,32 @@ import tempfile
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from aerolens.operators.features import compute_features
 from aerolens.operators.statistical import detect_sudden_changes
+from aerolens.plans.runners import run_stream, stream_results
 from aerolens.schema import FEATURE_NAMES
 from aerolens.streaming import job
-from aerolens.streaming.replay import replay_stream, select_cases
-from aerolens.streaming.state_math import rolling
+from aerolens.streaming.replay import select_cases, write_replay
 from tests.test_layers import _random_flights
 
 COLS = ["z_altitude", "z_speed", "z_heading", "z_gps_step"] + list(FEATURE_NAMES)
+STAT = "rules,statistical"
 
 
-def _batch(df):
-    b = compute_features(detect_sudden_changes(df), fill="causal")
-    return b.toPandas()
+def _dirs(*names):
+    base = tempfile.mkdtemp(prefix="aerolens-stream-")
+    return tuple(os.path.join(base, x) for x in names)
 
 
-def _run(spark, stream, out, ckpt):
-    q = (stream.writeStream.format("parquet").outputMode("append")
-         .option("path", out).option("checkpointLocation", ckpt)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+def _batch(df):
+    return compute_features(detect_sudden_changes(df), fill="causal").toPandas()
 
 
 def _check(got: pd.DataFrame, exp: pd.DataFrame):
-    key = ["replicate", "case_id", "row_idx"]
-    m = got.merge(exp, on=key, suffixes=("_s", "_b"))
+    m = got.merge(exp, on=["replicate", "case_id", "row_idx"], suffixes=("_s", "_b"))
     assert len(m) == len(exp) == len(got)
     for c in COLS:
         a, b = m[f"{c}_s"].astype(float).values, m[f"{c}_b"].astype(float).values
@@ -43,51 +41,105 @@ def _check(got: pd.DataFrame, exp: pd.DataFrame):
     assert (m["change_reasons_s"] == m["change_reasons_b"]).all()
 
 
-def test_rolling_matches_pandas():
-    x = np.array([1.0, np.nan, 3.0, 4.0, 10.0, 2.0, np.nan, 5.0])
-    s = pd.Series(x)
-    for op in ("mean", "std", "max", "min"):
-        exp = getattr(s.rolling(4, min_periods=2), op)().values
-        assert np.allclose(rolling(x, 4, op, 2), exp, equal_nan=True), op
+def _sliced(df, n):
+    t = F.unix_micros("timestamp")
+    lo, hi = df.agg(F.min(t), F.max(t)).first()
+    return df.withColumn("_s", F.floor((t - F.lit(lo)) / F.lit((hi - lo) // n + 1)))
 
 
-def test_stream_parity_with_restart(spark):
+def _append(part, src):
+    part.drop("_s").repartition(2, "replicate", "case_id").write.mode("append").parquet(src)
+
+
+@pytest.mark.parametrize("compact_every", [1, 2, 16])
+def test_parity_with_restart_and_other_partitions(spark, compact_every):
     df = _random_flights(spark, n_flights=4, n=70, seed=21)
-    exp = _batch(df)
-    base = tempfile.mkdtemp(prefix="aerolens-stream-")
-    src, out, ckpt = (os.path.join(base, x) for x in ("src", "out", "ckpt"))
-    t = F.unix_micros("timestamp")
-    lo, hi = df.agg(F.min(t), F.max(t)).first()
-    span = (hi - lo) // 4 + 1
-    sliced = df.withColumn("_s", F.floor((t - F.lit(lo)) / F.lit(span)))
-    schema = df.schema
-
-    def stream():
-        s = replay_stream(spark, src, schema, files_per_trigger=2)
-        return job.stateful_windows(s, layers=("statistical", "ml"), eviction="3650 days")
-
-    for c in (0, 1):                         # first run sees half the data
-        sliced.filter(F.col("_s") == c).drop("_s").repartition(2, "replicate", "case_id") \
-            .write.mode("append").parquet(src)
-    _run(spark, stream(), out, ckpt)
-    for c in (2, 3):                         # restart from the checkpoint
-        sliced.filter(F.col("_s") == c).drop("_s").repartition(2, "replicate", "case_id") \
-            .write.mode("append").parquet(src)
-    _run(spark, stream(), out, ckpt)
-    _check(spark.read.parquet(out).toPandas(), exp)
-
-
-def test_late_rows_dropped(spark):
-    df = _random_flights(spark, n_flights=1, n=40, seed=2)
-    base = tempfile.mkdtemp(prefix="aerolens-late-")
-    src, out, ckpt = (os.path.join(base, x) for x in ("src", "out", "ckpt"))
-    df.filter(F.col("row_idx") > 20).coalesce(1).write.mode("append").parquet(src)
-    _run(spark, job.stateful_windows(replay_stream(spark, src, df.schema, 1), eviction="3650 days"),
-         out, ckpt)
-    df.filter(F.col("row_idx") <= 20).coalesce(1).write.mode("append").parquet(src)
-    _run(spark, job.stateful_windows(replay_stream(spark, src, df.schema, 1), eviction="3650 days"),
-         out, ckpt)
-    assert spark.read.parquet(out).count() == 20           # rows 1..20 came late
+    src, out, ckpt = _dirs("src", "out", "ckpt")
+    parts = _sliced(df, 4)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for c in range(4):                       # one micro-batch a start, partitions change between
+            spark.conf.set("spark.sql.shuffle.partitions", str(3 + 2 * (c % 2)))
+            _append(parts.filter(F.col("_s") == c), src)
+            run_stream(spark, src, df.schema, out, ckpt, layers=STAT, files_per_trigger=2, with_features=True, sinks=(),
+                       compact_every=compact_every)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    _check(job.read_scored(spark, out).toPandas(), _batch(df))
+
+
+def test_old_flights_and_late_rows_are_kept(spark):
+    df = _random_flights(spark, n_flights=3, n=40, seed=2)
+    src, out, ckpt = _dirs("src", "out", "ckpt")
+    old = df.withColumn("timestamp", F.when(F.col("case_id") == 1, F.expr("timestamp - interval 40 days")).otherwise(F.col("timestamp")))
+    for part in (old.filter("case_id <> 1"), old.filter("case_id = 1 and row_idx > 20"), old.filter("case_id = 1 and row_idx <= 20")):
+        part.coalesce(1).write.mode("append").parquet(src)
+        run_stream(spark, src, df.schema, out, ckpt, layers=STAT)
+    got = job.read_scored(spark, out)
+    assert got.count() == df.count()
+    late = got.filter("late")
+    assert late.count() == 20 and late.filter("case_id <> 1 or row_idx > 20").count() == 0
+    _, m = stream_results(spark, out)
+    assert m.first()["n_late"] == 20 and m.first()["n_samples"] == df.count()
+
+
+def test_missing_timestamps_and_replay_orders(spark):
+    df = _random_flights(spark, n_flights=4, n=30, seed=5).withColumn(
+        "timestamp", F.when((F.col("case_id") != 2) & (F.col("row_idx") % 7 != 0), F.col("timestamp")))
+    exp = detect_sudden_changes(df).toPandas()
+    for by in ("time", "case"):
+        src, out, ckpt = _dirs("src", "out", "ckpt")
+        files = write_replay(df, src, chunks=3, files_per_chunk=2, by=by)
+        assert spark.read.parquet(src).count() == df.count()
+        run_stream(spark, src, df.schema, out, ckpt, layers=STAT, files_per_trigger=files)
+        got = job.read_scored(spark, out)
+        assert got.count() == df.count() and got.filter("timestamp is null").count() == df.filter("timestamp is null").count()
+        if by == "case":                         # whole flights: windows as in the batch
+            m = got.toPandas().merge(exp, on=["replicate", "case_id", "row_idx"], suffixes=("_s", "_b"))
+            assert np.allclose(m["z_altitude_s"].astype(float), m["z_altitude_b"].astype(float), equal_nan=True)
+    assert write_replay(df.withColumn("timestamp", F.lit(None).cast("timestamp")), _dirs("x")[0], chunks=2) == 4
+    with pytest.raises(ValueError, match="nothing to replay"):
+        write_replay(df.limit(0), _dirs("x")[0])
+
+
+def test_replayed_batch_counts_once(spark):
+    df = _random_flights(spark, n_flights=2, n=40, seed=8)
+    src, out = _dirs("src", "out")
+    context = job.FlightContext(spark, f"{out}/context", df.withColumn("_ord", F.lit(0).cast("bigint")).schema, ("replicate", "case_id"), 40)
+    rows = df.withColumn("_ord", F.lit(0).cast("bigint"))
+    for batch_id, part in ((0, rows.filter("row_idx <= 20")), (1, rows.filter("row_idx > 20")), (1, rows.filter("row_idx > 20"))):
+        scored, whole = job.score_batch(part, batch_id, context, ("statistical",))
+        assert scored.count() == part.count() and scored.filter("late").count() == 0
+        context.write(batch_id, whole)
+
+
+def test_options(spark):
+    df = _random_flights(spark, n_flights=3, n=20, seed=4)
+    src, out, ckpt = _dirs("src", "out", "ckpt")
+    write_replay(df, src, chunks=2, files_per_chunk=1)
+    with pytest.raises(ValueError, match="needs a fitted model"):
+        run_stream(spark, src, df.schema, out, ckpt, layers="ml")
+    with pytest.raises(ValueError, match="needs a fitted model"):
+        run_stream(spark, src, df.schema, out, ckpt)
+    with pytest.raises(ValueError, match="Unknown sinks"):
+        run_stream(spark, src, df.schema, out, ckpt, layers="rules", sinks=("kafka",))
+    run_stream(spark, src, df.schema, out, ckpt, layers="rules", case_ids=[1], sinks=("console",))
+    got = job.read_scored(spark, out)
+    assert {r["case_id"] for r in got.select("case_id").distinct().collect()} == {1} and "alert_change" not in got.columns
+    assert all(r["value"].startswith("[ALERT ") for r in spark.read.text(f"{out}/console").collect())
+    assert not os.path.exists(f"{out}/alerts")
+
+
+def test_alert_time_is_utc_in_any_session_zone(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    df = spark.sql("select timestamp_micros(us) t from values (0L), (1710000000123456L), (-1L), (1709967600000000L), (null) v(us)")
+    want = ["1970-01-01 00:00:00.000000+00:00", "2024-03-09 16:00:00.123456+00:00", "1969-12-31 23:59:59.999999+00:00", "2024-03-09 07:00:00.000000+00:00", None]
+    try:
+        for zone in ("UTC", "America/New_York", "Europe/Warsaw"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert [r[0] for r in df.select(job.utc_text("t")).collect()] == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
 
 
 def test_select_cases(spark):
@@ -97,21 +149,17 @@ def test_select_cases(spark):
     assert select_cases(df, n_cases=2, max_samples=5).count() == 5
 
 
-def test_stream_with_model_matches_batch_causal(spark):
+def test_model_on_the_stream_matches_batch_causal(spark):
     from aerolens.operators.models import AnomalyDetector
     from aerolens.plans.composed import detect
-    df = _random_flights(spark, n_flights=4, n=60, seed=41).withColumn(
-        "label", (F.col("row_idx") % 7 == 0).cast("int"))
+    df = _random_flights(spark, n_flights=4, n=60, seed=41).withColumn("label", (F.col("row_idx") % 7 == 0).cast("int"))
     det = AnomalyDetector("isolation_forest", params={"n_estimators": 20}).fit(df)
     exp = detect(df, layers="all", model=det, fill="causal", combine=True) \
         .select("replicate", "case_id", "row_idx", "ml_score", "alert_ml", "layers").toPandas()
-    base = tempfile.mkdtemp(prefix="aerolens-ml-stream-")
-    src, out, ckpt = (os.path.join(base, x) for x in ("src", "out", "ckpt"))
-    df.repartition(3, "replicate", "case_id").write.parquet(src)
-    s = job.stream_detect(replay_stream(spark, src, df.schema, 1), layers="all", model=det,
-                          eviction="3650 days")
-    _run(spark, s.select("replicate", "case_id", "row_idx", "ml_score", "alert_ml", "layers"), out, ckpt)
-    got = spark.read.parquet(out).toPandas()
+    src, out, ckpt = _dirs("src", "out", "ckpt")
+    files = write_replay(df, src, chunks=3, files_per_chunk=2)
+    run_stream(spark, src, df.schema, out, ckpt, model=det, files_per_trigger=files)
+    got = job.read_scored(spark, out).select("replicate", "case_id", "row_idx", "ml_score", "alert_ml", "layers").toPandas()
     m = got.merge(exp, on=["replicate", "case_id", "row_idx"], suffixes=("_s", "_b"))
     assert len(m) == len(exp) == len(got)
     assert np.allclose(m["ml_score_s"], m["ml_score_b"], atol=1e-12)

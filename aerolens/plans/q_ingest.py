@@ -24,15 +24,15 @@ CSV_COLUMNS = ("profile", "replicate", "case_id", "case_name", "row_idx", "label
                "original_row_idx")
 
 
-def events_as_csv(spark, sf_dir: str) -> str:
-    """Write the (unfiltered) telemetry view of ``events`` as CSV; return its path."""
+def _csv_rows(spark, sf_dir: str):
+    """The (unfiltered) telemetry view of ``events`` as text columns."""
     ev = spark.read.parquet(f"{sf_dir}/events.parquet")
     uid, eid = F.col("user_id"), F.col("event_id")
     flat = (uid % 10) == 0
     d = lambda x: F.lit(float(x))
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     t_us = events_micros(F.col("ts"))
-    rows = ev.select(
+    return ev.select(
         F.when(uid % 3 == 0, "subtle").when(uid % 3 == 1, "balanced").otherwise("strong").alias("profile"),
         (uid % 4).cast("string").alias("replicate"),
         uid.cast("string").alias("case_id"),
@@ -51,6 +51,11 @@ def events_as_csv(spark, sf_dir: str) -> str:
         F.lit("FLIGHT_LOG").alias("source"),
         eid.cast("string").alias("original_row_idx"),
     )
+
+
+def events_as_csv(spark, sf_dir: str) -> str:
+    """Write the (unfiltered) telemetry view of ``events`` as CSV; return its path."""
+    rows = _csv_rows(spark, sf_dir)
     # a fresh folder per call: a lazily read earlier result is never overwritten
     tag = hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:8]
     path = os.path.join(checkpoint_dir(spark), f"events_csv_{tag}_{uuid.uuid4().hex[:10]}")
@@ -110,3 +115,42 @@ def o1_sorted_head(spark, sf_dir):
 def o6_distinct_types(spark, sf_dir):
     d = _loaded(spark, sf_dir)
     return d.filter(F.col("tamper_type") != "normal").select("tamper_type").distinct().orderBy("tamper_type")
+
+
+_ODD = "9007199254740993"          # above 2**53: not a double
+
+
+@register("s1_mixed_files", q.with_view(f"""
+select event_id as original_row_idx, case_id + case when case_id % 5 = 0 then {_ODD} else 0 end as case_id,
+  case when event_id % 101 = 0 then null else replicate end as replicate, row_idx, label,
+  {q.r6('altitude')} as altitude, {q.r6('speed')} as speed, t_us
+from t"""))
+def s1_mixed_files(spark, sf_dir):
+    """Two folders of files with different column order, ids above 2**53, tokens out of range, times without offset."""
+    rows = _csv_rows(spark, sf_dir)
+    case, eid = F.col("case_id").cast("bigint"), F.col("original_row_idx").cast("bigint")
+    rows = rows.withColumns({
+        "case_id": F.when(case % 5 == 0, (case + F.lit(int(_ODD))).cast("string")).otherwise(F.col("case_id")),
+        "replicate": F.when(eid % 101 == 0, F.lit("1e20")).otherwise(F.col("replicate")),
+        "timestamp": F.when(eid % 2 == 0, F.substring("timestamp", 1, 26)).otherwise(F.col("timestamp"))})
+    path = os.path.join(checkpoint_dir(spark), f"mixed_csv_{uuid.uuid4().hex[:10]}")
+    write = lambda d: d.write.mode("append").option("header", True).csv(path)
+    write(rows.where(eid % 3 == 0))
+    write(rows.where(eid % 3 != 0).select(*reversed(rows.columns)))
+    d = ingest.load_dataset(spark, path)
+    return d.select("original_row_idx", "case_id", "replicate", "row_idx", "label", r6("altitude").alias("altitude"),
+                    r6("speed").alias("speed"), F.unix_micros("timestamp").alias("t_us"))
+
+
+@register("s3_missing_columns", q.with_view("select 'label' as missing, cast(count(*) as bigint) as n_rows from t"))
+def s3_missing_columns(spark, sf_dir):
+    """The error of a file without a required column names it; with usecols the check is off."""
+    path = os.path.join(checkpoint_dir(spark), f"short_csv_{uuid.uuid4().hex[:10]}")
+    _csv_rows(spark, sf_dir).drop("label").write.option("header", True).csv(path)
+    try:
+        ingest.load_dataset(spark, path)
+        said = "nothing"
+    except ValueError as e:
+        said = str(e).partition("['")[2].partition("']")[0]
+    d = ingest.load_dataset(spark, path, usecols=["timestamp", "row_idx", "case_id", "replicate"])
+    return d.agg(F.lit(said).alias("missing"), F.count(F.lit(1)).alias("n_rows")).select("missing", "n_rows")

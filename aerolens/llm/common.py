@@ -96,14 +96,15 @@ def lower_ascii(c: Column) -> Column:
 
 
 def numbered(df: DataFrame, by: list[str], order: list[str], out: str,
-             levels: list[str] | None = None, buckets: int = NUMBER_BUCKETS) -> DataFrame:
+             levels: list[str] | None = None, buckets: int = NUMBER_BUCKETS, few: bool = False) -> DataFrame:
     """Number the rows of each ``by`` group 0, 1, ... without one task per group.
 
     Rows of a group are dealt to ``buckets`` by the hash of the ``order``
     columns; a small table of counts (groups x levels x buckets) gives each
     bucket its offset, and only the rows of a bucket are sorted together.
     ``levels`` order the rows before the hash does.  Equal rows get different
-    numbers in any order.  Group columns may be null.
+    numbers in any order.  Group columns may be null.  ``few``: the caller knows
+    that there are few groups and levels, so the offsets are broadcast.
     """
     levels = levels or []
     b = "_num_bucket"
@@ -116,7 +117,7 @@ def numbered(df: DataFrame, by: list[str], order: list[str], out: str,
     inner = W.partitionBy(*keys).orderBy(F.xxhash64(F.lit(23), *order), *order)
     d = d.withColumn("_num_rn", F.row_number().over(inner))
     on = [F.col(k).eqNullSafe(F.col(f"_o{i}")) for i, k in enumerate(keys)]
-    d = d.join(offsets, on, "left")
+    d = d.join(F.broadcast(offsets) if few else offsets, on, "left")
     return (d.withColumn(out, (F.col("_num_off") + F.col("_num_rn") - 1).cast("bigint"))
             .drop(b, "_num_rn", "_num_off", *[f"_o{i}" for i in range(len(keys))]))
 

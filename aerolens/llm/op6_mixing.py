@@ -92,7 +92,7 @@ def place(docs: DataFrame, weights: dict[str, float] | None = None, block_rows:
     rest = MAX_LANES - 1
     d = docs.join(F.broadcast(named), F.col("source").cast("string").eqNullSafe(F.col("_mix_src")), "left")
     d = d.withColumn("_mix_lane", F.coalesce("_mix_lane", F.lit(rest))).drop("_mix_src")
-    d = numbered(d, ["_mix_lane"], ["doc_id"], "_mix_seq")
+    d = numbered(d, ["_mix_lane"], ["doc_id"], "_mix_seq", few=True)       # at most MAX_LANES groups
     block = F.floor(F.col("_mix_seq") / block_rows)
     d = d.withColumns({"_mix_block": block, "_mix_in": F.col("_mix_seq") % block_rows})
     units = F.broadcast(table_.select(F.col("lane").alias("_mix_lane"), F.col("units").alias("_mix_u")))

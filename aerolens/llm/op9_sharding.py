@@ -6,7 +6,8 @@ group: equal texts, or groups that the caller gives) and asks to move to the
 shard that holds most of them.  Rounds alternate: in one, only shards with room
 are asked, and requests to a shard are admitted up to its quota; in the next,
 any shard is, and as many are admitted from one shard to another as the other
-way round.  Requests are ordered by gain.  Neighbours are counted per
+way round.  Requests are ordered by gain; where all can be admitted, they are.
+Documents whose groups have come together take no further part.  Neighbours are counted per
 group and shard, never as pairs, and requests are numbered by two-level
 counts, so a group with a third of all rows takes no more than its share of a
 task; a group larger than a shard fills shards one after the other.
@@ -26,7 +27,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from aerolens.llm.common import materialise, numbered, remove, table
+from aerolens.llm.common import materialise, numbered, remove, small, table
 
 SHARDS = 8
 ROUNDS = 8
@@ -47,12 +48,19 @@ def propagate(members: DataFrame, quota: list[int], rounds: int = ROUNDS) -> Dat
     """
     shards = len(quota)
     state = materialise(members.select("n").distinct().withColumn("shard", (F.col("n") % shards).cast("int")), "sh-state")
+    total = state.count()
     still = 0
     for turn_no in range(rounds):
         swap = turn_no % 2 == 1
+        near = members.join(state, "n")
+        split = near.groupBy("g").agg(F.min("shard").alias("a"), F.max("shard").alias("b")).where("a <> b").select("g")
+        open_ = materialise(near.join(split, "g", "left_semi").select("n").distinct(), "sh-open")
+        n_open = open_.count()
+        if not n_open:
+            break
+        near = near.join(small(open_, n_open), "n", "left_semi")
         room = [q - c for q, c in zip(quota, _per_shard(state, "shard", shards))]
         rooms = F.array(*[F.lit(r) for r in room])
-        near = members.join(state, "n")
         counts = near.groupBy("g", "shard").agg(F.count(F.lit(1)).alias("c"))
         dist = counts.groupBy("g").agg(F.collect_list(F.struct("shard", "c")).alias("dist"))      # at most one entry a shard
         # neighbours of each document by shard, over its groups
@@ -67,24 +75,28 @@ def propagate(members: DataFrame, quota: list[int], rounds: int = ROUNDS) -> Dat
         better = F.filter("all", lambda s: free(s) & ((s.c > F.col("own.c")) | ((s.c == F.col("own.c")) & (s.turn > F.col("own.turn")))))
         asks = each.withColumn("best", F.array_max(better)).where("best is not null")
         asks = asks.select("n", "shard", F.col("best.to").alias("to"), (-F.floor(F.log2(F.col("best.c") - F.col("own.c") + 1))).cast("int").alias("level"))
+        asks = materialise(asks, "sh-asks", n_open)
+        asked = {(r[0], r[1]): r[2] for r in asks.groupBy("shard", "to").count().collect()}       # at most shards * shards numbers
         if swap:
-            asks = materialise(asks, "sh-asks")
-            asked = {(r[0], r[1]): r[2] for r in asks.groupBy("shard", "to").count().collect()}       # shards * shards numbers
-            limit = F.array(*[F.lit(min(asked.get((i, j), 0), asked.get((j, i), 0))) for i in range(shards) for j in range(shards)])
-            placed = numbered(asks, ["shard", "to"], ["n"], "place", levels=["level"], buckets=BUCKETS)
-            admitted = placed.where(F.col("place") < F.get(limit, F.col("shard") * shards + F.col("to")))
+            limit = [min(asked.get((i, j), 0), asked.get((j, i), 0)) for i in range(shards) for j in range(shards)]
+            wants, key, at = [asked.get((i, j), 0) for i in range(shards) for j in range(shards)], ["shard", "to"], F.col("shard") * shards + F.col("to")
         else:
-            placed = numbered(asks, ["to"], ["n"], "place", levels=["level"], buckets=BUCKETS)
-            admitted = placed.where(F.col("place") < F.get(rooms, F.col("to")))
-        moves = materialise(admitted.select("n", "to"), "sh-moves")
-        still = still + 1 if moves.isEmpty() else 0
+            limit, key, at = room, ["to"], F.col("to")
+            wants = [sum(asked.get((i, j), 0) for i in range(shards)) for j in range(shards)]
+        if any(w > max(0, r) for w, r in zip(wants, limit)):
+            placed = numbered(asks, key, ["n"], "place", levels=["level"], buckets=BUCKETS, few=True)
+            asks = placed.where(F.col("place") < F.get(F.array(*[F.lit(r) for r in limit]), at))
+        moves = materialise(asks.select("n", "to"), "sh-moves", n_open)
+        n_moves = moves.count()
+        still = 0 if n_moves else still + 1
         if still == 2:
             break
-        if not still:
-            nxt = materialise(state.join(moves, "n", "left").select("n", F.coalesce("to", "shard").alias("shard")), "sh-state")
+        if n_moves:
+            nxt = materialise(state.join(small(moves, n_moves), "n", "left").select("n", F.coalesce("to", "shard").alias("shard")), "sh-state", total)
             remove(state)
             state = nxt
-        remove(moves)
+        for t in (moves, open_):
+            remove(t)
     return state
 
 
@@ -98,7 +110,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, links: DataFrame | None = None,
                        (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("bigint").alias("size"),
                        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
                        F.when(text.isNotNull(), F.concat_ws(":", F.xxhash64(text), F.xxhash64(F.lit(1), text))).alias("g"))
-    rows = materialise(numbered(rows, [], ["doc_id", "text_crc32"], "n", buckets=BUCKETS), "sh-rows")
+    rows = materialise(numbered(rows, [], ["doc_id", "text_crc32"], "n", buckets=BUCKETS, few=True), "sh-rows")
     total = rows.count()
     quota = [total // shards + (s < total % shards) for s in range(shards)]
 
@@ -109,8 +121,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, links: DataFrame | None = None,
     state = propagate(members, quota, rounds)
     linked = _per_shard(state, "shard", shards)
 
-    placed = numbered(state, ["shard"], ["n"], "slot", buckets=BUCKETS)
-    single = numbered(rows.join(state.select("n"), "n", "left_anti").select("n"), [], ["n"], "k", buckets=BUCKETS)
+    placed = numbered(state, ["shard"], ["n"], "slot", buckets=BUCKETS, few=True)
+    single = numbered(rows.join(state.select("n"), "n", "left_anti").select("n"), [], ["n"], "k", buckets=BUCKETS, few=True)
     ends, sofar = [], 0
     for q, c in zip(quota, linked):
         sofar += q - c

@@ -37,6 +37,7 @@ from aerolens.schema import (DEFAULT_FEATURE_WINDOW, DEFAULT_FLIGHT_KEYS, DEFAUL
                              FEATURE_NAMES, SUPERVISED, SUPPORTED_ALGOS, UNSUPERVISED)
 
 _VEC = "_features_vec"
+ROWS_PER_TASK = 20_000
 
 
 class AnomalyDetector:
@@ -79,19 +80,23 @@ class AnomalyDetector:
 
     # --------------------------------------------------------------- fit
     def fit(self, train: DataFrame) -> "AnomalyDetector":
-        """Fit on ``train``; the training features (20 columns + label) are
-        persisted for the duration of the fit, since the fit reads them
-        several times (sampling, training passes, threshold)."""
+        """Fit on ``train``.  A fit on a capped sample persists that sample
+        only; the others read all training features several times (training
+        passes, threshold) and persist them for the duration of the fit."""
+        if self.algorithm in ("lof", "one_class_svm") and not self.max_train_samples:
+            raise ValueError(f"{self.algorithm} needs a cap: max_train_samples must be positive")
         spark = train.sparkSession
         self.feature_names = list(FEATURE_NAMES)
         seed = int(self._p("random_state", 42))
         df = self.with_features(train).select("label", *self.feature_names, *[
             c for c in ("replicate", "case_id", "row_idx", "_ord") if c in train.columns])
+        if self.max_train_samples:
+            rows = df.filter(F.col("label") == 0) if self.algorithm in UNSUPERVISED else df.filter(F.col("label").isNotNull())
+            df = subsample(rows, self.max_train_samples, seed)
         df = df.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             if self.algorithm in UNSUPERVISED:
                 clean = df.filter(F.col("label") == 0)
-                clean = subsample(clean, self.max_train_samples, seed)
                 self._fit_unsupervised(spark, clean, seed)
                 # the threshold reads the scores twice (cut points, sums): score once
                 scored = clean.select(self._score_expr(spark).alias("ml_score")).persist()
@@ -100,7 +105,6 @@ class AnomalyDetector:
                 scored.unpersist()
             else:
                 lab = df.filter(F.col("label").isNotNull())
-                lab = subsample(lab, self.max_train_samples, seed)
                 self._fit_supervised(lab, seed)
                 scored = self._raw_scores(lab).select("label", "ml_score").persist()
                 best = curves.max_f1_threshold(scored, "ml_score", direction="high").first()
@@ -149,6 +153,8 @@ class AnomalyDetector:
         w = class_weights(lab, "label", mode or "none")
         data = self._assemble(lab).select(_VEC, F.col("label").cast("double").alias("_y"),
                                           weight_column(w).alias("_w"))
+        # a tree level is a pass of short tasks: no more of them than the rows call for
+        data = data.coalesce(lab.count() // ROWS_PER_TASK + 1)
         self.model = est.fit(data)
 
     # ------------------------------------------------------------ scoring
@@ -264,7 +270,7 @@ def compare_algorithms(train: DataFrame, test: DataFrame, algorithms=SUPPORTED_A
     """precision/recall/F1 (+ fit time) per algorithm on one feature table.
 
     Features are computed once for train and test and reused (J3); a failing
-    algorithm is skipped.  The loop is over algorithms (a handful), every
+    algorithm has its message in ``error`` and no figures.  The loop is over algorithms (a handful), every
     fit/score inside is a distributed job.
     """
     import time
@@ -282,12 +288,13 @@ def compare_algorithms(train: DataFrame, test: DataFrame, algorithms=SUPPORTED_A
             det = AnomalyDetector(algo, params=(params or {}).get(algo))
             out = det.fit(tr).predict(te)
             m = confusion(out, "alert_ml").first().asDict()
-        except Exception as e:  # noqa: BLE001 - mirror: a failing algorithm is skipped
+        except Exception as e:  # noqa: BLE001 - the others are still compared
             warnings.warn(f"{algo} failed: {e}")
+            rows.append((algo, *[None] * 7, round(time.time() - t0, 1), f"{type(e).__name__}: {str(e)[:300]}"))
             continue
         rows.append((algo, m["TP"], m["FP"], m["TN"], m["FN"], float(m["precision"]),
-                     float(m["recall"]), float(m["f1"]), round(time.time() - t0, 1)))
+                     float(m["recall"]), float(m["f1"]), round(time.time() - t0, 1), None))
     tr.unpersist()
     te.unpersist()
     return spark.createDataFrame(rows, "algorithm string, TP long, FP long, TN long, FN long, "
-                                       "precision double, recall double, f1 double, time_s double")
+                                       "precision double, recall double, f1 double, time_s double, error string")

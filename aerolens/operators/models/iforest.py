@@ -1,10 +1,11 @@
 """Isolation forest as a Spark job (M6; Liu, Ting, Zhou 2008).
 
 Training: each tree needs ``psi`` = min(max_samples, n) random clean rows.
-Rows are drawn by seeded hashes (no driver sampling): a row is kept with a
-probability that gives ~2 psi candidates per tree and sent to one hashed
-tree (several distinct ones when the table is small); per tree the ``psi``
-candidates with the smallest hash are kept (without replacement).  Trees are grown in
+Rows are drawn by seeded hashes (no driver sampling), about 2 psi candidates
+per tree: from a large table a row is kept with a small probability and sent
+to one hashed tree, from a small one every pair of row and tree is drawn by
+itself (all pairs if the table has at most 2 psi rows).  Per tree exactly the
+``psi`` candidates with the smallest hash are kept, all different rows.  Trees are grown in
 parallel with ``groupBy(tree_id).applyInPandas`` (one small group per tree).
 
 Scoring: the forest (n_trees x at most 2 psi - 1 nodes, bounded by the two
@@ -77,32 +78,31 @@ def _grow(X: np.ndarray, rng: np.random.Generator, max_depth: int):
 
 
 def fit_forest(train: DataFrame, feature_cols, n_trees: int = 150, max_samples: int = 256,
-               seed: int = 42) -> tuple[DataFrame, int]:
-    """Returns (trees DataFrame with TREE_SCHEMA, psi)."""
+               seed: int = 42, sample_only: bool = False) -> tuple[DataFrame, int]:
+    """Returns (trees DataFrame with TREE_SCHEMA, psi); with ``sample_only`` the drawn rows instead."""
     ship_package(train.sparkSession)
     n = train.count()
     if n == 0:
         raise ValueError("no training rows for isolation_forest")
     psi = int(min(max_samples, n))
-    # ~2 psi candidates per tree: keep a row with probability f, send a kept
-    # row to r distinct hashed trees (r = 1 unless the table is small)
-    f = min(1.0, 2.0 * psi * n_trees / n)
-    r = max(1, min(n_trees, math.ceil(2.0 * psi * n_trees / (n * f))))
     scale = float(1 << 30)
     h = row_hash(train, seed)
     u = lambda c: F.pmod(c, F.lit(1 << 30)).cast("double") / F.lit(scale)
     feats = F.array(*[F.col(c).cast("double") for c in feature_cols]).alias("x")
-    kept = train.select(h.alias("_h"), feats).filter(u(F.col("_h")) < F.lit(f))
-    if r == 1:
+    rows = train.select(h.alias("_h"), feats)
+    if n > 4 * psi * n_trees:
+        kept = rows.filter(u(F.col("_h")) < F.lit(2.0 * psi * n_trees / n))
         trees = F.array(F.pmod(F.xxhash64(F.col("_h"), F.lit(seed + 1)), F.lit(n_trees)).cast("int"))
     else:
-        trees = F.array_distinct(F.transform(
-            F.sequence(F.lit(0), F.lit(r - 1)),
-            lambda j: F.pmod(F.xxhash64(F.col("_h"), j, F.lit(seed + 1)), F.lit(n_trees)).cast("int")))
+        kept, p = rows, min(1.0, 2.0 * psi / n)
+        trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)),
+                         lambda j: F.lit(p >= 1.0) | (u(F.xxhash64(F.col("_h"), j, F.lit(seed + 1))) < F.lit(p)))
     cand = kept.select("x", F.explode(trees).alias("tree_id"), "_h") \
         .withColumn("_rk", F.xxhash64(F.col("_h"), F.col("tree_id"), F.lit(seed + 2)))
     w = Window.partitionBy("tree_id").orderBy("_rk", "_h")
     chosen = cand.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= psi)
+    if sample_only:
+        return chosen.select("tree_id", "_h"), psi
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -1,27 +1,28 @@
 """Local outlier factor, novelty mode (M7; Breunig et al. 2000).
 
 The reference set is a capped repeatable sample of clean rows (50k by
-default, the reference's cap); it is the model and is broadcast (bounded by
-the cap).  Fitting the reference's own k-distances and local reachability
-densities is distributed over the reference rows with ``mapInPandas``
-(exact chunked kNN against the broadcast matrix, self excluded).  Scoring is
-the same exact kNN per Arrow batch.  score = -mean(lrd(o) / lrd(x)).
+default; a cap is required).  Its neighbours are found in blocks: every task
+holds one block of query rows and one of reference rows, and the k nearest of
+each row are merged per row.  k-distances and local reachability densities
+are columns of a DataFrame, made by joins on the neighbour ids.  The finished
+model (rows, k-distance, density) is bounded by the cap and broadcast for
+scoring, an exact kNN per Arrow batch.  score = -mean(lrd(o) / lrd(x)).
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from aerolens.session import ship_package
 
 CHUNK = 128      # query rows per distance block (CHUNK x m doubles in memory)
 
 
-def _knn(Q: np.ndarray, R: np.ndarray, k: int, self_idx: np.ndarray | None = None):
+def _knn(Q: np.ndarray, R: np.ndarray, k: int):
     """Exact k nearest neighbours of each row of Q in R (indices, distances)."""
-    k = min(k, R.shape[0] - (1 if self_idx is not None else 0))
+    k = min(k, R.shape[0])
     idx_out = np.empty((Q.shape[0], k), dtype=np.int64)
     dist_out = np.empty((Q.shape[0], k))
     rn = (R * R).sum(axis=1)
@@ -29,8 +30,6 @@ def _knn(Q: np.ndarray, R: np.ndarray, k: int, self_idx: np.ndarray | None = Non
         q = Q[s:s + CHUNK]
         d2 = (q * q).sum(axis=1)[:, None] + rn[None, :] - 2.0 * q @ R.T
         np.maximum(d2, 0.0, out=d2)
-        if self_idx is not None:
-            d2[np.arange(q.shape[0]), self_idx[s:s + CHUNK]] = np.inf
         part = np.argpartition(d2, k - 1, axis=1)[:, :k]
         pd2 = np.take_along_axis(d2, part, axis=1)
         order = np.argsort(pd2, axis=1)
@@ -39,49 +38,49 @@ def _knn(Q: np.ndarray, R: np.ndarray, k: int, self_idx: np.ndarray | None = Non
     return idx_out, dist_out
 
 
-def fit_lof(spark, ref: DataFrame, feature_cols, k: int = 20):
-    """Returns model arrays (R, k_distance, lrd).  ``ref`` is the capped sample."""
+BLOCK = 4096     # reference rows per block
+
+
+def model_table(ref: DataFrame, feature_cols, k: int = 20, block: int = BLOCK) -> DataFrame:
+    """(id, x, kdist, lrd) of the reference rows ``ref``."""
+    spark = ref.sparkSession
     ship_package(spark)
-    rows = ref.select(F.array(*[F.col(c).cast("double") for c in feature_cols]).alias("x")).collect()
-    if len(rows) < 2:
+    x = F.array(*[F.col(c).cast("double") for c in feature_cols])
+    rows = ref.select(x.alias("x")).withColumn("id", F.monotonically_increasing_id()).persist()
+    m = rows.count()
+    if m < 2:
         raise ValueError("LOF needs at least two reference rows")
-    R = np.array([r["x"] for r in rows], dtype=float)
-    m = R.shape[0]
-    k = min(k, m - 1)
-    bcR = spark.sparkContext.broadcast(R)
-    idx_df = spark.range(m).repartition(max(1, min(64, m // 2000 + 1)))
-
-    schema1 = T.StructType([T.StructField("id", T.LongType()),
-                            T.StructField("kdist", T.DoubleType()),
-                            T.StructField("nbr", T.ArrayType(T.LongType())),
-                            T.StructField("dist", T.ArrayType(T.DoubleType()))])
-
-    def knn_part(it):
-        RR = bcR.value
-        for pdf in it:
-            ids = pdf["id"].to_numpy()
-            nb, ds = _knn(RR[ids], RR, k, self_idx=ids)
-            yield pd.DataFrame({"id": ids, "kdist": ds[:, -1], "nbr": list(nb), "dist": list(ds)})
-
-    knn = idx_df.mapInPandas(knn_part, schema1).persist()
-    kd = np.zeros(m)
-    for r in knn.select("id", "kdist").collect():
-        kd[r["id"]] = r["kdist"]
-    bcK = spark.sparkContext.broadcast(kd)
-
-    def lrd_part(it):
-        KD = bcK.value
-        for pdf in it:
-            nb = np.vstack(pdf["nbr"].to_numpy())
-            ds = np.vstack(pdf["dist"].to_numpy())
-            reach = np.maximum(KD[nb], ds)
-            yield pd.DataFrame({"id": pdf["id"], "lrd": 1.0 / (reach.mean(axis=1) + 1e-10)})
-
-    lrd = np.zeros(m)
-    for r in knn.mapInPandas(lrd_part, "id long, lrd double").collect():
-        lrd[r["id"]] = r["lrd"]
-    knn.unpersist()
-    return R, kd, lrd, k
+    k, blocks = min(k, m - 1), -(-m // block)
+    mine = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    side = lambda q, r, is_q: rows.select(q.alias("qb"), r.alias("rb"), F.lit(is_q).alias("q"), "id", "x")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    both = side(mine, every, True).union(side(every, mine, False))
+    schema = "id long, nbr long, dist double"
+
+    def near(pdf: pd.DataFrame) -> pd.DataFrame:
+        q, r = pdf[pdf["q"]], pdf[~pdf["q"]]
+        if not len(q) or not len(r):
+            return pd.DataFrame({"id": [], "nbr": [], "dist": []})
+        ids, rid = q["id"].to_numpy(), r["id"].to_numpy()
+        kk = min(len(r), k + 1)                                   # one may be the row itself
+        nb, ds = _knn(np.vstack(q["x"].to_numpy()), np.vstack(r["x"].to_numpy()), kk)
+        out = pd.DataFrame({"id": np.repeat(ids, kk), "nbr": rid[nb].ravel(), "dist": ds.ravel()})
+        return out[out["id"] != out["nbr"]]
+
+    found = both.groupBy("qb", "rb").applyInPandas(near, schema)     # at most two blocks of rows a group
+    nearest = Window.partitionBy("id").orderBy("dist", "nbr")
+    knn = found.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= k).persist()
+    kdist = knn.groupBy("id").agg(F.max("dist").alias("kdist"))
+    reach = knn.join(kdist.select(F.col("id").alias("nbr"), F.col("kdist").alias("kd")), "nbr")
+    lrd = reach.groupBy("id").agg((1.0 / (F.avg(F.greatest("kd", "dist")) + 1e-10)).alias("lrd"))
+    return rows.join(kdist, "id").join(lrd, "id").select("id", "x", "kdist", "lrd")
+
+
+def fit_lof(spark, ref: DataFrame, feature_cols, k: int = 20):
+    """Returns model arrays (R, k_distance, lrd, k), bounded by the sample's cap."""
+    rows = model_table(ref, feature_cols, k).orderBy("id").collect()
+    return (np.array([r["x"] for r in rows], dtype=float), np.array([r["kdist"] for r in rows]),
+            np.array([r["lrd"] for r in rows]), min(k, len(rows) - 1))
 
 
 def score_column(spark, R, kd, lrd, k: int, feature_cols) -> F.Column:

@@ -6,7 +6,7 @@ random Fourier features; the linear one-class objective
     min_w,rho  1/2 |w|^2 + 1/(nu n) sum max(0, rho - w.z_i) - rho
 
 is solved by subgradient descent whose sums are distributed Spark
-aggregations (per-partition partial sums, one row per partition back).
+aggregations: the sample is dealt over at most PARTS tasks, each returns one partial sum.
 Only (W, b, w, rho) — D x (d + 2) numbers — is the model.  The training
 set is the capped sample of clean rows.  score = w.z(x) - rho; lower =
 more anomalous.  An approximation: rankings, not values, match an exact SVM.
@@ -21,6 +21,10 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from aerolens.session import ship_package
 
 
+PARTS = 32              # most tasks of a gradient pass, and so partial sums that come back
+ROWS_PER_PART = 1500
+
+
 def _rff(X, W, b):
     D = W.shape[1]
     return np.sqrt(2.0 / D) * np.cos(X @ W + b)
@@ -36,6 +40,7 @@ def fit_ocsvm(spark, train: DataFrame, feature_cols, nu: float = 0.05, gamma="sc
     if not st["n"]:
         raise ValueError("no training rows for one_class_svm")
     n = st["n"] // d
+    sample, x = x, x.repartition(max(1, min(PARTS, n // ROWS_PER_PART))).persist()
     if gamma == "scale":
         gamma = 1.0 / (d * st["var"]) if st["var"] and st["var"] > 0 else 1.0
     elif gamma == "auto":
@@ -71,6 +76,7 @@ def fit_ocsvm(spark, train: DataFrame, feature_cols, nu: float = 0.05, gamma="sc
         w = w - eta * (w - g / (nu * n))
         rho = rho - eta * (c / (nu * n) - 1.0)
     x.unpersist()
+    sample.unpersist()
     return W, b, w, float(rho)
 
 

@@ -13,15 +13,15 @@ def row_hash(df: DataFrame, seed: int, cols=None) -> F.Column:
     return F.xxhash64(*[F.col(c) for c in cols], F.lit(int(seed)))
 
 
-def subsample(df: DataFrame, n: int | None, seed: int = 42, oversample: float = 3.0) -> DataFrame:
+def subsample(df: DataFrame, n: int | None, seed: int = 42) -> DataFrame:
     """Exactly ``n`` rows without replacement (all rows if fewer).
 
-    Rows are ranked by a seeded hash and the ``n`` smallest kept, so the
-    same rows come back on every run and after any recomputation.  To keep
-    the final top-n merge small, only rows whose hash falls below a
-    threshold sized for ~``oversample`` x n candidates take part; if fewer
-    than n pass (unlikely), all rows are ranked.  Exact either way: the n
-    smallest hashes are all below the threshold when at least n rows are.
+    The rows with the ``n`` smallest seeded hashes, so the same rows come back
+    on every run and after any recomputation.  The n-th hash is found from a
+    histogram of the upper hash bits and the hashes of one of its 65,536
+    bins; the rows themselves are filtered where they are and keep their
+    partitions.  Rows that tie at the n-th hash (repeated keys) are cut off in
+    any order.
     """
     if not n:
         return df
@@ -29,15 +29,19 @@ def subsample(df: DataFrame, n: int | None, seed: int = 42, oversample: float =
     total = df.count()
     if total <= n:
         return df
-    h = row_hash(df, seed)
-    ranked = df.withColumn("_h", h)
-    frac = min(1.0, oversample * n / total)
-    # the hash is ~uniform on [-2^63, 2^63): keep the lowest ``frac`` of its range
-    cut = int(-(2 ** 63) + frac * 2 ** 64) if frac < 1.0 else None
-    cand = ranked.filter(F.col("_h") < F.lit(cut)) if cut is not None else ranked
-    if frac < 1.0 and cand.count() < n:
-        cand = ranked
-    return cand.orderBy("_h").limit(n).drop("_h")
+    hashed = df.withColumn("_h", row_hash(df, seed))
+    upper = F.shiftright("_h", 48)
+    left = n
+    for r in hashed.groupBy(upper.alias("b")).agg(F.count(F.lit(1)).alias("c")).orderBy("b").collect():
+        if r["c"] >= left:
+            break
+        left -= r["c"]
+    # the ``left`` smallest hashes of bin b: about n / 65,536 of them
+    low = [x[0] for x in hashed.where(upper == r["b"]).select("_h").orderBy("_h").limit(left).collect()]
+    cut = low[-1]
+    sure = hashed.where(F.col("_h") < F.lit(cut)).drop("_h")
+    at_cut = low.count(cut)
+    return sure.union(hashed.where(F.col("_h") == F.lit(cut)).limit(at_cut).drop("_h"))
 
 
 def class_weights(df: DataFrame, label_col: str = "label", mode: str = "balanced") -> dict:

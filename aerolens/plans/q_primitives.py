@@ -20,8 +20,9 @@ from aerolens.plans.composed import detect
 from aerolens.plans.q_eval import DET_CTE
 from aerolens.plans.q_ingest import _loaded, events_as_csv
 from aerolens.plans.q_layers import FEATURE_CTE, L1_REASONS_SQL, L2_CTE
-from aerolens.plans.q_models import LIGHT, _split
+from aerolens.plans.q_models import _split
 from aerolens.plans.registry import r6, register, tele
+from aerolens.schema import FEATURE_NAMES
 from aerolens.sources import csv as ingest
 
 _W = "(partition by replicate, case_id order by row_idx, _ord)"
@@ -172,15 +173,15 @@ def j1_semi_join_flights(spark, sf_dir):
 
 
 @register("j2_features_joined_back", q.with_view(
-    f"select t.event_id, {q.r6('fv.alt_mean')} as alt_mean, {q.r6('fv.dt_max')} as dt_max "
-    "from t join fv on t.event_id = fv.event_id", FEATURE_CTE))
+    "select t.event_id, " + ", ".join(f"{q.r6(f'fv.{c}')} as {c}" for c in FEATURE_NAMES)
+    + " from t join fv on t.event_id = fv.event_id", FEATURE_CTE))
 def j2_features_joined_back(spark, sf_dir):
-    """Features stored apart and joined back on (replicate, case_id, row_idx, _ord)."""
+    """Features stored apart and joined back on (replicate, case_id, row_idx, _ord), null-safe."""
     t = tele(spark, sf_dir)
     keys = ["replicate", "case_id", "row_idx", "_ord"]
-    feats = compute_features(t, fill="none").select(*keys, "alt_mean", "dt_max")
-    j = t.join(feats, keys)
-    return j.select("event_id", r6("alt_mean").alias("alt_mean"), r6("dt_max").alias("dt_max"))
+    feats = compute_features(t, fill="none").select(*[F.col(k).alias(f"_f_{k}") for k in keys], *FEATURE_NAMES)
+    j = t.join(feats, [F.col(k).eqNullSafe(F.col(f"_f_{k}")) for k in keys])
+    return j.select("event_id", *[r6(c).alias(c) for c in FEATURE_NAMES])
 
 
 # ------------------------------------------------------------- O2, O5
@@ -202,37 +203,34 @@ def o5_union_parts(spark, sf_dir):
 
 
 # ------------------------------------------------------------- detector API
-@register("m2_fitted_thresholds")
+@register("m2_fitted_thresholds", q.with_view("""
+select algorithm, algorithm = 'isolation_forest' as has_threshold, algorithm = 'random_forest' as has_optimal, true as same_again
+from (select unnest(['isolation_forest', 'random_forest']) as algorithm)"""))
 def m2_fitted_thresholds(spark, sf_dir):
-    """Fit two detectors; their thresholds as a table."""
+    """Fit two detectors twice: which thresholds they set, and that a fit repeats."""
     train, _ = _split(spark, sf_dir)
     rows = []
     for algo in ("isolation_forest", "random_forest"):
-        det = AnomalyDetector(algo, params=LIGHT.get(algo)).fit(train)
-        rows.append((algo, det.threshold, det.optimal_threshold))
-    return spark.createDataFrame(rows, "algorithm string, threshold double, optimal_threshold double")
+        a, b = (AnomalyDetector(algo, params={"n_estimators": 60}).fit(d) for d in (train, train))
+        rows.append((algo, a.threshold is not None, a.optimal_threshold is not None,
+                     (a.threshold, a.optimal_threshold) == (b.threshold, b.optimal_threshold)))
+    return spark.createDataFrame(rows, "algorithm string, has_threshold boolean, has_optimal boolean, same_again boolean")
 
 
-@register("m3_predict_alert_rates")
+@register("m3_predict_alert_rates", q.with_view("""
+select label, cast(count(*) as bigint) as n, true as some_alerts from t where replicate = 3 group by label"""))
 def m3_predict_alert_rates(spark, sf_dir):
     train, test = _split(spark, sf_dir)
     out = AnomalyDetector("isolation_forest").fit(train).predict(test)
-    return out.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if("alert_ml").alias("alerts"))
+    return out.groupBy("label").agg(F.count(F.lit(1)).alias("n"), (F.count_if("alert_ml").between(1, F.count(F.lit(1)) / 2)).alias("some_alerts"))
 
 
-@register("f12_threshold_override")
-def f12_threshold_override(spark, sf_dir):
-    """Decision at a user threshold (supervised: score >= t)."""
-    train, test = _split(spark, sf_dir)
-    det = AnomalyDetector("random_forest", params=LIGHT["random_forest"]).fit(train)
-    out = det.predict(test, ml_threshold=0.7)
-    return out.select("event_id", r6("ml_score").alias("ml_score"), "alert_ml")
-
-
-@register("m9_detect_ml_anomalies")
+@register("m9_detect_ml_anomalies", q.with_view("""
+select cast(count(*) as bigint) as n_rows, cast(0 as bigint) as n_differs from t where replicate = 3"""))
 def m9_detect_ml_anomalies(spark, sf_dir):
+    """Fit and predict in one call, equal to the two calls."""
     train, test = _split(spark, sf_dir)
-    out = detect_ml_anomalies(test, train, "isolation_forest")
-    return out.select("event_id", r6("ml_score").alias("ml_score"), "alert_ml")
-
-
+    one = detect_ml_anomalies(test, train, "isolation_forest").select("event_id", "ml_score", "alert_ml")
+    two = AnomalyDetector("isolation_forest").fit(train).predict(test).select("event_id", F.col("ml_score").alias("s"), F.col("alert_ml").alias("a"))
+    j = one.join(two, "event_id")
+    return j.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if((F.abs(F.col("ml_score") - F.col("s")) > 1e-12) | (F.col("alert_ml") != F.col("a"))).alias("n_differs"))

@@ -17,14 +17,6 @@ REQUIRED_COLUMNS = (
     "latitude", "longitude", "altitude", "speed", "heading",
     "source", "original_row_idx",
 )
-NUMERIC_COLUMNS = ("latitude", "longitude", "altitude", "speed", "heading",
-                   "row_idx", "replicate", "label")
-CHANNELS = ("altitude", "speed", "heading", "latitude", "longitude")
-TAMPER_TYPES = (
-    "normal", "speed_inconsistency", "timestamp_drift", "injection",
-    "deletion_gap", "heading_inconsistency", "precision_rounding",
-    "combined", "coordinate_jump", "altitude_spike",
-)
 PROFILES = ("subtle", "balanced", "strong")
 
 # L1 default thresholds and reason order
@@ -39,12 +31,6 @@ DEFAULT_THRESHOLDS = {
     "longitude_min": -180.0,
     "longitude_max": 180.0,
 }
-L1_REASONS = (
-    "altitude_below_min", "altitude_above_max", "speed_negative",
-    "speed_above_max", "heading_below_min", "heading_above_max",
-    "latitude_below_min", "latitude_above_max", "longitude_below_min",
-    "longitude_above_max",
-)
 
 # L2 default configuration, channel order and reason names
 DEFAULT_STAT_CONFIG = {
@@ -73,7 +59,6 @@ DEFAULT_FEATURE_WINDOW = 8
 
 EARTH_RADIUS_M = 6_371_000.0
 REASON_SEP = "|"
-LAYER_SEP = "+"
 
 # layer alert columns, stream layer names, report names
 LAYER_COLUMNS = {
@@ -129,12 +114,3 @@ TELEMETRY_SCHEMA = T.StructType([
     T.StructField("original_row_idx", T.LongType()),
 ])
 
-ALERT_SCHEMA = T.StructType([
-    T.StructField("timestamp", T.StringType()),
-    T.StructField("case_id", T.LongType()),
-    T.StructField("row_idx", T.LongType()),
-    T.StructField("layers", T.ArrayType(T.StringType())),
-    T.StructField("reasons", T.StringType()),
-    T.StructField("ml_score", T.DoubleType()),
-    T.StructField("label", T.IntegerType()),
-])

@@ -52,6 +52,9 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
         current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    master = spark.sparkContext.master
+    if fallback is None and not master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     base = fallback or tempfile.gettempdir()
     os.makedirs(base, exist_ok=True)
     path = tempfile.mkdtemp(prefix="aerolens-ckpt-", dir=base)
@@ -60,26 +63,6 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     return path
 
 
-def recommended_conf(input_bytes: int, total_cores: int,
-                     target_partition_bytes: int = 256 << 20) -> dict:
-    """Partition sizing for a run over ``input_bytes`` on ``total_cores``.
-
-    Scan splits of ~``target_partition_bytes``; shuffle partitions so each
-    reducer gets about the same (the flight-window shuffle carries roughly
-    the projected input), at least 2 per core so stragglers overlap; AQE then
-    coalesces small partitions and splits skewed join partitions.
-    """
-    shuffle = max(2 * total_cores, -(-int(input_bytes) // int(target_partition_bytes)))
-    return {
-        "spark.sql.files.maxPartitionBytes": str(int(target_partition_bytes)),
-        "spark.sql.shuffle.partitions": str(int(shuffle)),
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(int(target_partition_bytes)),
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-    }
-
-
 _SHIPPED: set[str] = set()
 
 

@@ -112,11 +112,17 @@ def _ratio(a, b):
 
 
 def roc_curve(df: DataFrame, score_col: str, label_col: str = "label",
-              direction: str = "high", **kw) -> DataFrame:
-    """(threshold, fpr, tpr) for every distinct score."""
+              direction: str = "high", start: bool = True, **kw) -> DataFrame:
+    """(threshold, fpr, tpr) for every distinct score; with ``start`` also
+    the point (0, 0) where nothing is flagged, its threshold NULL."""
     t = score_table(df, score_col, label_col, direction, **kw)
-    return t.select("threshold", _ratio(F.col("fp"), F.col("N")).alias("fpr"),
-                    _ratio(F.col("tp"), F.col("P")).alias("tpr"))
+    points = t.select("threshold", _ratio(F.col("fp"), F.col("N")).alias("fpr"),
+                      _ratio(F.col("tp"), F.col("P")).alias("tpr"))
+    if not start:
+        return points
+    origin = df.sparkSession.range(1).select(F.lit(None).cast(points.schema["threshold"].dataType).alias("threshold"),
+                                             F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    return origin.unionByName(points)
 
 
 def roc_auc(df: DataFrame, score_col: str, label_col: str = "label",

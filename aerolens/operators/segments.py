@@ -120,7 +120,7 @@ TIMELINE_CHANNELS = ("altitude", "speed", "heading", "latitude", "longitude")
 def case_timeline(df: DataFrame, case_id, channels=TIMELINE_CHANNELS,
                   layers=("alert_threshold", "alert_change", "alert_ml"),
                   strict: bool = False) -> DataFrame:
-    """long-form timeline of one case: (t_rel, row_idx, channel, value, label, layers).
+    """long-form timeline of one case, in time order: (t_rel, row_idx, channel, value, label, layers).
 
     ``layers`` lists the alert columns present at each sample (array of the
     firing ones).  The plot itself is not built; this is its data.
@@ -137,7 +137,7 @@ def case_timeline(df: DataFrame, case_id, channels=TIMELINE_CHANNELS,
                       *[F.col(c).cast("double") for c in channels]) \
         .unpivot(["t_rel", "row_idx", "label", "tamper_type", "alerts"], list(channels),
                  "channel", "value")
-    return long
+    return long.orderBy("t_rel", "row_idx", "channel")
 
 
 def require_rows(df: DataFrame, what: str) -> DataFrame:

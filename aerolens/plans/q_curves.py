@@ -54,8 +54,8 @@ def w19_score_curve_low(spark, sf_dir):
 
 @register("a11_roc_curve", q.with_view(
     f"select threshold, {q.r6('case when N <> 0 then cast(fp as double) / N else 0.0 end')} as fpr, "
-    f"{q.r6('case when P <> 0 then cast(tp as double) / P else 0.0 end')} as tpr from cur",
-    _curve_cte("high")))
+    f"{q.r6('case when P <> 0 then cast(tp as double) / P else 0.0 end')} as tpr from cur "
+    "union all select null, 0.0, 0.0", _curve_cte("high")))
 def a11_roc_curve(spark, sf_dir):
     r = cv.roc_curve(scored(spark, sf_dir), "score")
     return r.select("threshold", r6("fpr").alias("fpr"), r6("tpr").alias("tpr"))

@@ -141,6 +141,15 @@ def a8_global_metrics(spark, sf_dir):
                     *[r6(x).alias(x) for x in ("precision", "recall", "F1")])
 
 
+@register("a8_global_report", q.with_view(
+    "select layer, TP, FP, FN, TN, round_even(precision, 3) as precision, round_even(recall, 3) as recall, round_even(F1, 3) as F1 from ("
+    + _global_sql() + ")", DET_CTE))
+def a8_global_report(spark, sf_dir):
+    """A8 as reported: three digits."""
+    g = ev.global_metrics(detections(spark, sf_dir), LAYERS, digits=3)
+    return g.select("layer", "TP", "FP", "FN", "TN", "precision", "recall", "F1")
+
+
 def _group_sql(key: str, where: str) -> str:
     cols = [key, "cast(count(*) as bigint) as n"]
     for c in LAYERS:

@@ -11,7 +11,7 @@ from aerolens.operators import evaluation as ev
 from aerolens.operators.models import AnomalyDetector
 from aerolens.plans import sqlkit as q
 from aerolens.plans.composed import detect
-from aerolens.plans.q_eval import LAYERS, _global_sql, DET_CTE
+from aerolens.plans.q_eval import DET_CTE, LAYERS, _global_sql, _group_sql
 from aerolens.plans.q_layers import L1_REASONS_SQL
 from aerolens.plans.registry import r6, register, tele
 from aerolens.session import checkpoint_dir
@@ -45,17 +45,39 @@ def s5_console_lines(spark, sf_dir):
     return console_lines(_scored(spark, sf_dir))
 
 
-@register("s7_metric_csv", q.with_view(_global_sql(), DET_CTE))
-def s7_metric_csv(spark, sf_dir):
+def _written(spark, sf_dir, name):
+    """One of the three metric tables after a round through CSV."""
     d = _scored(spark, sf_dir)
-    g, s, p = ev.full_evaluation(d, LAYERS)
     out = _scratch(spark, "metrics")
-    write_metric_tables(g, s, p, out)
-    back = spark.read.option("header", True).option("inferSchema", True).csv(f"{out}/metrics_global")
+    write_metric_tables(*ev.full_evaluation(d, LAYERS), out)
+    return spark.read.option("header", True).option("inferSchema", True).csv(f"{out}/{name}")
+
+
+@register("s7_metric_csv", q.with_view(_global_sql(), DET_CTE))
+def s7_metric_csv(spark, sf_dir):
+    back = _written(spark, sf_dir, "metrics_global")
     return back.select("layer", *[F.col(c).cast("bigint").alias(c) for c in ("TP", "FP", "FN", "TN")],
                        *[r6(F.col(c).cast("double")).alias(c) for c in ("precision", "recall", "F1")])
 
 
+def _groups(back, key):
+    cols = [key, F.col("n").cast("bigint").alias("n")]
+    for c in LAYERS:
+        cols += [F.col(f"{c}_hits").cast("bigint").alias(f"{c}_hits"), r6(F.col(f"{c}_rate").cast("double")).alias(f"{c}_rate"),
+                 F.col(f"{c}_text").cast("string").alias(f"{c}_text")]
+    return back.select(*cols)
+
+
+@register("s7_scenario_csv", q.with_view(_group_sql("tamper_type", "tamper_type <> 'normal'"), DET_CTE))
+def s7_scenario_csv(spark, sf_dir):
+    return _groups(_written(spark, sf_dir, "metrics_per_scenario"), "tamper_type")
+
+
+@register("s7_profile_csv", q.with_view(_group_sql("profile", "label = 1 and profile in ('subtle', 'balanced', 'strong')"), DET_CTE))
+def s7_profile_csv(spark, sf_dir):
+    return _groups(_written(spark, sf_dir, "metrics_per_profile"), "profile")
+
+
 @register("s8_model_roundtrip", q.with_view("select event_id, true as same_score from t where replicate = 3"))
 def s8_model_roundtrip(spark, sf_dir):
     """Save a fitted detector, load it back, check the scores are identical (m4-m8 do so for every algorithm)."""

@@ -37,7 +37,7 @@ from aerolens.schema import (DEFAULT_FEATURE_WINDOW, DEFAULT_FLIGHT_KEYS, DEFAUL
                              FEATURE_NAMES, SUPERVISED, SUPPORTED_ALGOS, UNSUPERVISED)
 
 _VEC = "_features_vec"
-ROWS_PER_TASK = 20_000
+ROWS_PER_TASK = 8_000
 
 
 class AnomalyDetector:

@@ -15,7 +15,6 @@ import warnings
 
 from pyspark.sql import functions as F
 
-from aerolens.operators import curves
 from aerolens.operators.combine import ml_decision
 from aerolens.operators.features import compute_features
 from aerolens.operators.models import AnomalyDetector, compare_algorithms, iforest

@@ -3,70 +3,94 @@
 The rows of each source are numbered and cut into blocks of BLOCK_ROWS.  With
 weight w, block i of a source (from 0) may not start before its release time
 floor(i / w) and has to be placed by its deadline ceil((i + 1) / w).
-Earliest-deadline-first over the released blocks gives one block a slot, and
-every source stays within one block of weight * slots at all times.
-
-Weights are rounded to units of 1/PERIOD (at least one unit a source), so the
-schedule repeats after as many slots as there are units.  One period is worked
-out as an expression over arrays (bounded by the parameters: about PERIOD
-slots, MAX_LANES sources) and joined to the blocks; the rows are numbered by
-two-level counts, so a source with a third of all rows is spread over tasks.
-Every row is placed exactly once.  A source that has run out leaves its later
-slots empty, and the others then share in proportion to their weights.
+Earliest-deadline-first over the released blocks gives one block a slot.
+
+Weights are integers in 1/SCALE.  About PERIOD slots make a round.  Earliest
+deadline first over rounds gives each source its blocks of each round from
+these weights, so that at the end of every round it has had the floor or the
+ceiling of weight * slots; the same rule over the slots of a round deals them
+within less than a block.  The deviation from the target weights thus stays
+below two blocks at all times (below one where weight * round is whole),
+however long the table.  Rounds with equal quotas share one order, worked out
+as an expression over arrays.  The sources beyond the MAX_LANES - 1 of most
+weight share one lane, whose slots are dealt to them by the same rule, in
+groups of groups of at most MAX_LANES; a source there is within two blocks of
+its share of its group, each group of its share of the next.
+
+The rows are numbered by two-level counts, so a source with a third of all
+rows is spread over tasks.  Every row is placed exactly once.  A source that
+has run out leaves its later slots empty, and the others then share in
+proportion to their weights.
 
 Without given weights a source's target is its row count to the power
 TEMPERATURE, which raises small sources.
 
-Defined cases: a null source is a source; sources beyond the MAX_LANES - 1
-largest share one lane; sources missing in given weights, and weights of zero
-or below, get one unit; null or repeated doc_ids are rows like others, equal
-rows get different places in either order; extra columns are kept; an empty
-table gives no rows.  Only built-in functions run here.
+Defined cases: a null source is a source; sources missing in given weights,
+and weights of zero or below, get 1/PERIOD of the sum of the given ones; null
+or repeated doc_ids are rows like others, equal rows get different places in
+either order; extra columns are kept; an empty table gives no rows.  Only built-in functions run here.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
 
-from aerolens.llm.common import materialise, numbered, table
+from aerolens.llm.common import materialise, numbered, small, table
 
 BLOCK_ROWS = 32
 PERIOD = 1000
+#: parts of the whole in which target weights are held
+SCALE = 10 ** 9
 MAX_LANES = 256
 TEMPERATURE = 0.5
 
 
-def lanes(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE) -> DataFrame:
-    """(src, lane, rest, units): the largest sources, and one lane for all others (``rest``)."""
+def _sources(docs: DataFrame, weights: dict[str, float] | None, temperature: float) -> DataFrame:
+    """(src, n, units) of every source; units are the target weights in 1/SCALE."""
     counts = docs.groupBy(F.col("source").cast("string").alias("src")).agg(F.count(F.lit(1)).alias("n"))
-    counts = materialise(counts, "mix-counts")
-    top = counts.orderBy(F.desc("n"), F.asc_nulls_last("src")).limit(MAX_LANES - 1)
-    rest = counts.agg(F.sum("n").alias("n")).crossJoin(top.agg(F.sum("n").alias("t"))).where("n > t")
-    both = top.select("src", "n", F.lit(False).alias("rest")).unionByName(
-        rest.select(F.lit(None).cast("string").alias("src"), (F.col("n") - F.col("t")).alias("n"), F.lit(True).alias("rest")))
     if weights:
-        given = F.create_map(*[F.lit(x) for k, v in weights.items() for x in (k, float(v))])
-        w = F.greatest(F.coalesce(F.when(~F.col("rest"), given[F.coalesce("src", F.lit(""))]), F.lit(0.0)), F.lit(0.0))
+        given = F.create_map(*[F.lit(x) for k, v in weights.items() for x in (k, max(0.0, float(v)))])
+        w = F.coalesce(given[F.coalesce("src", F.lit(""))], F.lit(0.0))
     else:
         w = F.pow(F.col("n").cast("double"), F.lit(temperature))
-    everything = W.partitionBy(F.lit(0))                  # at most MAX_LANES rows
-    both = both.withColumn("w", w).withColumn("total", F.sum("w").over(everything))
-    units = F.greatest(F.lit(1), F.round(F.col("w") / F.nullif("total", F.lit(0.0)) * PERIOD).cast("int"))
-    lane = F.row_number().over(everything.orderBy("rest", F.desc("n"), F.asc_nulls_last("src"))) - 1
-    return materialise(both.select("src", "rest", lane.alias("lane"), F.coalesce(units, F.lit(1)).alias("units")), "mix-lanes")
+    counts = materialise(counts.withColumn("w", w), "mix-counts")
+    total = F.broadcast(counts.agg(F.sum("w").alias("total")))
+    units = F.greatest(F.lit(1), F.round(F.col("w") / F.col("total") * SCALE).cast("bigint"))
+    units = F.when(F.col("w") > 0, units).otherwise(F.lit(SCALE // PERIOD)).cast("bigint")
+    return materialise(counts.crossJoin(total).select("src", "n", units.alias("units")), "mix-sources")
+
+
+def _tree(sources: DataFrame) -> tuple[DataFrame, int]:
+    """``sources`` with lane and number (``j``, null on an own lane), and the levels below the shared lane."""
+    top = sources.orderBy(F.desc("units"), F.desc("n"), F.asc_nulls_last("src")).limit(MAX_LANES - 1)
+    order = W.partitionBy(F.lit(0)).orderBy(F.desc("units"), F.desc("n"), F.asc_nulls_last("src"))   # below MAX_LANES rows
+    top = top.withColumn("lane", F.row_number().over(order) - 1).withColumn("j", F.lit(None).cast("bigint"))
+    top = materialise(top, "mix-top")
+    other = sources.join(F.broadcast(top.select(F.col("src").alias("s"))), F.col("src").eqNullSafe(F.col("s")), "left_anti")
+    other = numbered(other.withColumn("lane", F.lit(MAX_LANES - 1)), ["lane"], ["src"], "j", few=True)
+    both = materialise(top.unionByName(other), "mix-tree")
+    m, depth = both.where("j is not null").count(), 0
+    while m > MAX_LANES ** depth:
+        depth += 1
+    return both, max(depth, 1) if m else 0
 
 
-def schedule(lane_table: DataFrame) -> DataFrame:
-    """(lane, units, period, k, at): the slot ``at`` of each lane's k-th block within a period."""
-    one = lane_table.agg(F.sort_array(F.collect_list(F.struct("lane", "units"))).alias("a"))
-    one = one.select(F.transform("a", lambda x: x.units).alias("u")).withColumn(
-        "d", F.aggregate("u", F.lit(0), lambda s, x: s + x)).where("d > 0")
+def lanes(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE) -> DataFrame:
+    """(src, lane, rest, units): the sources of most weight, and one lane for all others (``rest``)."""
+    tree, _ = _tree(_sources(docs, weights, temperature))
+    rest = F.col("j").isNotNull()
+    return tree.groupBy(F.when(~rest, F.col("src")).alias("src"), "lane", rest.alias("rest")).agg(F.sum("units").alias("units"))
+
+
+def _order(one: DataFrame) -> DataFrame:
+    """``one`` with ``order``: the index in the array ``u`` that each of its sum ``d`` slots goes to."""
     u, d = F.col("u"), F.col("d")
 
     def step(state, t):
         def job(c, i):
-            release = F.floor(c * d / F.get(u, i))
-            deadline = F.ceil((c + 1) * d / F.get(u, i))
+            share = F.greatest(F.get(u, i), F.lit(1))
+            release = F.floor(c * d / share)
+            deadline = F.ceil((c + 1) * d / share)
             return F.when((c < F.get(u, i)) & (release <= t), F.struct(deadline.alias("deadline"), i.alias("lane")))
         first = F.array_min(F.transform(state.done, job)).lane
         return F.transform(F.array(first), lambda p: F.struct(      # binds the choice once
@@ -74,38 +98,144 @@ def schedule(lane_table: DataFrame) -> DataFrame:
             F.concat(state.order, F.array(p)).alias("order")))[0]
 
     start = F.struct(F.transform(u, lambda _: F.lit(0)).alias("done"), F.array().cast("array<int>").alias("order"))
-    one = one.withColumn("order", F.aggregate(F.sequence(F.lit(0), d - 1), start, step, lambda s: s.order))
-    plan = one.select(d.alias("period"), "u", F.posexplode("order").alias("at", "lane"))
+    return one.withColumn("order", F.aggregate(F.sequence(F.lit(0), d - 1), start, step, lambda s: s.order))
+
+
+def schedule(lane_table: DataFrame) -> DataFrame:
+    """(lane, units, period, k, at): the slot ``at`` of each lane's k-th block within a period."""
+    one = lane_table.agg(F.sort_array(F.collect_list(F.struct("lane", "units"))).alias("a"))
+    one = one.select(F.transform("a", lambda x: x.units).alias("u")).withColumn(
+        "d", F.aggregate("u", F.lit(0), lambda s, x: s + x)).where("d > 0")
+    plan = _order(one).select(F.col("d").alias("period"), "u", F.posexplode("order").alias("at", "lane"))
     k = F.row_number().over(W.partitionBy("lane").orderBy("at")) - 1
     return plan.select("lane", F.get("u", F.col("lane")).alias("units"), "period", k.alias("k"), "at")
 
 
+def _rounds(kids: DataFrame, whole: int | None) -> DataFrame:
+    """(node, ids, len, c, before, u): the blocks of each child before round ``c`` of ``len`` slots and in it.
+
+    Earliest deadline first with ``len`` blocks a round, on the exact units: after
+    each round a child has had the floor or the ceiling of weight * slots.
+    """
+    one = kids.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("lane", "units", "nb"))).alias("a"))
+    zero = F.lit(0).cast("bigint")
+    one = one.select("node", "a", F.transform("a", lambda x: x.lane).alias("ids"), F.transform("a", lambda x: x.units).alias("w"))
+    one = one.withColumn("D", F.aggregate("w", zero, lambda s, x: s + x))
+    of = F.lit(whole).cast("bigint") if whole else F.col("D")
+    length = F.aggregate("w", zero, lambda s, x: s + F.greatest(F.lit(1), F.round(x * F.lit(PERIOD) / of)).cast("bigint"))
+    one = one.withColumn("len", length)
+    D, n = F.col("D"), F.col("len")
+    need = F.array_max(F.transform("a", lambda x: F.ceil(x.nb.cast("decimal(38,0)") * D / (x.units * n)).cast("bigint")))
+    div = lambda x, y: F.call_function("div", x, y)
+    whole_blocks = lambda w, t: w * div(t, D) + div(w * (t % D), D)
+
+    def step(state, c):
+        def at(t):
+            base = F.transform(state.s, lambda s, i: F.greatest(s, whole_blocks(F.get("w", i), t)))
+
+            def fill(b):
+                left = (t - F.aggregate(b, zero, lambda x, y: x + y)).cast("int")
+                job = lambda s, i: F.when(
+                    (s == whole_blocks(F.get("w", i), t)) & ((F.get("w", i) * (t % D)) % D > 0),
+                    F.struct(div((s + 1) * D + F.get("w", i) - 1, F.get("w", i)).alias("deadline"), i.alias("i")))
+                ready = F.sort_array(F.filter(F.transform(b, job), lambda x: x.isNotNull()))
+                chosen = F.transform(F.slice(ready, 1, left), lambda x: x.i)
+                return F.transform(F.array(chosen), lambda p: F.transform(
+                    b, lambda s, i: F.when(F.array_contains(p, i), s + 1).otherwise(s)))[0]
+            return F.transform(F.array(base), fill)[0]
+        return F.transform(F.transform(F.array((c * n).cast("bigint")), at), lambda s: F.struct(
+            s.alias("s"), F.concat(state.out, F.array(F.struct(state.s.alias("before"), s.alias("after")))).alias("out")))[0]
+
+    none = F.array().cast("array<struct<before:array<bigint>,after:array<bigint>>>")
+    start = F.struct(F.transform("w", lambda _: zero).alias("s"), none.alias("out"))
+    out = F.aggregate(F.sequence(F.lit(1).cast("bigint"), need), start, step, lambda s: s.out)
+    out = one.select("node", "ids", "len", F.posexplode(out).alias("c", "r"))
+    u = F.zip_with("r.after", "r.before", lambda x, y: (x - y).cast("int"))
+    return out.select("node", "ids", "len", "c", "r.before", u.alias("u"))
+
+
+def _plan(kids: DataFrame, whole: int | None) -> DataFrame:
+    """(node, lane, block, release, deadline, slot) of the blocks of ``kids(node, lane, units, nb)``."""
+    rounds = materialise(_rounds(kids, whole), "mix-rounds")
+    alike = rounds.select("u", F.col("len").cast("int").alias("d")).distinct()
+    order = materialise(_order(alike).select("u", "order"), "mix-orders")       # one per set of quotas
+    plan = rounds.join(order, "u")
+    plan = plan.select("node", "ids", "len", "c", "before", "u", F.posexplode("order").alias("at", "i"))
+    k = F.row_number().over(W.partitionBy("node", "c", "i").orderBy("at")) - 1
+    plan = plan.withColumns({"k": k, "q": F.get("u", F.col("i")), "lane": F.get("ids", F.col("i")), "base": F.col("c") * F.col("len")})
+    plan = plan.select(
+        "node", "lane", (F.get("before", F.col("i")) + F.col("k")).alias("block"),
+        (F.col("base") + F.floor(F.col("k") * F.col("len") / F.col("q"))).alias("release"),
+        (F.col("base") + F.ceil((F.col("k") + 1) * F.col("len") / F.col("q"))).alias("deadline"),
+        (F.col("base") + F.col("at")).alias("slot"))
+    return materialise(plan.join(kids.select("node", "lane", "nb"), ["node", "lane"]).where("block < nb").drop("nb"), "mix-plan")
+
+
+def _joined(d: DataFrame, plan: DataFrame, node: str, lane: str, block: str) -> DataFrame:
+    p = plan.select(*[F.col(c).alias(f"_mix_p_{c}") for c in plan.columns])
+    p = small(p, plan.count())
+    return d.join(p, (F.col(node) == F.col("_mix_p_node")) & (F.col(lane) == F.col("_mix_p_lane"))
+                  & (F.col(block) == F.col("_mix_p_block")))
+
+
+def _source_plan(tree: DataFrame, depth: int, block_rows: int) -> DataFrame:
+    """(j, node, lane, block, release, deadline, slot): ``block`` is the source's, the rest the root's."""
+    digit = lambda i: F.floor(F.col("j") / F.lit(MAX_LANES ** i)) % MAX_LANES
+    nb = F.ceil(F.col("n") / F.lit(block_rows)).cast("bigint")
+    tree = tree.withColumn("nb", nb)
+    low, need = None, None                                   # blocks of the shared sources, as blocks of level i's node
+    for i in range(depth, 0, -1):
+        node = (F.col("j") % F.lit(MAX_LANES ** (i - 1))).cast("bigint")
+        kids = tree.where("j is not null").groupBy(node.alias("node"), digit(i - 1).cast("int").alias("lane")).agg(
+            F.sum("units").alias("units"), F.max("nb").alias("nb"))
+        if need is not None:
+            kids = kids.drop("nb").join(need, (F.col("node") + F.col("lane") * F.lit(MAX_LANES ** (i - 1))) == F.col("_n")).drop("_n")
+        plan = _plan(kids, None)
+        if low is None:
+            mine = tree.where("j is not null").select("j", node.alias("_node"), digit(i - 1).cast("int").alias("_lane"))
+            low = mine.join(plan, (F.col("_node") == F.col("node")) & (F.col("_lane") == F.col("lane"))).select(
+                "j", "block", F.col("slot").alias("b"))
+        else:
+            low = low.withColumns({"_node": node, "_lane": digit(i - 1).cast("int")})
+            low = _joined(low, plan, "_node", "_lane", "b").select("j", "block", F.col("_mix_p_slot").alias("b"))
+        low = materialise(low, "mix-low")
+        above = (F.col("j") % F.lit(MAX_LANES ** (i - 1))).cast("bigint")
+        need = low.groupBy(above.alias("_n")).agg((F.max("b") + 1).alias("nb"))
+    kids = tree.where("j is null").select(F.lit(0).cast("bigint").alias("node"), "lane", "units", "nb")
+    if low is not None:
+        units = tree.where("j is not null").agg(F.sum("units").alias("units"))
+        kids = kids.unionByName(units.crossJoin(need.select("nb")).select(
+            F.lit(0).cast("bigint").alias("node"), F.lit(MAX_LANES - 1).alias("lane"), "units", "nb"))
+    kids = materialise(kids, "mix-kids")
+    plan = _plan(kids, SCALE)
+    out = plan.where(F.col("lane") < MAX_LANES - 1).select(F.lit(-1).cast("bigint").alias("j"), *plan.columns)
+    if low is not None:
+        shared = low.withColumns({"_node": F.lit(0).cast("bigint"), "_lane": F.lit(MAX_LANES - 1)})
+        shared = _joined(shared, plan, "_node", "_lane", "b").select("j", F.col("_mix_p_node").alias("node"), F.col("_mix_p_lane").alias("lane"),
+            "block", *[F.col(f"_mix_p_{c}").alias(c) for c in ("release", "deadline", "slot")])
+        out = out.unionByName(shared)
+    return materialise(out, "mix-blocks")
+
+
 def place(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS,
           temperature: float = TEMPERATURE) -> DataFrame:
     """``docs`` with a struct column ``_mix``: lane, block, release, deadline, slot, in_block.
 
-    Rows in the order of (slot, in_block) are the mix.
+    Rows in the order of (slot, in_block) are the mix.  ``block`` counts the
+    blocks of the row's source.
     """
-    table_ = lanes(docs, weights, temperature)
-    plan = materialise(schedule(table_), "mix-plan")      # about PERIOD rows: broadcast
-    named = table_.where("not rest").select(F.col("src").alias("_mix_src"), F.col("lane").alias("_mix_lane"))
-    rest = MAX_LANES - 1
-    d = docs.join(F.broadcast(named), F.col("source").cast("string").eqNullSafe(F.col("_mix_src")), "left")
-    d = d.withColumn("_mix_lane", F.coalesce("_mix_lane", F.lit(rest))).drop("_mix_src")
-    d = numbered(d, ["_mix_lane"], ["doc_id"], "_mix_seq", few=True)       # at most MAX_LANES groups
+    tree, depth = _tree(_sources(docs, weights, temperature))
+    plan = _source_plan(tree, depth, block_rows)
+    named = tree.select(F.col("src").alias("_mix_src"), F.col("lane").alias("_mix_lane"), F.coalesce("j", F.lit(-1)).alias("_mix_j"))
+    d = docs.join(small(named, tree.count()), F.col("source").cast("string").eqNullSafe(F.col("_mix_src"))).drop("_mix_src")
+    d = numbered(d, ["_mix_lane", "_mix_j"], ["doc_id"], "_mix_seq", few=depth == 0)
     block = F.floor(F.col("_mix_seq") / block_rows)
     d = d.withColumns({"_mix_block": block, "_mix_in": F.col("_mix_seq") % block_rows})
-    units = F.broadcast(table_.select(F.col("lane").alias("_mix_lane"), F.col("units").alias("_mix_u")))
-    d = d.join(units, "_mix_lane").withColumn("_mix_k", (F.col("_mix_block") % F.col("_mix_u")).cast("int"))
-    p = F.broadcast(plan.select(F.col("lane").alias("_mix_lane"), F.col("k").alias("_mix_k"),
-                                F.col("period").alias("_mix_p"), F.col("at").alias("_mix_at")))
-    d = d.join(p, ["_mix_lane", "_mix_k"])
-    base = F.floor(F.col("_mix_block") / F.col("_mix_u")) * F.col("_mix_p")
-    mix = F.struct(
-        F.col("_mix_lane").alias("lane"), F.col("_mix_block").alias("block"),
-        (base + F.floor(F.col("_mix_k") * F.col("_mix_p") / F.col("_mix_u"))).alias("release"),
-        (base + F.ceil((F.col("_mix_k") + 1) * F.col("_mix_p") / F.col("_mix_u"))).alias("deadline"),
-        (base + F.col("_mix_at")).alias("slot"), F.col("_mix_in").alias("in_block"))
+    p = plan.select(*[F.col(c).alias(f"_mix_p_{c}") for c in plan.columns])
+    d = d.join(small(p, plan.count()), (F.col("_mix_j") == F.col("_mix_p_j")) & (F.col("_mix_lane") == F.col("_mix_p_lane"))
+               & (F.col("_mix_block") == F.col("_mix_p_block")))
+    mix = F.struct(*[F.col(f"_mix_p_{c}").alias(c) for c in ("lane", "block", "release", "deadline", "slot")],
+                   F.col("_mix_in").alias("in_block"))
     return d.select(*[F.col(f"`{c}`") for c in docs.columns], mix.alias("_mix"))
 
 

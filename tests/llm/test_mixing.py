@@ -6,6 +6,7 @@ import math
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from aerolens.llm import op6_mixing as mx
 
@@ -64,3 +65,25 @@ def test_mix_keeps_rows(docs, no_docs):
 def test_no_python(docs):
     plan = mx.place(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def deviations(got, share):
+    """The largest deviation from share * slots of each source, while all still have blocks."""
+    by, last = {r["slot"]: r["source"] for r in got}, Counter()
+    for r in got:
+        last[r["source"]] = max(last[r["source"]], r["slot"])
+    done, worst = Counter(), Counter()
+    for t in range(min(last.values())):
+        done[by.get(t)] += 1
+        for s, w in share.items():
+            worst[s] = max(worst[s], abs(done[s] - w * (t + 1)))
+    return worst, min(last.values())
+
+
+def test_deviation_from_the_target_weights(spark):
+    weights = {"a": 0.0504, "b": 0.9495, "c": 0.0001}
+    rows = rows_of(spark, {"a": 900, "b": 17_500, "c": 3}).withColumn("doc_id", F.monotonically_increasing_id())
+    got = mx.place(rows, weights, block_rows=1).select("source", "_mix.slot").collect()
+    assert len({r["slot"] for r in got}) == len(got) == 18_403
+    worst, slots = deviations(got, weights)
+    assert slots > 15_000 and all(x < 2 for x in worst.values())

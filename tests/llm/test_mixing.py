@@ -87,3 +87,13 @@ def test_deviation_from_the_target_weights(spark):
     assert len({r["slot"] for r in got}) == len(got) == 18_403
     worst, slots = deviations(got, weights)
     assert slots > 15_000 and all(x < 2 for x in worst.values())
+
+
+def test_sources_in_the_shared_lane_have_their_own_weights(spark, monkeypatch):
+    monkeypatch.setattr(mx, "MAX_LANES", 4)
+    sizes = {f"s{k:02}": 400 - k for k in range(12)}
+    raw = {s: (6.0 if s == "s11" else 1.0 + k % 3) for k, s in enumerate(sizes)}
+    got = mx.place(rows_of(spark, sizes), raw, block_rows=1).select("source", "_mix.slot").collect()
+    assert len({r["slot"] for r in got}) == len(got) == sum(sizes.values())
+    worst, slots = deviations(got, {s: w / sum(raw.values()) for s, w in raw.items()})
+    assert slots > 1000 and all(x < 4 for x in worst.values())

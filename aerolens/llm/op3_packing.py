@@ -14,8 +14,9 @@ gives the same rows.
 
 Ids are those of the ``tokenizers`` library for ``byte_bpe_50k.json`` without
 added special tokens, then id 0; the same vocabulary as ranks gives the same
-ids faster, and texts that hold a special token's string go through
-``tokenizers`` itself.  The vocabulary is read where the workers run.
+ids faster, and texts that hold a special token's string or more than
+LONG_BLANKS white-space characters in a row, which the fast way cannot take,
+go through ``tokenizers`` itself.  The vocabulary is read where the workers run.
 
 Defined cases: null and empty texts have the closing id alone; doc_id may be
 null or repeated (each row is packed); extra columns are ignored; an empty
@@ -25,6 +26,7 @@ table gives no rows.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,11 +40,15 @@ from aerolens.llm.common import prepare, table
 
 POOL = 256
 CLOSING_ID = 0
+LONG_BLANKS = 100_000
 TOKENIZER = "byte_bpe_50k"
 SCHEMA = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, "
           "offset bigint, segment int, loss_tokens bigint, sequence_tokens bigint")
 
 
+_BLANKS = re.compile(r"\s+")
+
+
 @dataclass(frozen=True)
 class Limits:
     tokens: int = 1024
@@ -50,6 +56,10 @@ class Limits:
     loss: int = 1024
 
 
+def _long_blanks(text: str) -> bool:
+    return len(text) > LONG_BLANKS and any(m.end() - m.start() > LONG_BLANKS for m in _BLANKS.finditer(text))
+
+
 class Encoder:
     """Text to ids; ``name`` is a file stem of the public tokenizers or a path without ending."""
 
@@ -68,7 +78,7 @@ class Encoder:
     def __call__(self, text: str) -> list[int]:
         if not text:
             return []
-        if any(s in text for s in self.special):
+        if any(s in text for s in self.special) or _long_blanks(text):
             return self.exact.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 

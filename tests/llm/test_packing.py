@@ -73,3 +73,12 @@ def test_ids_equal_the_library(tokenizer):
 
 def test_empty_table(no_docs):
     assert pk.pack(no_docs).collect() == []
+
+
+@pytest.mark.parametrize("blanks", [" " * 1_000_000, "\n" * 2_000_000, "\u00a0" * 1_000_000])
+def test_long_white_space(spark, tokenizer, blanks):
+    text = f"before{blanks}after"
+    assert pk.Encoder()(text) == tokenizer.encode(text, add_special_tokens=False).ids
+    if blanks[0] == " ":
+        limits = pk.Limits()
+        check(pk.pack(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), limits).collect(), [(1, text)], tokenizer, limits)

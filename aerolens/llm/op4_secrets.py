@@ -26,6 +26,7 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,7 +82,8 @@ _ASSIGNED = re.compile(r"(?i)(?:" + "|".join(map(re.escape, NAMES)) + r")[\w\-]{
 _GENERIC = re.compile(r"[A-Za-z0-9+/_\-]{20,}={0,2}")
 _WORD = re.compile(r"\w+")
 _DICT = re.compile("|".join(sorted((w for w in {*DICTIONARY, *PLACEHOLDERS, *NAMES} if len(w) > 2), key=lambda w: (-len(w), w))))
-_CLASS = {**{c: 0 for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: 1 for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: 2 for c in "0123456789"}}
+#: class of each ASCII character: small, capital, digit, other; the last entry is for all characters beyond
+_CLASS = np.array([0 if 97 <= c <= 122 else 1 if 65 <= c <= 90 else 2 if 48 <= c <= 57 else 3 for c in range(129)])
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
@@ -109,11 +111,9 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
 def features(text: str, source: str, start: int, end: int, rule: str) -> list[float]:
     s = text[start:end]
     n = len(s)
-    kinds = [_CLASS.get(c, 3) for c in s[:4096]]
-    move = np.zeros((4, 4))
-    for a, b in zip(kinds, kinds[1:]):
-        move[a, b] += 1
-    freq = _frequencies(s[:4096])
+    kinds = _CLASS[np.minimum(np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4"), 128)]
+    move = np.bincount(kinds[:-1] * 4 + kinds[1:], minlength=16)
+    freq = _frequencies(s)
     entropy = -sum(p * math.log2(p) for p in freq)
     low = s.lower()
     covered = sum(len(m) for m in _DICT.findall(low)) / n
@@ -126,9 +126,9 @@ def features(text: str, source: str, start: int, end: int, rule: str) -> list[fl
     line = before.rpartition("\n")[2] + after.partition("\n")[0]
     path = (source + " " + " ".join(w for w in line.split() if "/" in w)).lower()
     return [
-        float(n), math.log(n), entropy, *(float(kinds.count(k)) / len(kinds) for k in range(4)),
-        *(move / max(1, len(kinds) - 1)).ravel().tolist(), covered,
-        float(len(freq)) / len(kinds), float(all(c in "0123456789abcdefABCDEF" for c in s)), float("-" in s), float("_" in s), float("/" in s),
+        float(n), math.log(n), entropy, *(np.bincount(kinds, minlength=4) / n).tolist(),
+        *(move / max(1, n - 1)).tolist(), covered,
+        float(len(freq)) / n, float(all(c in "0123456789abcdefABCDEF" for c in s)), float("-" in s), float("_" in s), float("/" in s),
         float(any(p in low for p in PLACEHOLDERS)), float(any(k in w for w in near for k in NAMES)),
         float(any(p in w for w in near for p in PLACEHOLDERS)),
         float(any(w in ("commit", "sha1", "sha256", "md5", "hash", "digest", "checksum", "uuid", "revision") for w in near)),
@@ -138,10 +138,7 @@ def features(text: str, source: str, start: int, end: int, rule: str) -> list[fl
 
 
 def _frequencies(s: str) -> list[float]:
-    n, seen = len(s), {}
-    for c in s:
-        seen[c] = seen.get(c, 0) + 1
-    return [v / n for v in seen.values()]
+    return [v / len(s) for v in Counter(s).values()]
 
 
 # --- labelled findings ------------------------------------------------------

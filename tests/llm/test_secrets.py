@@ -64,3 +64,14 @@ def test_repeatable(spark, docs):
 
 def test_empty_table(no_docs):
     assert sec.scan(no_docs).collect() == []
+
+
+def test_features_of_the_whole_candidate():
+    def classes(s):
+        return sec.features(f"key={s}", "a", 4, 4 + len(s), "generic")
+    head, tail = "a" * 4096, "B7+x" * 5000
+    got = classes(head + tail)
+    n = len(head + tail)
+    assert np.allclose(got[3:7], [(4096 + 5000) / n, 5000 / n, 5000 / n, 5000 / n])
+    freq = np.array([4096, 5000, 5000, 5000, 5000]) / n
+    assert np.isclose(got[2], -(freq * np.log2(freq)).sum()) and np.isclose(sum(got[7:23]), 1) and np.isclose(got[24], 5 / n)

@@ -382,14 +382,16 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     Rows without a set or without a doc_id all stay; of rows that repeat a
     kept doc_id, the one with the smallest text stays.
     """
-    groups = near_duplicate_groups(docs).where("kept and doc_id is not null")
-    verdict = groups.groupBy("doc_id").agg(F.max("n_shingles").alias("_mh_n"))
-    keep = verdict.select(F.col("doc_id").alias("_mh_id"), "_mh_n")
-    joined = docs.join(keep, docs["doc_id"].cast("bigint") == F.col("_mh_id"), "left")
+    groups = near_duplicate_groups(docs).where("doc_id is not null").groupBy(F.col("doc_id").alias("_mh_id"))
+    keep = groups.agg(F.max(F.when(F.col("kept"), F.col("n_shingles"))).alias("_mh_n"), F.count(F.lit(1)).alias("_mh_rows"))
+    keep = materialise(keep.where("_mh_n is not null").select("_mh_id", (F.expr("_mh_n > 0 and _mh_rows > 1")).alias("_mh_many")), "mh-keep")
+    n_many, n_keep = keep.agg(F.count_if("_mh_many"), F.count(F.lit(1))).first()
+    on = docs["doc_id"].cast("bigint") == F.col("_mh_id")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    out = docs.join(small(keep.where("not _mh_many"), n_keep - n_many), on).select(*columns)
     one = W.partitionBy("_mh_id").orderBy(F.col("text").asc_nulls_last())
-    joined = joined.withColumn("_mh_rn", F.when(F.col("_mh_n") > 0, F.row_number().over(one)).otherwise(F.lit(1)))
-    stays = F.col("doc_id").isNull() | (F.col("_mh_id").isNotNull() & (F.col("_mh_rn") == 1))
-    return joined.where(stays).select(*[F.col(f"`{c}`") for c in docs.columns])
+    many = docs.join(small(keep.where("_mh_many"), n_many), on).withColumn("_mh_rn", F.row_number().over(one))
+    return out.unionByName(many.where("_mh_rn = 1").select(*columns)).unionByName(docs.where("doc_id is null"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -113,3 +113,12 @@ def test_tensored_keys_need_few_minima():
         x, y = (mh.half_keys(mh.minima(np.concatenate((common, part)))) for part in (a, b))
         misses += not ((x == y)[:mh.M].any() and (x == y)[mh.M:].any())
     assert misses <= 2
+
+
+def test_removed_rows_reach_no_window(docs):
+    out = mh.drop_near_duplicates(docs)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    window = plan[plan.index("Window"):]
+    assert "LeftOuter" not in plan and "Join Inner" in window and "_mh_many" in window
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert sum(i is None for i, _ in got) == 1 and len([i for i, _ in got if i == 20]) == 1 and len([i for i, _ in got if i == 1]) == 1

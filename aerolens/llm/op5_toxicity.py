@@ -51,20 +51,20 @@ DEFAULT_LEXICON = {" idiot ": 3.0, " moron ": 3.0, " stupid ": 2.5, " scum ": 3.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "circus clown", "stupid mistake", "not stupid", "not an idiot")
 
 
-def _table() -> dict[int, str]:
-    """What each character below U+3000 (and full-width forms) folds to."""
-    out = {}
-    for cp in [*range(0x3000), *range(0xFF01, 0xFF5F)]:
+class _Table(dict):
+    """What each character folds to, worked out when it is first met; marks, format characters and variation selectors vanish."""
+
+    def __missing__(self, cp: int) -> str:
         c = chr(cp)
-        for low in {c, c.lower()}:
-            base = "".join(x for x in unicodedata.normalize("NFKD", low) if not unicodedata.combining(x))
-            base = "".join(HOMOGLYPHS.get(x, SIGNS.get(x, x)) for x in base.lower())
-            base = "".join(x if x.isalnum() else " " for x in base).replace("l", "i")
-            out[cp] = "" if unicodedata.combining(c) else (base or " ")
-    return out
+        base = "".join(x for x in unicodedata.normalize("NFKD", c.lower()) if not unicodedata.combining(x))
+        base = "".join(HOMOGLYPHS.get(x, SIGNS.get(x, x)) for x in base.lower())
+        base = "".join(x if x.isalnum() else " " for x in base).replace("l", "i")
+        unseen = unicodedata.category(c) == "Cf" or 0xFE00 <= cp <= 0xFE0F or 0xE0100 <= cp <= 0xE01EF
+        self[cp] = "" if unseen or unicodedata.combining(c) else (base or " ")
+        return self[cp]
 
 
-_FOLD = _table()
+_FOLD = _Table()
 _SPELLED = re.compile(r"(?<= )(?:\w ){3,}")
 
 

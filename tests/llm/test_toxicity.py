@@ -74,3 +74,9 @@ def test_without_labels(tables, no_docs, spark):
     model = tx.learn(docs, labels.limit(0))
     assert model.inputs("what an IDI0T and l0ser")[2] == 2
     assert tx.scores(no_docs, model).collect() == []
+
+
+def test_folding_of_all_characters():
+    bold = "".join(chr(0x1D41A + ord(c) - 97) for c in "snorgle")
+    assert tx.fold(bold) == tx.fold("snorgle") == tx.fold("\U0001F600snorgle\u3002")
+    assert tx.fold("snor\u200bg\u00adle") == tx.fold("snorgle\ufe0f") == tx.fold("snorgle")

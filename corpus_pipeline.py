@@ -55,8 +55,11 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_tidy
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in training sequences."""
-    return op3_packing.pack(docs.select("doc_id", "text"))
+    """The pieces of all documents in training sequences, in the order of the mix.
+
+    Files are read back in any order, so the order is made here again.
+    """
+    return op3_packing.pack(op6_mixing.mix(docs.select("doc_id", "text", "source")).select("doc_id", "text"))
 
 
 STAGES = [("quality_rules", quality), ("near_dedup", near_dedup), ("secret_scan", secrets), ("source_mixing", mixing),

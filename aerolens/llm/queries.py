@@ -13,6 +13,7 @@ from aerolens.llm import (
     op8_chat,
     op9_sharding,
     op10_quality,
+    op11_simhash,
 )
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_chat_format": op8_chat.query,
     "op9_balanced_shards": op9_sharding.query,
     "op10_quality_rules": op10_quality.query,
+    "op11_simhash_near_duplicates": op11_simhash.query,
 }
 
 #: queries that SQL can express over whole tables

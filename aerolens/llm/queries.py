@@ -14,6 +14,7 @@ from aerolens.llm import (
     op9_sharding,
     op10_quality,
     op11_simhash,
+    op12_search,
     op13_codes,
 )
 
@@ -29,6 +30,7 @@ QUERIES = {
     "op9_balanced_shards": op9_sharding.query,
     "op10_quality_rules": op10_quality.query,
     "op11_simhash_near_duplicates": op11_simhash.query,
+    "op12_lexical_search": op12_search.query,
     "op13_vector_codes": op13_codes.query,
 }
 
@@ -37,5 +39,6 @@ ORACLE: dict[str, str] = {
     "op2_warc_roundtrip": op2_warc.ORACLE_SQL,
     "op7_exact_topk": op7_topk.ORACLE_SQL,
     "op8_chat_format": op8_chat.ORACLE_SQL,
+    "op12_lexical_search": op12_search.ORACLE_SQL,
     "op13_vector_codes": op13_codes.ORACLE_SQL,
 }

@@ -51,8 +51,8 @@ def _append(part, src):
     part.drop("_s").repartition(2, "replicate", "case_id").write.mode("append").parquet(src)
 
 
-@pytest.mark.parametrize("compact_every", [1, 2, 16])
-def test_parity_with_restart_and_other_partitions(spark, compact_every):
+@pytest.mark.parametrize("state,compact_every", [("store", 16), ("table", 1), ("table", 2), ("table", 16)])
+def test_parity_with_restart_and_other_partitions(spark, state, compact_every):
     df = _random_flights(spark, n_flights=4, n=70, seed=21)
     src, out, ckpt = _dirs("src", "out", "ckpt")
     parts = _sliced(df, 4)
@@ -62,9 +62,14 @@ def test_parity_with_restart_and_other_partitions(spark, compact_every):
             spark.conf.set("spark.sql.shuffle.partitions", str(3 + 2 * (c % 2)))
             _append(parts.filter(F.col("_s") == c), src)
             run_stream(spark, src, df.schema, out, ckpt, layers=STAT, files_per_trigger=2, with_features=True, sinks=(),
-                       compact_every=compact_every)
+                       state=state, compact_every=compact_every)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+    if state == "table":                         # folders that no replay needs are gone
+        kept = [x for kind in ("full", "delta") if os.path.isdir(f"{out}/context/{kind}") for x in os.listdir(f"{out}/context/{kind}")]
+        assert len(kept) <= 2 * compact_every + 2
+    else:
+        assert not os.path.exists(f"{out}/context")
     _check(job.read_scored(spark, out).toPandas(), _batch(df))
 
 
@@ -165,3 +170,60 @@ def test_model_on_the_stream_matches_batch_causal(spark):
     assert np.allclose(m["ml_score_s"], m["ml_score_b"], atol=1e-12)
     assert (m["alert_ml_s"] == m["alert_ml_b"]).all()
     assert all(list(a) == list(b) for a, b in zip(m["layers_s"], m["layers_b"]))
+
+
+def _progress(q):
+    return [p for p in q.recentProgress if p.numInputRows]
+
+
+def test_cost_follows_the_flights_of_the_batch(spark):
+    """100,000 flights that are idle: a batch of five flights loads and writes five states and scores its rows."""
+    df = _random_flights(spark, n_flights=5, n=50, seed=31)
+    idle = df.where("case_id = 1 and row_idx = 1").limit(1).drop("case_id").crossJoin(spark.range(1000, 101_000).withColumnRenamed("id", "case_id"))
+    src, out, ckpt = _dirs("src", "out", "ckpt")
+    for k, part in enumerate((idle.select(df.columns).repartition(4), df.where("row_idx <= 25"), df.where("row_idx > 25"))):
+        part.write.mode("append").parquet(src)
+        q = run_stream(spark, src, df.schema, out, ckpt, layers=STAT if k else "rules", buffer_size=40, files_per_trigger=1000, with_features=k > 0, sinks=())
+        state = [p.stateOperators[0] for p in _progress(q)]
+    assert [(s.numRowsTotal, s.numRowsUpdated) for s in state] == [(100_005, 5)]
+    assert any(k.startswith("rocksdb") for k in state[0].customMetrics)
+    got = spark.read.option("mergeSchema", True).parquet(f"{out}/scored")
+    assert got.count() == 100_000 + df.count() and got.where("case_id < 1000 and late").count() == 0
+    _check(got.where("case_id < 1000").toPandas(), _batch(df))
+
+
+def test_context_carries_any_value(spark):
+    """Missing keys and row numbers, ids above 2**53, NaN and infinite channels, microseconds."""
+    df = _random_flights(spark, n_flights=3, n=30, seed=12).withColumns({
+        "case_id": F.when(F.col("case_id") == 1, F.lit(None)).when(F.col("case_id") == 2, F.lit(9007199254740993)).otherwise(F.col("case_id")),
+        "replicate": F.when(F.col("case_id") == 1, F.lit(None)).otherwise(F.col("replicate")),
+        "row_idx": F.when(F.col("row_idx") != 7, F.col("row_idx")),
+        "timestamp": F.expr("timestamp + interval 123457 microseconds"),
+        "speed": F.when(F.col("row_idx") == 22, F.lit(float("inf"))).otherwise(F.col("speed"))})
+    for state in ("store", "table"):
+        src, out, ckpt = _dirs("src", "out", "ckpt")
+        for part in (df.where("row_idx <= 15 or row_idx is null"), df.where("row_idx > 15")):
+            part.coalesce(1).write.mode("append").parquet(src)
+            run_stream(spark, src, df.schema, out, ckpt, layers=STAT, with_features=True, sinks=(), state=state)
+        assert job.read_scored(spark, out).where("case_id = 9007199254740993").count() == 30
+        rows = job.read_scored(spark, out).toPandas().sort_values(["case_id", "row_idx"]).reset_index(drop=True)
+        want = _batch(df).sort_values(["case_id", "row_idx"]).reset_index(drop=True)
+        assert len(rows) == len(want)
+        for c in COLS:
+            assert np.allclose(rows[c].astype(float), want[c].astype(float), equal_nan=True), (state, c)
+
+
+def test_idle_flights_are_forgotten(spark):
+    df = _random_flights(spark, n_flights=2, n=40, seed=3)
+    src, out, ckpt = _dirs("src", "out", "ckpt")
+    for part in (df.where("row_idx <= 20"), df.where("row_idx > 20")):
+        part.coalesce(1).write.mode("append").parquet(src)
+        q = run_stream(spark, src, df.schema, out, ckpt, layers=STAT, sinks=(), idle_after=3600)
+    assert _progress(q)[-1].stateOperators[0].numRowsTotal == 2
+    class State:
+        hasTimedOut, exists, gone = True, True, False
+        def remove(self): self.gone = True
+    timed_out = State()
+    assert list(job._last_rows((3, 1), iter([]), timed_out, 40, 1000)) == [] and timed_out.gone
+    with pytest.raises(ValueError, match="Unknown state"):
+        run_stream(spark, src, df.schema, out, ckpt, layers=STAT, state="memory")

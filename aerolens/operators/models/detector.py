@@ -7,7 +7,7 @@ max_train_samples=None, params={})``:
   rows, threshold = exact ``threshold_percentile``-th percentile of the
   training scores; alert when score < threshold (low = anomalous);
 * supervised (random_forest -> MLlib RandomForestClassifier, xgboost ->
-  MLlib GBTClassifier): fit on all labelled rows with class weights,
+  histogram boosting): fit on all labelled rows with class weights,
   threshold = max-F1 threshold on the training scores; alert when
   score >= threshold; score = P(label = 1).
 
@@ -20,8 +20,7 @@ from __future__ import annotations
 import json
 import warnings
 
-from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier,
-                                       RandomForestClassificationModel, RandomForestClassifier)
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark import StorageLevel
@@ -31,7 +30,7 @@ from aerolens.operators import curves
 from aerolens.operators.combine import ml_decision
 from aerolens.operators.features import compute_features
 from aerolens.operators.frames import HOT_ROWS
-from aerolens.operators.models import iforest, lof, ocsvm
+from aerolens.operators.models import boosting, iforest, lof, ocsvm
 from aerolens.operators.models.sampling import class_weights, subsample, weight_column
 from aerolens.schema import (DEFAULT_FEATURE_WINDOW, DEFAULT_FLIGHT_KEYS, DEFAULT_MAX_TRAIN_SAMPLES,
                              FEATURE_NAMES, SUPERVISED, SUPPORTED_ALGOS, UNSUPERVISED)
@@ -131,26 +130,23 @@ class AnomalyDetector:
             self.model = ("one_class_svm", W, b, w, rho)
 
     def _fit_supervised(self, lab: DataFrame, seed: int):
-        if self.algorithm == "random_forest":
-            mode = self._p("class_weight", "balanced")
-            est = RandomForestClassifier(
-                numTrees=int(self._p("n_estimators", 200)), maxDepth=int(self._p("max_depth", 16)),
-                minInstancesPerNode=int(self._p("min_samples_leaf", 20)), seed=seed,
-                featuresCol=_VEC, labelCol="_y", weightCol="_w",
-                featureSubsetStrategy=self._p("max_features", "sqrt"),
-                maxMemoryInMB=int(self._p("max_memory_mb", 1024)),
-                cacheNodeIds=bool(self._p("cache_node_ids", True)))
-        else:
-            mode = "pos_ratio"
-            est = GBTClassifier(
-                maxIter=int(self._p("n_estimators", 300)), maxDepth=int(self._p("max_depth", 8)),
-                stepSize=float(self._p("learning_rate", 0.05)),
-                subsamplingRate=float(self._p("subsample", 0.9)),
-                featureSubsetStrategy=str(self._p("colsample_bytree", 0.9)), seed=seed,
-                featuresCol=_VEC, labelCol="_y", weightCol="_w",
-                maxMemoryInMB=int(self._p("max_memory_mb", 1024)),
-                cacheNodeIds=bool(self._p("cache_node_ids", True)))
-        w = class_weights(lab, "label", mode or "none")
+        if self.algorithm == "xgboost":
+            w = class_weights(lab, "label", "pos_ratio")
+            self.model = ("xgboost", boosting.fit_boosting(lab, self.feature_names, boosting.Settings(
+                rounds=int(self._p("n_estimators", 300)), depth=int(self._p("max_depth", 8)),
+                rate=float(self._p("learning_rate", 0.05)), subsample=float(self._p("subsample", 0.9)),
+                colsample=float(self._p("colsample_bytree", 0.9)), positive_weight=float(self._p("scale_pos_weight", w[1])),
+                l2=float(self._p("reg_lambda", 1.0)), min_hessian=float(self._p("min_child_weight", 1.0)),
+                bins=int(self._p("max_bin", boosting.BINS)), seed=seed)))
+            return
+        est = RandomForestClassifier(
+            numTrees=int(self._p("n_estimators", 200)), maxDepth=int(self._p("max_depth", 16)),
+            minInstancesPerNode=int(self._p("min_samples_leaf", 20)), seed=seed,
+            featuresCol=_VEC, labelCol="_y", weightCol="_w",
+            featureSubsetStrategy=self._p("max_features", "sqrt"),
+            maxMemoryInMB=int(self._p("max_memory_mb", 1024)),
+            cacheNodeIds=bool(self._p("cache_node_ids", True)))
+        w = class_weights(lab, "label", self._p("class_weight", "balanced") or "none")
         data = self._assemble(lab).select(_VEC, F.col("label").cast("double").alias("_y"),
                                           weight_column(w).alias("_w"))
         # a tree level is a pass of short tasks: no more of them than the rows call for
@@ -165,10 +161,12 @@ class AnomalyDetector:
             return iforest.score_column(spark, self.model[1], self.model[2], cols)
         if kind == "lof":
             return lof.score_column(spark, *self.model[1:], cols)
+        if kind == "xgboost":
+            return boosting.score_column(spark, self.model[1], cols)
         return ocsvm.score_column(spark, *self.model[1:], cols)
 
     def _raw_scores(self, df: DataFrame) -> DataFrame:
-        if self.supervised:
+        if self.algorithm == "random_forest":
             out = self.model.transform(self._assemble(df))
             out = out.withColumn("ml_score", vector_to_array("probability")[1])
             return out.drop(_VEC, "rawPrediction", "probability", "prediction")
@@ -204,7 +202,7 @@ class AnomalyDetector:
         """Metadata row (JSON) + model (MLlib format or Parquet tables)."""
         meta = spark.createDataFrame([(json.dumps(self._meta()),)], "meta string")
         meta.coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
-        if self.supervised:
+        if self.algorithm == "random_forest":
             self.model.write().overwrite().save(f"{path}/model")
             return
         kind = self.model[0]
@@ -214,6 +212,10 @@ class AnomalyDetector:
             spark.createDataFrame(rows, iforest.TREE_SCHEMA).write.mode("overwrite") \
                 .parquet(f"{path}/trees")
             extra = {"psi": self.model[2]}
+        elif kind == "xgboost":
+            rows = [(i, *(c.tolist() for c in t)) for i, t in enumerate(self.model[1])]
+            spark.createDataFrame(rows, boosting.TREE_SCHEMA).write.mode("overwrite").parquet(f"{path}/trees")
+            extra = {}
         elif kind == "lof":
             _, R, kd, lrd, k = self.model
             rows = [(i, R[i].tolist(), float(kd[i]), float(lrd[i])) for i in range(R.shape[0])]
@@ -238,15 +240,16 @@ class AnomalyDetector:
                               meta["fill"])
         det.threshold, det.optimal_threshold = meta["threshold"], meta["optimal_threshold"]
         det.feature_names = meta["feature_names"]
-        if det.supervised:
-            cls = RandomForestClassificationModel if det.algorithm == "random_forest" \
-                else GBTClassificationModel
-            det.model = cls.load(f"{path}/model")
+        if det.algorithm == "random_forest":
+            det.model = RandomForestClassificationModel.load(f"{path}/model")
             return det
         extra = json.loads(spark.read.json(f"{path}/extra").first()["extra"])
         if det.algorithm == "isolation_forest":
             det.model = ("isolation_forest",
                          iforest.forest_arrays(spark.read.parquet(f"{path}/trees")), extra["psi"])
+        elif det.algorithm == "xgboost":
+            trees = spark.read.parquet(f"{path}/trees").orderBy("tree_id").collect()
+            det.model = ("xgboost", [tuple(np.array(r[c]) for c in ("feature", "threshold", "left", "right", "value")) for r in trees])
         elif det.algorithm == "lof":
             rows = spark.read.parquet(f"{path}/reference").orderBy("id").collect()
             det.model = ("lof", np.array([r["x"] for r in rows]), np.array([r["kdist"] for r in rows]),

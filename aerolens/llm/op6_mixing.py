@@ -5,17 +5,23 @@ weight w, block i of a source (from 0) may not start before its release time
 floor(i / w) and has to be placed by its deadline ceil((i + 1) / w).
 Earliest-deadline-first over the released blocks gives one block a slot.
 
-Weights are integers in 1/SCALE.  About PERIOD slots make a round.  Earliest
-deadline first over rounds gives each source its blocks of each round from
-these weights, so that at the end of every round it has had the floor or the
-ceiling of weight * slots; the same rule over the slots of a round deals them
-within less than a block.  The deviation from the target weights thus stays
-below two blocks at all times (below one where weight * round is whole),
-however long the table.  Rounds with equal quotas share one order, worked out
-as an expression over arrays.  The sources beyond the MAX_LANES - 1 of most
-weight share one lane, whose slots are dealt to them by the same rule, in
-groups of groups of at most MAX_LANES; a source there is within two blocks of
-its share of its group, each group of its share of the next.
+Weights are integers u in 1/SCALE, so windows are exact whole numbers and a
+source is never a block or more from weight * slots, at any slot.  The slots
+are worked out in segments of SEGMENT slots, a row each, spread over tasks.
+What a segment needs of those before is only which blocks are placed at its
+start: for each source the floor of weight * slots, or one more.  Segments
+first start from the choice of earliest deadlines among the blocks whose
+windows span that point, from which earliest-deadline-first always goes on
+without a miss, and yield the state at their end.  A segment whose start is
+not the end of the one before starts again from that end, until all agree:
+the result is the one that a single run from slot 0 has.  Different starts
+run into each other within the longest window or so, so few segments start
+again; their orders are written out once all agree, again segment by segment.
+
+The sources beyond the MAX_LANES - 1 of most weight share one lane, whose
+slots are dealt to them by the same rule, in groups of groups of at most
+MAX_LANES: a source there is within one block of its share of its group's
+slots, each group within one of its share of the next.
 
 The rows are numbered by two-level counts, so a source with a third of all
 rows is spread over tasks.  Every row is placed exactly once.  A source that
@@ -25,20 +31,24 @@ proportion to their weights.
 Without given weights a source's target is its row count to the power
 TEMPERATURE, which raises small sources.
 
-Defined cases: a null source is a source; sources missing in given weights,
-and weights of zero or below, get 1/PERIOD of the sum of the given ones; null
-or repeated doc_ids are rows like others, equal rows get different places in
-either order; extra columns are kept; an empty table gives no rows.  Only built-in functions run here.
+Defined cases: a null source is a source of its own (given weights name it
+None), apart from the empty name; sources missing in given weights, and
+weights of zero or below, get 1/LEAST of the sum of the given ones; null or
+repeated doc_ids are rows like others, equal rows get different places in
+either order; extra columns are kept, whatever their names; an empty table
+gives no rows.  Only built-in functions run here.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window as W
 
-from aerolens.llm.common import materialise, numbered, small, table
+from aerolens.llm.common import materialise, numbered, remove, small, table
 
 BLOCK_ROWS = 32
-PERIOD = 1000
+SEGMENT = 1000
+#: a source without a given weight has one part in LEAST
+LEAST = 1000
 #: parts of the whole in which target weights are held
 SCALE = 10 ** 9
 MAX_LANES = 256
@@ -49,14 +59,16 @@ def _sources(docs: DataFrame, weights: dict[str, float] | None, temperature: flo
     """(src, n, units) of every source; units are the target weights in 1/SCALE."""
     counts = docs.groupBy(F.col("source").cast("string").alias("src")).agg(F.count(F.lit(1)).alias("n"))
     if weights:
-        given = F.create_map(*[F.lit(x) for k, v in weights.items() for x in (k, max(0.0, float(v)))])
-        w = F.coalesce(given[F.coalesce("src", F.lit(""))], F.lit(0.0))
+        named = {k: max(0.0, float(v)) for k, v in weights.items() if k is not None}
+        given = F.create_map(*[F.lit(x) for k, v in named.items() for x in (k, v)]) if named else None
+        known = F.coalesce(given[F.coalesce("src", F.lit(""))], F.lit(0.0)) if named else F.lit(0.0)
+        w = F.when(F.col("src").isNull(), F.lit(max(0.0, float(weights.get(None, 0.0))))).otherwise(known)
     else:
         w = F.pow(F.col("n").cast("double"), F.lit(temperature))
     counts = materialise(counts.withColumn("w", w), "mix-counts")
     total = F.broadcast(counts.agg(F.sum("w").alias("total")))
     units = F.greatest(F.lit(1), F.round(F.col("w") / F.col("total") * SCALE).cast("bigint"))
-    units = F.when(F.col("w") > 0, units).otherwise(F.lit(SCALE // PERIOD)).cast("bigint")
+    units = F.when(F.col("w") > 0, units).otherwise(F.lit(SCALE // LEAST)).cast("bigint")
     return materialise(counts.crossJoin(total).select("src", "n", units.alias("units")), "mix-sources")
 
 
@@ -75,100 +87,94 @@ def _tree(sources: DataFrame) -> tuple[DataFrame, int]:
     return both, max(depth, 1) if m else 0
 
 
-def lanes(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE) -> DataFrame:
-    """(src, lane, rest, units): the sources of most weight, and one lane for all others (``rest``)."""
-    tree, _ = _tree(_sources(docs, weights, temperature))
-    rest = F.col("j").isNotNull()
-    return tree.groupBy(F.when(~rest, F.col("src")).alias("src"), "lane", rest.alias("rest")).agg(F.sum("units").alias("units"))
+def _div(x, y) -> Column:
+    return F.call_function("div", x, y)
 
 
-def _order(one: DataFrame) -> DataFrame:
-    """``one`` with ``order``: the index in the array ``u`` that each of its sum ``d`` slots goes to."""
-    u, d = F.col("u"), F.col("d")
+def _nodes(kids: DataFrame) -> DataFrame:
+    """(node, ids, w, nb, D, segments): each node's lanes as arrays (at most MAX_LANES), the sum of its weights, and how far its blocks reach."""
+    one = kids.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("lane", "units", "nb"))).alias("a"))
+    one = one.select("node", "a", F.transform("a", lambda x: x.lane).alias("ids"), F.transform("a", lambda x: x.units).alias("w"),
+                     F.transform("a", lambda x: x.nb.cast("bigint")).alias("nb"))
+    one = one.withColumn("D", F.aggregate("w", F.lit(0).cast("bigint"), lambda s, x: s + x))
+    slots = F.array_max(F.transform("a", lambda x: _div(x.nb.cast("bigint") * F.col("D") + x.units - 1, x.units)))
+    return one.withColumn("segments", _div(slots + F.lit(SEGMENT - 1), F.lit(SEGMENT))).drop("a")
+
+
+def _first_guess(t: Column) -> Column:
+    """Blocks placed before slot ``t``: the floors, and one more for the earliest deadlines among the windows that span ``t``."""
+    D = F.col("D")
+    floors = F.transform("w", lambda w: w * _div(t, D) + _div(w * (t % D), D))
+
+    def more(b):
+        left = (t - F.aggregate(b, F.lit(0).cast("bigint"), lambda x, y: x + y)).cast("int")
+        job = lambda w, i: F.when((w * (t % D)) % D > 0, F.struct(_div((F.get(b, i) + 1) * D + w - 1, w).alias("deadline"), i.alias("i")))
+        spanning = F.sort_array(F.filter(F.transform("w", job), lambda x: x.isNotNull()))
+        chosen = F.transform(F.slice(spanning, 1, left), lambda x: x.i)
+        return F.transform(F.array(chosen), lambda p: F.transform(b, lambda k, i: k + F.array_contains(p, i).cast("bigint")))[0]
+    return F.transform(F.array(floors), more)[0]
+
+
+def _run(start: Column, t0: Column, with_order: bool) -> Column:
+    """Earliest deadline first over SEGMENT slots from ``t0``: the blocks placed after them, or (i, block) of each slot."""
+    D = F.col("D")
 
     def step(state, t):
-        def job(c, i):
-            share = F.greatest(F.get(u, i), F.lit(1))
-            release = F.floor(c * d / share)
-            deadline = F.ceil((c + 1) * d / share)
-            return F.when((c < F.get(u, i)) & (release <= t), F.struct(deadline.alias("deadline"), i.alias("lane")))
-        first = F.array_min(F.transform(state.done, job)).lane
-        return F.transform(F.array(first), lambda p: F.struct(      # binds the choice once
-            F.transform(state.done, lambda c, i: F.when(i == p, c + 1).otherwise(c)).alias("done"),
-            F.concat(state.order, F.array(p)).alias("order")))[0]
-
-    start = F.struct(F.transform(u, lambda _: F.lit(0)).alias("done"), F.array().cast("array<int>").alias("order"))
-    return one.withColumn("order", F.aggregate(F.sequence(F.lit(0), d - 1), start, step, lambda s: s.order))
-
-
-def schedule(lane_table: DataFrame) -> DataFrame:
-    """(lane, units, period, k, at): the slot ``at`` of each lane's k-th block within a period."""
-    one = lane_table.agg(F.sort_array(F.collect_list(F.struct("lane", "units"))).alias("a"))
-    one = one.select(F.transform("a", lambda x: x.units).alias("u")).withColumn(
-        "d", F.aggregate("u", F.lit(0), lambda s, x: s + x)).where("d > 0")
-    plan = _order(one).select(F.col("d").alias("period"), "u", F.posexplode("order").alias("at", "lane"))
-    k = F.row_number().over(W.partitionBy("lane").orderBy("at")) - 1
-    return plan.select("lane", F.get("u", F.col("lane")).alias("units"), "period", k.alias("k"), "at")
-
-
-def _rounds(kids: DataFrame, whole: int | None) -> DataFrame:
-    """(node, ids, len, c, before, u): the blocks of each child before round ``c`` of ``len`` slots and in it.
-
-    Earliest deadline first with ``len`` blocks a round, on the exact units: after
-    each round a child has had the floor or the ceiling of weight * slots.
-    """
-    one = kids.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("lane", "units", "nb"))).alias("a"))
-    zero = F.lit(0).cast("bigint")
-    one = one.select("node", "a", F.transform("a", lambda x: x.lane).alias("ids"), F.transform("a", lambda x: x.units).alias("w"))
-    one = one.withColumn("D", F.aggregate("w", zero, lambda s, x: s + x))
-    of = F.lit(whole).cast("bigint") if whole else F.col("D")
-    length = F.aggregate("w", zero, lambda s, x: s + F.greatest(F.lit(1), F.round(x * F.lit(PERIOD) / of)).cast("bigint"))
-    one = one.withColumn("len", length)
-    D, n = F.col("D"), F.col("len")
-    need = F.array_max(F.transform("a", lambda x: F.ceil(x.nb.cast("decimal(38,0)") * D / (x.units * n)).cast("bigint")))
-    div = lambda x, y: F.call_function("div", x, y)
-    whole_blocks = lambda w, t: w * div(t, D) + div(w * (t % D), D)
-
-    def step(state, c):
-        def at(t):
-            base = F.transform(state.s, lambda s, i: F.greatest(s, whole_blocks(F.get("w", i), t)))
-
-            def fill(b):
-                left = (t - F.aggregate(b, zero, lambda x, y: x + y)).cast("int")
-                job = lambda s, i: F.when(
-                    (s == whole_blocks(F.get("w", i), t)) & ((F.get("w", i) * (t % D)) % D > 0),
-                    F.struct(div((s + 1) * D + F.get("w", i) - 1, F.get("w", i)).alias("deadline"), i.alias("i")))
-                ready = F.sort_array(F.filter(F.transform(b, job), lambda x: x.isNotNull()))
-                chosen = F.transform(F.slice(ready, 1, left), lambda x: x.i)
-                return F.transform(F.array(chosen), lambda p: F.transform(
-                    b, lambda s, i: F.when(F.array_contains(p, i), s + 1).otherwise(s)))[0]
-            return F.transform(F.array(base), fill)[0]
-        return F.transform(F.transform(F.array((c * n).cast("bigint")), at), lambda s: F.struct(
-            s.alias("s"), F.concat(state.out, F.array(F.struct(state.s.alias("before"), s.alias("after")))).alias("out")))[0]
-
-    none = F.array().cast("array<struct<before:array<bigint>,after:array<bigint>>>")
-    start = F.struct(F.transform("w", lambda _: zero).alias("s"), none.alias("out"))
-    out = F.aggregate(F.sequence(F.lit(1).cast("bigint"), need), start, step, lambda s: s.out)
-    out = one.select("node", "ids", "len", F.posexplode(out).alias("c", "r"))
-    u = F.zip_with("r.after", "r.before", lambda x, y: (x - y).cast("int"))
-    return out.select("node", "ids", "len", "c", "r.before", u.alias("u"))
-
-
-def _plan(kids: DataFrame, whole: int | None) -> DataFrame:
+        def job(w, i):
+            k = F.get(state.done, i)
+            return F.when(_div(k * D, w) <= t0 + t, F.struct(_div((k + 1) * D + w - 1, w).alias("deadline"), i.alias("i"), k.alias("block")))
+
+        def placed(x):                                 # binds the choice once
+            done = F.transform(state.done, lambda k, i: F.when(i == x.i, k + 1).otherwise(k))
+            if not with_order:
+                return F.struct(done.alias("done"))
+            return F.struct(done.alias("done"), F.concat(state.order, F.array(F.struct(x.i.alias("i"), x.block.alias("block")))).alias("order"))
+        return F.transform(F.array(F.array_min(F.transform("w", job))), placed)[0]
+
+    empty = F.array().cast("array<struct<i:int,block:bigint>>").alias("order")
+    first = F.struct(start.alias("done"), empty) if with_order else F.struct(start.alias("done"))
+    slots = F.sequence(F.lit(0).cast("bigint"), F.lit(SEGMENT - 1).cast("bigint"))
+    return F.aggregate(slots, first, step, lambda s: s.order if with_order else s.done)
+
+
+def _starts(nodes: DataFrame, n_nodes: int) -> DataFrame:
+    """(node, c, start): what a run from slot 0 has placed before each segment."""
+    t0 = F.col("c") * F.lit(SEGMENT)
+    arrays = small(nodes.drop("segments"), n_nodes)
+    of = lambda d: d.join(arrays, "node")
+    run = lambda d: d.select("node", "c", "start", _run(F.col("start"), t0, False).alias("end"))
+    every = nodes.select("node", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("segments") - 1)).alias("c")).repartition("node", "c")
+    now = materialise(run(of(every).withColumn("start", _first_guess(t0))), "mix-segments")
+    while True:                                        # every pass settles one segment more at least
+        before = now.select("node", (F.col("c") + 1).alias("c"), F.col("end").alias("want"))
+        wrong = materialise(now.join(before, ["node", "c"]).where("start <> want").select("node", "c", F.col("want").alias("start")), "mix-again")
+        n = wrong.count()
+        if not n:
+            remove(wrong)
+            return now
+        again = run(of(wrong))
+        following = materialise(now.join(small(wrong.select("node", "c"), n), ["node", "c"], "left_anti").unionByName(again), "mix-segments")
+        remove(now)
+        remove(wrong)
+        now = following
+
+
+def _plan(kids: DataFrame) -> DataFrame:
     """(node, lane, block, release, deadline, slot) of the blocks of ``kids(node, lane, units, nb)``."""
-    rounds = materialise(_rounds(kids, whole), "mix-rounds")
-    alike = rounds.select("u", F.col("len").cast("int").alias("d")).distinct()
-    order = materialise(_order(alike).select("u", "order"), "mix-orders")       # one per set of quotas
-    plan = rounds.join(order, "u")
-    plan = plan.select("node", "ids", "len", "c", "before", "u", F.posexplode("order").alias("at", "i"))
-    k = F.row_number().over(W.partitionBy("node", "c", "i").orderBy("at")) - 1
-    plan = plan.withColumns({"k": k, "q": F.get("u", F.col("i")), "lane": F.get("ids", F.col("i")), "base": F.col("c") * F.col("len")})
-    plan = plan.select(
-        "node", "lane", (F.get("before", F.col("i")) + F.col("k")).alias("block"),
-        (F.col("base") + F.floor(F.col("k") * F.col("len") / F.col("q"))).alias("release"),
-        (F.col("base") + F.ceil((F.col("k") + 1) * F.col("len") / F.col("q"))).alias("deadline"),
-        (F.col("base") + F.col("at")).alias("slot"))
-    return materialise(plan.join(kids.select("node", "lane", "nb"), ["node", "lane"]).where("block < nb").drop("nb"), "mix-plan")
+    nodes = materialise(_nodes(kids), "mix-nodes")
+    n_nodes = nodes.count()
+    starts = _starts(nodes, n_nodes)
+    t0 = F.col("c") * F.lit(SEGMENT)
+    d = starts.select("node", "c", "start").join(small(nodes.drop("segments"), n_nodes), "node")
+    d = d.select("node", "c", "ids", "w", "nb", "D", F.posexplode(_run(F.col("start"), t0, True)).alias("at", "x"))
+    i, k, w = F.col("x.i"), F.col("x.block"), F.get("w", F.col("x.i"))
+    out = d.where(k < F.get("nb", i)).select(
+        "node", F.get("ids", i).alias("lane"), k.alias("block"), _div(k * F.col("D"), w).alias("release"),
+        _div((k + 1) * F.col("D") + w - 1, w).alias("deadline"), (t0 + F.col("at")).alias("slot"))
+    out = materialise(out, "mix-plan")
+    remove(starts)
+    remove(nodes)
+    return out
 
 
 def _joined(d: DataFrame, plan: DataFrame, node: str, lane: str, block: str) -> DataFrame:
@@ -190,7 +196,7 @@ def _source_plan(tree: DataFrame, depth: int, block_rows: int) -> DataFrame:
             F.sum("units").alias("units"), F.max("nb").alias("nb"))
         if need is not None:
             kids = kids.drop("nb").join(need, (F.col("node") + F.col("lane") * F.lit(MAX_LANES ** (i - 1))) == F.col("_n")).drop("_n")
-        plan = _plan(kids, None)
+        plan = _plan(kids)
         if low is None:
             mine = tree.where("j is not null").select("j", node.alias("_node"), digit(i - 1).cast("int").alias("_lane"))
             low = mine.join(plan, (F.col("_node") == F.col("node")) & (F.col("_lane") == F.col("lane"))).select(
@@ -207,7 +213,7 @@ def _source_plan(tree: DataFrame, depth: int, block_rows: int) -> DataFrame:
         kids = kids.unionByName(units.crossJoin(need.select("nb")).select(
             F.lit(0).cast("bigint").alias("node"), F.lit(MAX_LANES - 1).alias("lane"), "units", "nb"))
     kids = materialise(kids, "mix-kids")
-    plan = _plan(kids, SCALE)
+    plan = _plan(kids)
     out = plan.where(F.col("lane") < MAX_LANES - 1).select(F.lit(-1).cast("bigint").alias("j"), *plan.columns)
     if low is not None:
         shared = low.withColumns({"_node": F.lit(0).cast("bigint"), "_lane": F.lit(MAX_LANES - 1)})
@@ -217,17 +223,26 @@ def _source_plan(tree: DataFrame, depth: int, block_rows: int) -> DataFrame:
     return materialise(out, "mix-blocks")
 
 
-def place(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS,
+def _free(columns: list[str], name: str = "_mix") -> str:
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def place(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS,
           temperature: float = TEMPERATURE) -> DataFrame:
     """``docs`` with a struct column ``_mix``: lane, block, release, deadline, slot, in_block.
 
     Rows in the order of (slot, in_block) are the mix.  ``block`` counts the
-    blocks of the row's source.
+    blocks of the row's source.  A column of that name stays, and the struct
+    has underscores added.
     """
     tree, depth = _tree(_sources(docs, weights, temperature))
     plan = _source_plan(tree, depth, block_rows)
     named = tree.select(F.col("src").alias("_mix_src"), F.col("lane").alias("_mix_lane"), F.coalesce("j", F.lit(-1)).alias("_mix_j"))
-    d = docs.join(small(named, tree.count()), F.col("source").cast("string").eqNullSafe(F.col("_mix_src"))).drop("_mix_src")
+    d = docs.select("doc_id", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_mix_row"))
+    d = d.join(small(named, tree.count()), F.col("source").cast("string").eqNullSafe(F.col("_mix_src"))).drop("_mix_src")
     d = numbered(d, ["_mix_lane", "_mix_j"], ["doc_id"], "_mix_seq", few=depth == 0)
     block = F.floor(F.col("_mix_seq") / block_rows)
     d = d.withColumns({"_mix_block": block, "_mix_in": F.col("_mix_seq") % block_rows})
@@ -236,13 +251,14 @@ def place(docs: DataFrame, weights: dict[str, float] | None = None, block_rows:
                & (F.col("_mix_block") == F.col("_mix_p_block")))
     mix = F.struct(*[F.col(f"_mix_p_{c}").alias(c) for c in ("lane", "block", "release", "deadline", "slot")],
                    F.col("_mix_in").alias("in_block"))
-    return d.select(*[F.col(f"`{c}`") for c in docs.columns], mix.alias("_mix"))
+    return d.select(*[F.col(f"_mix_row.`{c}`").alias(c) for c in docs.columns], mix.alias(_free(docs.columns)))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The rows of ``docs``, range-partitioned and sorted in the order of the mix."""
-    d = place(docs, weights, block_rows).repartitionByRange("_mix.slot", "_mix.in_block")
-    return d.sortWithinPartitions("_mix.slot", "_mix.in_block").drop("_mix")
+    at = _free(docs.columns)
+    d = place(docs, weights, block_rows).repartitionByRange(f"{at}.slot", f"{at}.in_block")
+    return d.sortWithinPartitions(f"{at}.slot", f"{at}.in_block").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -190,11 +190,14 @@ def findings_in(text: str, source: str, seed: int, count: int = 6) -> list[tuple
 
 
 def labelled_findings(docs: DataFrame, hosts: int = LABELLED_HOSTS) -> DataFrame:
-    """(features array<double>, label double) from at most ``hosts`` documents and as many made-up hosts."""
-    key = F.xxhash64(F.lit(5), "doc_id")
-    ids = docs.select(key.alias("h")).where("h is not null").orderBy("h").limit(hosts).distinct()
-    host = docs.withColumn("h", key).join(F.broadcast(ids), "h", "left_semi")
-    host = host.select("h", F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"))
+    """(features array<double>, label double) from at most ``hosts`` documents and as many made-up hosts.
+
+    Rows that repeat a doc_id, and rows without one, are one host: that of the smallest text.
+    """
+    rows_of = docs.select(F.xxhash64(F.lit(5), "doc_id").alias("h"), F.col("text").cast("string").alias("text"),
+                          F.col("source").cast("string").alias("source"))
+    ids = rows_of.select("h").distinct().orderBy("h").limit(hosts)
+    host = rows_of.join(F.broadcast(ids), "h", "left_semi").groupBy("h").agg(F.min(F.struct("text", "source")).alias("x")).select("h", "x.text", "x.source")
     blank = docs.sparkSession.range(hosts // 2, numPartitions=2).select(
         F.xxhash64("id").alias("h"), F.lit("").alias("text"),
         F.concat(F.element_at(F.array(*[F.lit(p) for p in ("src/main/", "src/test/", "docs/", "config/", "examples/", "lib/")]),

@@ -133,16 +133,21 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAIN) -> DataFrame:
-    """(text, y) of at most ``bound`` labelled documents that are not held out."""
+    """(text, y) of at most ``bound`` labelled documents that are not held out; rows that repeat a doc_id are one, of the smallest text."""
     y = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     y = y.groupBy(F.col("doc_id").cast("bigint").alias("id")).agg(F.max("toxic").cast("int").alias("y"))
     chosen = y.orderBy(F.xxhash64(F.lit(9), "id"), "id").limit(bound)
-    return docs.join(F.broadcast(chosen), F.col("doc_id").cast("bigint") == F.col("id")).select(F.col("text").cast("string"), "y")
+    found = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "id")
+    return found.groupBy("id", "y").agg(F.min("text").alias("text")).select("text", "y")
 
 
 def learn(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAIN) -> Lexicon:
-    """Term weights, exception phrases and coefficients; what comes to the
-    driver is bounded by MAX_TERMS and ``bound``."""
+    """Term weights, exception phrases and coefficients.
+
+    The fit is on a bounded sample and so is what comes to the driver: at most
+    ``bound`` rows, and of the terms and of the phrases the MAX_TERMS of most
+    weight or use.  Terms are words of 3 to 40 letters and beginnings of words.
+    """
     prepare(docs.sparkSession)
     rows = materialise(training_rows(docs, labels, bound), "tox-train")
     n, pos = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
@@ -171,8 +176,9 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAIN) -> Lexicon
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 f, seen = fold(t), set()
                 for s, _ in model.matches(f):
-                    before, after = f[:s].rpartition(" ")[2], f[s + 1:s + 80].split(" ")
-                    seen |= {f"{before} {after[0]}".strip(), " ".join(after[:2]).strip()}
+                    one = (f.find(" ", s + 1) + 1 or len(f) + 1) - 1          # ends of the word at the match and of the next
+                    two = (f.find(" ", one + 1) + 1 or len(f) + 1) - 1
+                    seen |= {f"{f[f.rfind(' ', 0, s) + 1:s]} {f[s + 1:one]}".strip(), f[s + 1:two].strip()}
                 out += [(p, y) for p in sorted(seen) if " " in p]
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.string()), pa.array([y for _, y in out], pa.int32())], ["phrase", "y"])
 
@@ -185,7 +191,7 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAIN) -> Lexicon
             x = [model.inputs(t.as_py())[:2] for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in x]), pa.array([v for _, v in x]), b.column(1)], ["a", "b", "y"])
 
-    xy = np.array([tuple(r) for r in rows.mapInArrow(values, "a double, b double, y int").orderBy("a", "b", "y").collect()], float)
+    xy = np.array(sorted(tuple(r) for r in rows.mapInArrow(values, "a double, b double, y int").collect()), float)
     model.coef = _logistic(xy[:, :2], xy[:, 2])
     return model
 

@@ -75,3 +75,11 @@ def test_features_of_the_whole_candidate():
     assert np.allclose(got[3:7], [(4096 + 5000) / n, 5000 / n, 5000 / n, 5000 / n])
     freq = np.array([4096, 5000, 5000, 5000, 5000]) / n
     assert np.isclose(got[2], -(freq * np.log2(freq)).sum()) and np.isclose(sum(got[7:23]), 1) and np.isclose(got[24], 5 / n)
+
+
+def test_fit_is_bounded_where_ids_repeat(spark):
+    """20,000 rows of one doc_id, and of none, are one host each."""
+    rows = spark.range(40_000).selectExpr("case when id < 20000 then 7 end as doc_id", "concat('some words of row ', id) as text", "'a.py' as source")
+    two = sec.labelled_findings(rows, hosts=10).count()
+    one = sec.labelled_findings(rows.limit(1), hosts=10).count()
+    assert one <= two <= 2 * one

@@ -80,3 +80,11 @@ def test_folding_of_all_characters():
     bold = "".join(chr(0x1D41A + ord(c) - 97) for c in "snorgle")
     assert tx.fold(bold) == tx.fold("snorgle") == tx.fold("\U0001F600snorgle\u3002")
     assert tx.fold("snor\u200bg\u00adle") == tx.fold("snorgle\ufe0f") == tx.fold("snorgle")
+
+
+def test_training_rows_are_bounded_where_ids_repeat(spark):
+    docs = spark.range(20_000).selectExpr("id % 4 * 3 as doc_id", "concat('text ', id) as text").unionByName(
+        spark.range(100).selectExpr("cast(null as bigint) as doc_id", "'no id' as text"))
+    labels = spark.range(0, 60).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic").unionAll(spark.sql("select cast(null as bigint), 1"))
+    got = tx.training_rows(docs, labels, bound=10)
+    assert got.count() <= 4 and got.columns == ["text", "y"]

@@ -83,6 +83,19 @@ def s1_csv_ingest(spark, sf_dir):
                     F.unix_micros("timestamp").alias("t_us"), r6("t_rel").alias("t_rel"))
 
 
+@register("s1_blank_lines", q.with_view(f"""
+select event_id as original_row_idx, case_id, row_idx, label, {q.r6('altitude')} as altitude, t_us from t"""))
+def s1_blank_lines(spark, sf_dir):
+    """Files that begin with blank lines and hold others between their rows: no row is lost."""
+    raw = events_as_csv(spark, sf_dir)
+    path = os.path.join(checkpoint_dir(spark), f"blank_csv_{uuid.uuid4().hex[:10]}")
+    whole = spark.read.text(raw, wholetext=True).select(
+        F.xxhash64("_metadata.file_path").alias("file"), F.concat(F.lit("\n  \n"), F.regexp_replace("value", "\n", "\n\n")).alias("value"))
+    whole.write.partitionBy("file").text(path)                        # one file each again
+    d = ingest.load_dataset(spark, path)
+    return d.select("original_row_idx", "case_id", "row_idx", "label", r6("altitude").alias("altitude"), F.unix_micros("timestamp").alias("t_us"))
+
+
 @register("f4_replicate_split", q.with_view("""
 select case when replicate = 3 then 'test' else 'train' end as part, cast(count(*) as bigint) as n,
   cast(count(distinct case_id) as bigint) as n_cases

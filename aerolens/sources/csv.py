@@ -7,6 +7,7 @@
   not passed through doubles;
 * timestamps are ISO 8601, with or without a fraction; a text without an
   offset is UTC in any session zone; an unparsable one becomes NULL;
+* blank lines are skipped, also before the header;
 * rows with ``row_idx`` 0 (or missing) are dropped;
 * ``_ord`` = ingest ordinal, the stable tie-break for equal ``row_idx``: files
   in the order of their paths, rows in the order of the file;
@@ -36,7 +37,7 @@ _FILE_BITS = 42
 
 
 def _first_lines(spark: SparkSession, files: list[str]) -> dict[str, str]:
-    """The first line of each file, read by the driver (one line a file)."""
+    """The first line of each file that isn't blank, read by the driver (one line a file)."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
     out = {}
@@ -45,7 +46,10 @@ def _first_lines(spark: SparkSession, files: list[str]) -> dict[str, str]:
         stream = path.getFileSystem(conf).open(path)
         codec = codecs.getCodec(path)
         reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8"))
-        out[f] = reader.readLine() or ""
+        line = reader.readLine()
+        while line is not None and not line.strip():
+            line = reader.readLine()
+        out[f] = line or ""
         reader.close()
     return out
 

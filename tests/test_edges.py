@@ -114,3 +114,24 @@ def test_roc_starts_at_the_origin(spark):
     got = {(r["threshold"], r["fpr"], r["tpr"]) for r in curves.roc_curve(df, "score").collect()}
     assert got == {(None, 0.0, 0.0), (0.9, 0.0, 1.0), (0.8, 0.5, 1.0), (0.3, 1.0, 1.0)}
     assert curves.roc_curve(df, "score", start=False).count() == 3
+
+
+def test_interval_join_of_many_segments(spark):
+    """10,000 segments in one flight, some overlapping, some over many bins, beyond the flight and on a missing key."""
+    import random
+    rng = random.Random(4)
+    rows = spark.range(-50, 40_000).select(F.col("id").alias("row_idx"), F.lit(3).alias("replicate"), F.lit(None).cast("bigint").alias("case_id"),
+        *[F.lit(1.0).alias(c) for c in ("altitude", "speed", "heading", "latitude", "longitude")], F.lit(0).alias("label"), F.lit("normal").alias("tamper_type"))
+    types = ["altitude_spike", "coordinate_jump", "speed_inconsistency", "heading_inconsistency"]
+    segments = [(a := rng.randint(-60, 41_000), a + rng.choice([0, 1, 3, 30]), rng.choice(types)) for _ in range(10_000)]
+    segments += [(100, 10**12, "speed_inconsistency"), (39_000, 39_500, "altitude_spike"), (50, 40, "altitude_spike"), (20_000, 20_000 + 2**17, "coordinate_jump")]
+    plan = spark.createDataFrame([(3, None, a, b, t) for a, b, t in segments], "replicate int, case_id bigint, start_row bigint, end_row bigint, type string")
+    out = inject_anomalies(rows.unionByName(rows.limit(1).withColumn("row_idx", F.lit(None).cast("bigint"))), plan)
+    got = {r["row_idx"]: r["tamper_type"] for r in out.select("row_idx", "tamper_type").collect()}
+    want = {}
+    for a, b, t in sorted(segments):
+        for i in range(max(a, -50), min(b, 39_999) + 1):
+            want[i] = t
+    assert len(got) == 40_051 and got == {i: want.get(i, "normal") for i in got}
+    plan_text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "_p_bin" in plan_text

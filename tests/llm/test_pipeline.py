@@ -11,7 +11,7 @@ from aerolens.llm import op6_mixing, queries
 
 def test_registered():
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
-    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 14))
     assert [n for n, _ in cp.STAGES] == ["quality_rules", "near_dedup", "secret_scan", "source_mixing", "packing"]
 
 

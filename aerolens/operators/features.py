@@ -15,9 +15,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from aerolens.functions.rolling import RollingSet, rolling
+from aerolens.functions.rolling import RollingSet
 from aerolens.operators import frames
-from aerolens.operators.statistical import BASE_COLUMNS, required_halo, with_base_deltas
+from aerolens.operators.statistical import BASE_COLUMNS, with_base_deltas
 from aerolens.schema import DEFAULT_FEATURE_WINDOW, DEFAULT_FLIGHT_KEYS, FEATURE_NAMES, ORDER_COLUMNS
 
 FILL_MODES = ("backfill", "causal", "none")
@@ -63,40 +63,6 @@ def add_feature_columns(df: DataFrame, layout: frames.FlightLayout,
     return df.withColumns(out).drop(*rs.names(), "_abs_d_heading", "_spd_gps")
 
 
-def feature_columns(layout: frames.FlightLayout, window: int = DEFAULT_FEATURE_WINDOW) -> dict:
-    """Raw (unfilled) feature expressions as self-contained window columns."""
-    w = layout.window()
-    n = int(window)
-    m = max(2, n // 2)
-    r = lambda c, op: rolling(c, w, n, op, m)
-    out = {}
-    for src, p in (("altitude", "alt"), ("speed", "spd")):
-        s = F.col(src)
-        out[f"{p}_mean"] = r(s, "mean")
-        out[f"{p}_std"] = r(s, "std")
-        out[f"{p}_range"] = r(s, "max") - r(s, "min")
-        out[f"{p}_slope"] = (s - F.lag(s, n - 1).over(w)) / F.lit(float(n))
-    hd = F.col("_d_heading")
-    out["hdg_diff_mean"] = r(hd, "mean")
-    out["hdg_diff_std"] = r(hd, "std")
-    out["hdg_diff_abs_max"] = r(F.abs(hd), "max")
-    g = F.col("_gps_step")
-    out["gps_step_mean"] = r(g, "mean")
-    out["gps_step_std"] = r(g, "std")
-    out["gps_step_max"] = r(g, "max")
-    dt = F.col("_dt_raw")
-    gps_speed = g / F.nullif(dt, F.lit(0.0))
-    out["speed_vs_gps"] = r(F.abs(F.col("speed") - gps_speed), "mean")
-    dtu = F.col("_dt_us")
-    fw = w.rowsBetween(-(n - 1), 0)
-    cnt = F.count(dtu).over(fw)
-    out["dt_mean"] = F.when(cnt >= F.lit(m), F.sum(dtu).over(fw) / cnt / F.lit(1e6))
-    out["dt_std"] = r(dt, "std")
-    out["dt_max"] = r(dt, "max")
-    out["dt_min"] = r(dt, "min")
-    return out
-
-
 def _with_sample_var(df: DataFrame) -> DataFrame:
     z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     return df.withColumn("sample_var_score",

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from aerolens.functions.geo import circular_diff, haversine_m
-from aerolens.functions.rolling import RollingSet, default_min_periods, rolling
+from aerolens.functions.rolling import RollingSet, default_min_periods
 from aerolens.functions.text import any_true, join_reasons, null_to_false
 from aerolens.operators import frames
 from aerolens.schema import DEFAULT_FLIGHT_KEYS, DEFAULT_STAT_CONFIG, FREEZE_REASON, L2_CHANNELS
@@ -79,41 +79,6 @@ def add_change_columns(df: DataFrame, layout: frames.FlightLayout,
     return df.drop(*rs.names(), "_freeze")
 
 
-def change_columns(layout: frames.FlightLayout, config: dict | None = None) -> dict:
-    """Column expressions of L2 (self-contained window expressions; the
-    ``add_change_columns`` form shares aggregates and is faster)."""
-    cfg = DEFAULT_STAT_CONFIG if config is None else config
-    w = layout.window()
-    n = int(cfg["window"])
-    min_std = float(cfg["min_std"])
-    th = float(cfg["z_threshold"])
-    deltas = {
-        "altitude": F.col("_d_altitude"),
-        "speed": F.col("_d_speed"),
-        "heading": F.col("_d_heading"),
-        "gps_step": F.col("_gps_step"),
-    }
-    out = {}
-    flags = []
-    for ch in L2_CHANNELS:
-        d = deltas[ch]
-        mean = rolling(d, w, n, "mean")
-        std = rolling(d, w, n, "std")
-        z = F.when(std.isNotNull(), (d - mean) / F.greatest(std, F.lit(min_std)))
-        out[f"z_{ch}"] = z
-        flags.append((null_to_false(F.abs(z) > F.lit(th)), f"sudden_{ch}"))
-    fw = int(cfg["freeze_window"])
-    fm = default_min_periods(fw)
-    freeze = null_to_false(
-        (rolling(F.col("speed"), w, fw, "std", fm) < F.lit(float(cfg["freeze_speed_std"])))
-        & (rolling(F.col("heading"), w, fw, "std", fm) < F.lit(float(cfg["freeze_heading_std"])))
-        & (rolling(F.col("_gps_step"), w, fw, "std", fm) < F.lit(float(cfg["freeze_gps_std"]))))
-    flags.append((freeze, FREEZE_REASON))
-    out["alert_change"] = any_true([f for f, _ in flags])
-    out["change_reasons"] = join_reasons(flags)
-    return out
-
-
 def required_halo(config: dict | None = None, feature_window: int = 0) -> int:
     cfg = DEFAULT_STAT_CONFIG if config is None else config
     return max(int(cfg["window"]), int(cfg["freeze_window"]), int(feature_window)) + 1

@@ -270,7 +270,7 @@ def fit_boosting(df: DataFrame, cols: list[str], s: Settings) -> list[tuple]:
     else:
         schema = "number int, feature array<int>, cut array<int>, left array<int>, right array<int>, value array<double>"
         trees = []
-        for r in blocks.mapInArrow(partial(_boost_block, n_features=len(cols), s=s), schema).orderBy("number").collect():   # one row a tree
+        for r in sorted(blocks.mapInArrow(partial(_boost_block, n_features=len(cols), s=s), schema).collect(), key=lambda r: r["number"]):   # one row a tree
             t = Tree()
             t.feature, t.cut, t.left, t.right, t.value = (list(r[c]) for c in ("feature", "cut", "left", "right", "value"))
             trees.append(t)

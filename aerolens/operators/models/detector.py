@@ -4,7 +4,7 @@
 max_train_samples=None, params={})``:
 
 * unsupervised (isolation_forest, one_class_svm, lof): fit on label = 0
-  rows, threshold = exact ``threshold_percentile``-th percentile of the
+  rows (one_class_svm by its exact dual, or ``solver="features"`` for the approximation), threshold = exact ``threshold_percentile``-th percentile of the
   training scores; alert when score < threshold (low = anomalous);
 * supervised (random_forest -> MLlib RandomForestClassifier, xgboost ->
   histogram boosting): fit on all labelled rows with class weights,
@@ -30,7 +30,7 @@ from aerolens.operators import curves
 from aerolens.operators.combine import ml_decision
 from aerolens.operators.features import compute_features
 from aerolens.operators.frames import HOT_ROWS
-from aerolens.operators.models import boosting, iforest, lof, ocsvm
+from aerolens.operators.models import boosting, iforest, lof, ocsvm, ocsvm_dual
 from aerolens.operators.models.sampling import class_weights, subsample, weight_column
 from aerolens.schema import (DEFAULT_FEATURE_WINDOW, DEFAULT_FLIGHT_KEYS, DEFAULT_MAX_TRAIN_SAMPLES,
                              FEATURE_NAMES, SUPERVISED, SUPPORTED_ALGOS, UNSUPERVISED)
@@ -122,7 +122,10 @@ class AnomalyDetector:
         elif self.algorithm == "lof":
             R, kd, lrd, k = lof.fit_lof(spark, clean, cols, int(self._p("n_neighbors", 20)))
             self.model = ("lof", R, kd, lrd, k)
-        else:
+        elif self._p("solver", "dual") == "dual":
+            self.model = ("one_class_svm_dual", *ocsvm_dual.fit_dual(spark, clean, cols, float(self._p("nu", 0.05)),
+                                                                    self._p("gamma", "scale")))
+        else:                                            # solver "features": the approximation
             W, b, w, rho = ocsvm.fit_ocsvm(spark, clean, cols, float(self._p("nu", 0.05)),
                                            self._p("gamma", "scale"),
                                            int(self._p("n_components", 256)),
@@ -163,6 +166,8 @@ class AnomalyDetector:
             return lof.score_column(spark, *self.model[1:], cols)
         if kind == "xgboost":
             return boosting.score_column(spark, self.model[1], cols)
+        if kind == "one_class_svm_dual":
+            return ocsvm_dual.score_column(spark, *self.model[1:], cols)
         return ocsvm.score_column(spark, *self.model[1:], cols)
 
     def _raw_scores(self, df: DataFrame) -> DataFrame:
@@ -222,6 +227,11 @@ class AnomalyDetector:
             spark.createDataFrame(rows, "id long, x array<double>, kdist double, lrd double") \
                 .write.mode("overwrite").parquet(f"{path}/reference")
             extra = {"k": k}
+        elif kind == "one_class_svm_dual":
+            _, S, a, c, rho, gamma = self.model
+            rows = [(S[i].tolist(), int(c[i]), float(a[i])) for i in range(len(S))]
+            spark.createDataFrame(rows, ocsvm_dual.SV_SCHEMA).write.mode("overwrite").parquet(f"{path}/vectors")
+            extra = {"rho": rho, "gamma": gamma}
         else:
             _, W, b, w, rho = self.model
             rows = [(j, W[:, j].tolist(), float(b[j]), float(w[j])) for j in range(W.shape[1])]
@@ -254,6 +264,10 @@ class AnomalyDetector:
             rows = spark.read.parquet(f"{path}/reference").orderBy("id").collect()
             det.model = ("lof", np.array([r["x"] for r in rows]), np.array([r["kdist"] for r in rows]),
                          np.array([r["lrd"] for r in rows]), extra["k"])
+        elif "gamma" in extra:
+            rows = spark.read.parquet(f"{path}/vectors").collect()
+            det.model = ("one_class_svm_dual", np.array([r["x"] for r in rows]), np.array([r["a"] for r in rows]),
+                         np.array([r["c"] for r in rows]), extra["rho"], extra["gamma"])
         else:
             rows = spark.read.parquet(f"{path}/rff").orderBy("j").collect()
             W = np.array([r["wcol"] for r in rows]).T

@@ -85,6 +85,35 @@ def m8_one_class_svm(spark, sf_dir):
     return _checked(spark, sf_dir, "one_class_svm")
 
 
+@register("m8_dual_conditions", q.with_view("""
+select cast(count(*) as bigint) as n_rows, cast(0 as bigint) as n_breaks, true as weights_fit, true as outliers_fit, true as vectors_fit
+from t where replicate <> 3 and label = 0"""))
+def m8_dual_conditions(spark, sf_dir):
+    """Optimality of the one-class SVM on every fitted row, which no other score keeps: rows without weight score
+    0 or more, rows at their bound 0 or less, all others 0; the weights add up to nu n; the rows below 0 are at most
+    nu n and the support vectors at least that."""
+    train, _ = _split(spark, sf_dir)
+    det = AnomalyDetector("one_class_svm", max_train_samples=1_000_000_000, params={"nu": 0.05})
+    clean = det.with_features(train).where("label = 0").persist()
+    det.fit(clean)
+    _, S, a, c, _, _ = det.model
+    weights = spark.createDataFrame([(S[i].tolist(), int(c[i]), float(a[i])) for i in range(len(S))], "x array<double>, c long, a double")
+    x = F.array(*[F.col(k).cast("double") for k in det.feature_names]).alias("x")
+    rows = det.predict(clean).select(x, "ml_score").groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.min("ml_score").alias("s"))
+    tol = 0.002                                            # the solver's tolerance, and as much for rounding
+    s, w = F.col("s"), F.coalesce(F.col("a"), F.lit(0.0))
+    j = rows.join(weights, "x", "left").withColumn("w", w)
+    breaks = ((F.col("w") < F.col("n")) & (s < -tol)) | ((F.col("w") > 0) & (s > tol))
+    share = 0.05 * F.sum("n")
+    out = j.agg(F.sum("n").alias("n_rows"), F.sum(F.when(breaks, F.col("n")).otherwise(0)).alias("n_breaks"),
+                ((F.abs(F.sum("w") - share) < 1e-6) & (F.count_if(F.col("c") != F.col("n")) == 0)).alias("weights_fit"),
+                (F.sum(F.when(s < -tol, F.col("n")).otherwise(0)) <= share).alias("outliers_fit"),
+                (F.sum(F.when(F.col("w") > 0, F.col("n")).otherwise(0)) >= share).alias("vectors_fit"))
+    row = out.collect()
+    clean.unpersist()
+    return spark.createDataFrame(row, out.schema)
+
+
 @register("m4_random_forest", _CHECKED)
 def m4_random_forest(spark, sf_dir):
     return _checked(spark, sf_dir, "random_forest")

@@ -95,7 +95,8 @@ def test_unknown_algorithm_and_predict_before_fit(tele):
 @pytest.mark.parametrize("algo,params", [
     ("isolation_forest", {"n_estimators": 20}),
     ("lof", {"n_neighbors": 5}),
-    ("one_class_svm", {"iters": 10, "n_components": 32}),
+    ("one_class_svm", {}),
+    ("one_class_svm", {"solver": "features", "iters": 10, "n_components": 32}),
     ("random_forest", {"n_estimators": 5, "max_depth": 4, "min_samples_leaf": 2}),
     ("xgboost", {"n_estimators": 5, "max_depth": 3}),
 ])

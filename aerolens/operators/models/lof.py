@@ -31,10 +31,11 @@ def _knn(Q: np.ndarray, R: np.ndarray, k: int):
         d2 = (q * q).sum(axis=1)[:, None] + rn[None, :] - 2.0 * q @ R.T
         np.maximum(d2, 0.0, out=d2)
         part = np.argpartition(d2, k - 1, axis=1)[:, :k]
-        pd2 = np.take_along_axis(d2, part, axis=1)
-        order = np.argsort(pd2, axis=1)
+        # the product form cancels where rows are close: distances of those picked from their differences
+        exact = np.sqrt(((q[:, None, :] - R[part]) ** 2).sum(axis=2))
+        order = np.argsort(exact, axis=1)
         idx_out[s:s + CHUNK] = np.take_along_axis(part, order, axis=1)
-        dist_out[s:s + CHUNK] = np.sqrt(np.take_along_axis(pd2, order, axis=1))
+        dist_out[s:s + CHUNK] = np.take_along_axis(exact, order, axis=1)
     return idx_out, dist_out
 
 

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from aerolens.operators.combine import ml_decision
 from aerolens.operators.features import compute_features
 from aerolens.operators import curves
-from aerolens.operators.models import AnomalyDetector, boosting, compare_algorithms, iforest
+from aerolens.operators.models import AnomalyDetector, boosting, compare_algorithms, iforest, lof, neighbours
+from aerolens.operators.models.ocsvm_dual import points_of
 from aerolens.operators.models.sampling import class_weight_table, subsample
 from aerolens.plans import sqlkit as q
 from aerolens.plans.registry import r6, register, tele
@@ -85,6 +86,80 @@ def m8_one_class_svm(spark, sf_dir):
     return _checked(spark, sf_dir, "one_class_svm")
 
 
+_CH = ("altitude", "speed", "heading")
+_D = "sqrt(" + " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in _CH) + ")"
+
+
+@register("m7_lof_scores", q.with_view(f"""
+select event_id, floor(avg(-b.lrd / a.lrd) * 10000.0 + 0.5) / 10000.0 as lof_score
+from (select event_id, 1.0 / (avg(greatest(kdist, dist)) + 1e-10) as lrd from near join dens using (nbr) group by event_id) a
+join (select event_id, nbr from near) using (event_id) join (select nbr, lrd as lrd from dens) b using (nbr)
+group by event_id""", f"""
+f as (select event_id, replicate, label, {', '.join(f'coalesce({c}, 0.0) as {c}' for c in _CH)} from t),
+ref as (select * from f where replicate <> 3 and label = 0),
+rr as (select a.event_id, b.event_id as nbr, {_D} as dist from ref a join ref b on a.event_id <> b.event_id
+  qualify row_number() over (partition by a.event_id order by dist, b.event_id) <= 20),
+kd as (select event_id as nbr, max(dist) as kdist from rr group by event_id),
+dens as (select rr.event_id as nbr, any_value(k0.kdist) as kdist, 1.0 / (avg(greatest(kd.kdist, dist)) + 1e-10) as lrd
+  from rr join kd using (nbr) join kd k0 on k0.nbr = rr.event_id group by rr.event_id),
+near as (select a.event_id, b.event_id as nbr, {_D} as dist from f a cross join ref b where a.replicate = 3
+  qualify row_number() over (partition by a.event_id order by dist, b.event_id) <= 20)"""))
+def m7_lof_scores(spark, sf_dir):
+    """LOF scores of the test rows from three channels, equal to a plain SQL LOF.  The reference set is the production
+    cap of 50,000 clean rows, which cuts nothing at sf0.01, where SQL is compared."""
+    train, test = (d.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in _CH}) for d in _split(spark, sf_dir))
+    R, kd, lrd, k = lof.fit_lof(spark, subsample(train.where("label = 0"), 50_000), _CH, 20)
+    score = lof.score_column(spark, R, kd, lrd, k, _CH)
+    return test.select("event_id", score.alias("s")).select("event_id", (F.floor(F.col("s") * 10000.0 + 0.5).cast("double") / 10000.0).alias("lof_score"))
+
+
+@register("m7_neighbour_recall", q.with_view("""
+select cast(count(*) as bigint) as n_rows, cast(0 as bigint) as n_without_factor, true as recall_fits from t where label = 0"""))
+def m7_neighbour_recall(spark, sf_dir):
+    """Outlier factors of all clean rows without a cap, and the recall of their 20 nearest neighbours, measured by a
+    full search for the points whose hash is divisible by 50: 0.9 at least."""
+    clean = neighbours.written(compute_features(tele(spark, sf_dir)).where("label = 0").select(*FEATURE_NAMES))
+    out = neighbours.outlier_factors(clean, FEATURE_NAMES)
+    points = neighbours.written(neighbours.with_ids(points_of(clean, FEATURE_NAMES)))
+    some = points.where(F.pmod(F.xxhash64("id"), F.lit(50)) == 0)
+    share = neighbours.recall(neighbours.nearest(points), neighbours.nearest_exact(points, some)).first()["recall"]
+    return out.agg(F.sum("c").alias("n_rows"), F.count_if(F.col("lof").isNull() | F.isnan("lof") | (F.col("lof") <= 0)).alias("n_without_factor"),
+                   F.lit(share is None or share >= 0.9).alias("recall_fits"))
+
+
+@register("m6_path_lengths", q.with_view("""
+select cast(count(*) as bigint) as n_rows, cast(0 as bigint) as n_differs, true as far_row_is_low from t where replicate = 3"""))
+def m6_path_lengths(spark, sf_dir):
+    """Isolation forest scores of the test rows, worked out again by joins from the tables of the trees: a row moves to
+    a child node per join, and its score follows from the mean path length.  A row far from all others is among the
+    lowest 2 in 100."""
+    train, test = _split(spark, sf_dir)
+    det = AnomalyDetector("isolation_forest").fit(train)
+    rows = compute_features(test).persist()
+    trees, psi = det.model[1], det.model[2]
+    flat = [(t, n, int(fe[n]), float(th[n]), int(le[n]), int(ri[n]), float(sz[n])) for t, (fe, th, le, ri, sz) in enumerate(trees) for n in range(len(fe))]
+    nodes = spark.createDataFrame(flat, "tree int, node int, feature int, cut double, l int, r int, size double")   # trees x (2 psi - 1) rows at most
+    at = rows.select("event_id", F.array(*FEATURE_NAMES).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(len(trees) - 1))).alias("tree"),
+                     F.lit(0).alias("node"), F.lit(0).alias("depth"))
+    inner = F.col("feature") >= 0
+    for _ in range((psi - 1).bit_length()):
+        at = at.join(F.broadcast(nodes.drop("size")), ["tree", "node"]).select(
+            "event_id", "x", "tree", F.when(~inner, F.col("node")).when(F.get("x", F.col("feature")) <= F.col("cut"), F.col("l")).otherwise(F.col("r")).alias("node"),
+            (F.col("depth") + inner.cast("int")).alias("depth"))
+    rest = lambda n: F.when(n > 2, 2.0 * (F.log(n - 1.0) + 0.5772156649015329) - 2.0 * (n - 1.0) / n).when(n == 2, 1.0).otherwise(0.0)
+    length = at.join(F.broadcast(nodes.select("tree", "node", "size")), ["tree", "node"]).groupBy("event_id").agg(F.avg(F.col("depth") + rest(F.col("size"))).alias("h"))
+    again = length.select("event_id", (-F.pow(F.lit(2.0), -F.col("h") / rest(F.lit(float(psi))))).alias("s2"))
+    scored = det.predict(rows).select("event_id", "ml_score")
+    far = rows.agg(*[(F.max(c) + 10.0 * (F.max(c) - F.min(c)) + 1.0).alias(c) for c in FEATURE_NAMES])
+    low = det.predict(far).first()["ml_score"] if rows.limit(1).count() else None
+    j = scored.join(again, "event_id", "left")
+    out = j.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~F.coalesce(F.abs(F.col("ml_score") - F.col("s2")) < 1e-9, F.lit(False))).alias("n_differs"),
+                F.coalesce(F.count_if(F.col("ml_score") < F.lit(low)) <= 0.02 * F.count(F.lit(1)), F.lit(True)).alias("far_row_is_low"))
+    row = out.collect()
+    rows.unpersist()
+    return spark.createDataFrame(row, out.schema)
+
+
 @register("m8_dual_conditions", q.with_view("""
 select cast(count(*) as bigint) as n_rows, cast(0 as bigint) as n_breaks, true as weights_fit, true as outliers_fit, true as vectors_fit
 from t where replicate <> 3 and label = 0"""))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from aerolens.plans import q_layers, q_eval, q_segments, q_curves, q_ingest, q_models, q_stream, q_inject, q_sinks, q_primitives  # noqa: F401
+from aerolens.plans import q_layers, q_eval, q_segments, q_curves, q_ingest, q_models, q_stream, q_inject, q_sinks, q_primitives, q_sketches  # noqa: F401
 from aerolens.plans.registry import ORACLE, QUERIES
 
 

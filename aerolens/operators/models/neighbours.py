@@ -132,24 +132,38 @@ def leaves(points: DataFrame, trees: int = TREES, leaf: int = LEAF, seed: int =
         step += 1
 
 
-def _distances(Q: np.ndarray, R: np.ndarray) -> np.ndarray:
-    d2 = np.zeros((len(Q), len(R)))
-    for f in range(Q.shape[1]):
-        d = Q[:, f, None] - R[None, :, f]
-        d2 += d * d
-    return np.sqrt(d2)
-
-
 def _nearest(q: pd.DataFrame, r: pd.DataFrame, k: int):
-    """The k points of ``r`` nearest to each of ``q``, but the point itself."""
+    """The k points of ``r`` nearest to each of ``q``, but the point itself.
+
+    Distances by a matrix product leave out those that are too far by more than
+    its error; the rest are worked out and ordered exactly.
+    """
     r = r.sort_values("id")
-    D = _distances(np.vstack(q["x"].to_numpy()), np.vstack(r["x"].to_numpy()))
+    Q, R = np.vstack(q["x"].to_numpy()), np.vstack(r["x"].to_numpy())
     ids, names, w = q["id"].to_numpy(), r["id"].to_numpy(), r["c"].to_numpy()
-    D[ids[:, None] == names[None, :]] = np.inf
-    pick = np.argsort(D, axis=1, kind="stable")[:, :k]
-    dist = np.take_along_axis(D, pick, axis=1).ravel()
-    out = pd.DataFrame({"id": np.repeat(ids, pick.shape[1]), "nbr": names[pick].ravel(), "dist": dist, "w": w[pick].ravel()})
-    return out[np.isfinite(dist)]
+    own = pd.Index(names).get_indexer(ids)
+    mid = R.mean(axis=0)
+    A, B = Q - mid, R - mid
+    a, b = (A * A).sum(axis=1), (B * B).sum(axis=1)
+    error = 1e-12 * (a + b.max())
+    if len(R) > k + 1 and np.isfinite(error).all():
+        d2 = a[:, None] + b[None, :] - 2.0 * (A @ B.T)
+        known = np.flatnonzero(own >= 0)
+        d2[known, own[known]] = np.inf
+        row, col = np.nonzero(d2 <= (np.partition(d2, k - 1, axis=1)[:, k - 1] + 4.0 * error)[:, None])
+    else:
+        row, col = (v.ravel() for v in np.indices((len(Q), len(R))))
+    row, col = row[col != own[row]], col[col != own[row]]
+    d2 = np.zeros(len(row))
+    for f in range(Q.shape[1]):
+        d = Q[row, f] - R[col, f]
+        d2 += d * d
+    dist = np.sqrt(d2)
+    row, col, dist = row[np.isfinite(dist)], col[np.isfinite(dist)], dist[np.isfinite(dist)]
+    order = np.lexsort((col, dist, row))
+    row, col, dist = row[order], col[order], dist[order]
+    near = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return pd.DataFrame({"id": ids[row[near]], "nbr": names[col[near]], "dist": dist[near], "w": w[col[near]]})
 
 
 def _merged(pairs: DataFrame, points: DataFrame, k: int) -> DataFrame:
@@ -202,16 +216,18 @@ def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
                     (F.sum(F.least("want", F.coalesce("got", F.lit(0)))) / F.sum("want")).alias("recall"))
 
 
-def outlier_factors(rows: DataFrame, feature_cols, k: int = 20, trees: int = TREES, leaf: int = LEAF, seed: int = 42) -> DataFrame:
+def outlier_factors(rows: DataFrame, feature_cols, k: int = 20, trees: int = TREES, leaf: int = LEAF, seed: int = 42,
+                    found: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(id, x, c, kdist, lrd, lof) of every different row: local outlier factors (Breunig et al. 2000) among all rows.
 
     ``c`` rows are equal to the point; near 1 is usual, larger is more
-    anomalous.  With fewer than k other rows all are neighbours.
+    anomalous.  With fewer than k other rows all are neighbours.  ``found`` are the
+    written points and their ``nearest``, if the caller has them.
     """
-    points = written(with_ids(points_of(rows, feature_cols)))
+    points = found[0] if found else written(with_ids(points_of(rows, feature_cols)))
     if points.agg(F.sum("c")).first()[0] in (None, 1):
         raise ValueError("LOF needs at least two rows")
-    knn = written(nearest(points, k, trees, leaf, seed))
+    knn = found[1] if found else written(nearest(points, k, trees, leaf, seed))
     own = F.least(F.col("c") - 1, F.lit(k))
     last = knn.groupBy("id").agg(F.max("dist").alias("kdist"))
     base = points.join(last, "id", "left").withColumn("kdist", F.coalesce("kdist", F.lit(0.0))).withColumn("own", own)

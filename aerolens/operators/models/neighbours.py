@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from aerolens.operators.models import knn
 from aerolens.operators.models.ocsvm_dual import points_of
-from aerolens.session import checkpoint_dir, ship_package
+from aerolens.session import checkpoint_dir, ship_package, shuffles_let_go
 
 TREES = 10
 LEAF = 512
@@ -59,13 +59,9 @@ def _folder(spark: SparkSession) -> str:
 
 def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """``df`` as a table in the shared folder, which later jobs read; what was shuffled for it is let go."""
-    spark, path, name = df.sparkSession, path or _folder(df.sparkSession), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "true")
-    try:
+    spark, path = df.sparkSession, path or _folder(df.sparkSession)
+    with shuffles_let_go(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(name, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -190,8 +190,10 @@ def leaves(points: DataFrame, trees: int = TREES, leaf: int = LEAF, seed: int =
                     yield pa.RecordBatch.from_arrays([b.column("id"), _packed(X), b.column("c"), _lists(nodes)], ["id", "x", "c", "nodes"])
 
         rows = points.select("id", "x", "c").mapInArrow(place, _PLACED)
-        opened = written(_sizes(rows).where(F.col("n") > leaf))
+        path = _folder(spark)
+        opened = written(_sizes(rows).where(F.col("n") > leaf), path)
         if opened.isEmpty():
+            _removed(spark, path)
             break
         every = _by_tree(rows)
         step = len(passes)
@@ -200,7 +202,9 @@ def leaves(points: DataFrame, trees: int = TREES, leaf: int = LEAF, seed: int =
         share = F.pmod(F.xxhash64("id", "tree", F.lit(seed + step)), F.lit(1 << 30)) / F.lit(float(1 << 30))
         drawn = every.select("id", "x", "tree", "node").join(F.broadcast(opened), ["tree", "node"]).where(share * F.col("n") < 2.0 * want)
         found = drawn.groupBy("tree", "node").applyInPandas(_cutter(leaf, seed, step), "tree int, node long, depth int, cuts array<double>")
-        cuts = sorted(written(found).collect(), key=lambda r: (r["tree"], r["node"]))
+        with shuffles_let_go(spark):
+            cuts = sorted(found.collect(), key=lambda r: (r["tree"], r["node"]))
+        _removed(spark, path)
         by_tree = {}
         for t in sorted({r["tree"] for r in cuts}):
             mine = [r for r in cuts if r["tree"] == t]
